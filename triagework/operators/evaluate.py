@@ -30,15 +30,16 @@ def classification_report(
 ) -> DataFrame:
     """Precision, recall, f1 and support per label, and their accuracy, macro and weighted average lines."""
     counts = label_counts(df, actual, predicted)
+    none = F.lit(0).cast("long")
     sides = counts.select(
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("found")),
-                F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long"), F.col("n")),
+                _side("actual", support=F.col("n"), found=none),
+                _side("predicted", support=none, found=F.col("n")),
             )
-        ).alias("side"),
-        F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).alias("hit"),
-    ).select("side.*", "hit")
+        ),
+        F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(none).alias("hit"),
+    )
     # Each pair is listed on its actual and on its predicted side, so a hit is counted twice.
     per_label = sides.groupBy("label").agg(
         F.sum("support").alias("support"), F.sum("found").alias("found"), (F.sum("hit") / 2).alias("hits")
@@ -81,6 +82,10 @@ def classification_report(
     return lines.select("label", *[half_even(F.col(s), digits).alias(s) for s in scores], "support")
 
 
+def _side(label: str, support: Column, found: Column) -> Column:
+    return F.struct(F.col(label).alias("label"), support.alias("support"), found.alias("found"))
+
+
 def _ratio(part: str, whole: str) -> Column:
     return F.coalesce(F.try_divide(F.col(part), F.col(whole)), F.lit(0.0))
 

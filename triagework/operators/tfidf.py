@@ -47,13 +47,12 @@ def with_terms(df: DataFrame, text: str, settings: TermSettings, name: str = "te
 
 def term_counts(df: DataFrame, text: str, settings: TermSettings) -> DataFrame:
     """Occurrences and number of texts per term, from one shuffle of pre-combined counts."""
+
+    def marks(terms: Column, tf: int, df: int) -> Column:
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+
     marked = with_terms(df.select(text), text, settings).select(
-        F.explode(
-            F.concat(
-                F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                F.transform(F.array_distinct("terms"), lambda t: F.struct(t, F.lit(0), F.lit(1))),
-            )
-        ).alias("mark")
+        F.explode(F.concat(marks(F.col("terms"), 1, 0), marks(F.array_distinct("terms"), 0, 1))).alias("mark")
     )
     return marked.groupBy("mark.term").agg(F.sum("mark.tf").alias("term_count"), F.sum("mark.df").alias("doc_count"))
 
@@ -67,7 +66,7 @@ def top_terms(df: DataFrame, text: str, settings: TermSettings) -> DataFrame:
         .limit(settings.max_terms)
     )
     return kept.select(
-        "term", "term_count", "doc_count", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_index")
+        "term", "term_count", "doc_count", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("term_index")
     )
 
 
