@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from triagework.domain import PROBLEM_WORDS, URGENCY_WORDS
 
-# Unicode white space, as a regex class body and as plain characters.
-SPACE = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Unicode white space, as a regex class body (in a pattern that starts with UNICODE) and as plain characters.
+UNICODE = "(?U)"
+SPACE = r"\s\x1c-\x1f"
 SPACE_CHARS = "".join(
     map(
         chr,
@@ -17,8 +18,9 @@ SPACE_CHARS = "".join(
 LETTER = r"\p{L}\p{N}_"
 
 TAG = r"<[^>]+>"
-URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
-NOT_LETTERS = rf"[^a-zA-Z{SPACE}']"
+URL = rf"{UNICODE}https?://[^{SPACE}]+|www\.[^{SPACE}]+"
+NOT_LETTERS = rf"{UNICODE}[^a-zA-Z{SPACE}']+"
+WORD = f"{UNICODE}[^{SPACE}]+"
 
 
 def strip(text: Column) -> Column:
@@ -59,7 +61,7 @@ def resolution_text(subject: Column, description: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
 
 
 def count_of(text: Column, pattern: str) -> Column:

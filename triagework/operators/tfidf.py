@@ -92,13 +92,9 @@ def with_weights(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
 
     weighed = counted.withColumn("__raw", F.zip_with("__vector.values", "__vector.indices", weight))
     norm = F.sqrt(F.aggregate("__raw", F.lit(0.0), lambda total, w: total + w * w))
-    return (
-        weighed.withColumn("__norm", norm)
-        .withColumns(
-            {"indices": F.col("__vector.indices"), "weights": F.transform("__raw", lambda w: w / F.col("__norm"))}
-        )
-        .drop("__vector", "__raw", "__norm")
-    )
+    # The norm is bound as a lambda argument: as a plain column it would be worked out again for every element.
+    unit = F.transform(F.array(norm), lambda n: F.transform("__raw", lambda w: w / n))[0]
+    return weighed.withColumns({"indices": F.col("__vector.indices"), "weights": unit}).drop("__vector", "__raw")
 
 
 def tfidf_long(df: DataFrame, text: str, vocabulary: Vocabulary, keep: list[str], digits: int = 6) -> DataFrame:
