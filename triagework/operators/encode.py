@@ -47,6 +47,7 @@ def target_encode(
     few_values: bool,
     smoothing: float = 1.0,
     folds: int = FOLDS,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Replace a category by the smoothed mean of 0/1 targets, seen on other training rows.
 
@@ -54,16 +55,17 @@ def target_encode(
     other folds only, so it never sees its own target. An unseen category gets the overall mean. ``targets`` maps
     result columns to 0/1 target columns.
 
+    The statistics come from ``source``, by default ``df`` itself; pass it when ``df`` already carries other encodings.
+
     With ``few_values`` the statistics are joined whole, by broadcast when their measured size allows. Otherwise the
     hot categories, at most ``HOT_SHARE`` of them, are broadcast and only the rows of the others are shuffled.
     """
-    hashed = df.withColumns(
-        {
-            "__fold": fold_of(key, folds),
-            "__category": F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))),
-        }
-    )
-    train = hashed.where(F.col("split") == "train")
+    hashes = {
+        "__fold": fold_of(key, folds),
+        "__category": F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))),
+    }
+    hashed = df.withColumns(hashes)
+    train = (df if source is None else source).where(F.col("split") == "train").withColumns(hashes)
     sums = [F.sum(F.col(t).cast("double")).alias(t) for t in targets.values()]
     overall = train.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     measures = ["n", *targets.values()]

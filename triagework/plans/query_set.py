@@ -2,11 +2,13 @@
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import PRIORITIES, SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.functions import dates, numbers, text
+from triagework.models import features, priority, resolution, store
 from triagework.operators import encode, evaluate, ranges, report, routing, splits, tfidf
 from triagework.plans import triage
 from triagework.plans.preprocess import preprocess
@@ -475,6 +477,102 @@ def preprocess_job(spark, folder):
     return preprocess(standins.ticket_text(spark, folder)).weights()
 
 
+# Models. Rounds, trees and the boosted trees' vocabulary are smaller than the defaults, which suit a cluster.
+
+TREE_TEXTS = {
+    "model_Ticket_Subject": tfidf.TermSettings(max_terms=200, min_documents=2),
+    "model_Ticket_Description": tfidf.TermSettings(max_terms=600, min_documents=2),
+}
+SCORED = ["ticket_key", "Priority_Level", "predicted_label"]
+
+
+def small_boosted(spark, folder):
+    learner = priority.boosted_learner(rounds=6, depth=4)
+    return priority.train_boosted(standins.ticket_text(spark, folder), learner, texts=TREE_TEXTS)
+
+
+def fitted_logistic(spark, folder):
+    words = tfidf.english_stop_words(spark)
+    return priority.train_logistic(standins.ticket_text(spark, folder), words, priority.logistic_learner(100))
+
+
+@query
+def one_hot(spark, folder):
+    """Positions set by one-hot encoding fitted on training defaults and applied with serving defaults."""
+    columns = ["Issue_Category", "Ticket_Channel"]
+    split = split_text(spark, folder).select("ticket_key", "split", *columns)
+    train = tickets.fill_defaults(splits.train_part(split), {c: "Unknown" for c in columns})
+    stages = features.one_hot_stages(train, columns)
+    labels = dict(zip(columns, stages[0].labelsArray, strict=True))
+    filled = tickets.fill_defaults(split, {c: SERVING_DEFAULTS[c] for c in columns})
+    encoded = PipelineModel(stages).transform(filled)
+    position = F.explode(F.unwrap_udt("__vector")["indices"]).alias("position")
+    parts = []
+    for column in columns:
+        part = encoded.select("ticket_key", F.col(f"{column}_onehot").alias("__vector")).select("ticket_key", position)
+        value = F.get(F.array(*[F.lit(x) for x in labels[column]]), F.col("position"))
+        parts.append(part.withColumns({"feature": F.lit(column), "value": value}))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def train_svm(spark, folder):
+    return priority.train_svm(standins.ticket_text(spark, folder), priority.svm_learner(iterations=30))[1].select(SCORED)
+
+
+@query
+def train_logreg(spark, folder):
+    return fitted_logistic(spark, folder)[1].select(SCORED)
+
+
+@query
+def train_boosted(spark, folder):
+    return small_boosted(spark, folder)[1].select(SCORED)
+
+
+@query
+def train_cat_boosted(spark, folder):
+    fitted = priority.train_categorical_boosted(standins.ticket_full(spark, folder), rounds=8, depth=4, patience=3)
+    return fitted[1].select(SCORED)
+
+
+@query
+def train_ridge(spark, folder):
+    return resolution.train_ridge(standins.ticket_full(spark, folder))[1]
+
+
+@query
+def train_forest(spark, folder):
+    return resolution.train_forest(standins.ticket_history(spark, folder), trees=20)[1]
+
+
+@query
+def confidence(spark, folder):
+    model, _ = fitted_logistic(spark, folder)
+    scored = model.score(standins.ticket_text(spark, folder).select("ticket_key", *SERVING_DEFAULTS))
+    return priority.confidences(scored, model.labels, ["ticket_key"])
+
+
+@query
+def score_batch(spark, folder):
+    """Batch triage with the priority predicted by a model."""
+    model, _ = fitted_logistic(spark, folder)
+    batch = tickets.complete_batch(standins.ticket_text(spark, folder).drop("Priority_Level"))
+    scored = model.score(batch).drop(priority.SCORES, "prediction")
+    return triage.triage_batch(scored, text_ranges(spark, folder), "predicted_label", ["ticket_key"]).drop(
+        "predicted_label"
+    )
+
+
+@query
+def model_roundtrip(spark, folder):
+    """Tickets scored by a pipeline that was saved and loaded again."""
+    model, _ = fitted_logistic(spark, folder)
+    path = store.save_model(model.pipeline, new_output_dir(spark, "model"))
+    loaded = priority.PriorityModel(store.load_model(spark, path), model.texts, model.labels)
+    return loaded.score(standins.ticket_text(spark, folder)).select("ticket_key", "predicted_label")
+
+
 # Evaluation
 
 

@@ -57,6 +57,12 @@ def ticket_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ticket_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticket texts with the submission date and hours of the history's ticket of the same key."""
+    times = ticket_history(spark, folder).select("ticket_key", "Submission_Date", "Resolution_Time_Hours")
+    return ticket_text(spark, folder).join(times, "ticket_key")
+
+
 def ticket_html(spark: SparkSession, folder: str) -> DataFrame:
     return spread(read_table(spark, folder, "pages")).select(
         F.col("page_id").alias("ticket_key"),
