@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagework.functions.text import clean_strict, strict_statistics
-from triagework.models.stages import LogCounts
-from triagework.operators.tfidf import TermSettings, Vocabulary, fit_vocabulary, with_terms
+from triagework.models.stages import LogCounts, TextTerms
+from triagework.operators.tfidf import TermSettings, Vocabulary, fit_vocabulary
 from triagework.sources.tickets import fill_defaults
 
 SUBJECT_TERMS = TermSettings(max_terms=2500, min_documents=2)
@@ -42,17 +42,12 @@ def priority_inputs(tickets: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return cleaned.withColumns({f"model_{n}": c.cast("double") for n, c in statistics.items()})
 
 
-def term_inputs(df: DataFrame, texts: dict[str, TermSettings]) -> DataFrame:
-    """Add ``<text>_terms`` for each text column."""
-    for text, settings in texts.items():
-        df = with_terms(df, text, settings, f"{text}_terms")
-    return df
-
-
 def tfidf_stages(text: str, vocabulary: Vocabulary) -> list[Transformer]:
-    """Stages from ``<text>_terms`` to the unit-length weights ``<text>_tfidf``."""
-    counts = CountVectorizerModel.from_vocabulary(vocabulary.terms, f"{text}_terms", f"{text}_counts")
-    stages: list[Transformer] = [counts]
+    """Stages from a text column to its unit-length weights ``<text>_tfidf``."""
+    stages: list[Transformer] = [
+        TextTerms(inputCol=text, outputCol=f"{text}_terms", stopWords=list(vocabulary.settings.stop_words)),
+        CountVectorizerModel.from_vocabulary(vocabulary.terms, f"{text}_terms", f"{text}_counts"),
+    ]
     last = f"{text}_counts"
     if vocabulary.settings.sublinear:
         stages.append(LogCounts(inputCol=last, outputCol=f"{text}_logs"))

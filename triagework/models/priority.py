@@ -26,7 +26,6 @@ from triagework.models.features import (
     TEXTS,
     feature_stages,
     priority_inputs,
-    term_inputs,
 )
 from triagework.models.stages import ClassScores, LabelOfPrediction
 from triagework.operators.encode import target_encode, target_flags
@@ -45,19 +44,21 @@ Learner = Callable[[DataFrame, list[str]], list[Transformer]]
 
 @dataclass(frozen=True)
 class PriorityModel:
-    """A fitted pipeline from term arrays and model columns to scores, and what it was fitted with."""
+    """A fitted pipeline from the ``model_*`` columns to scores; all it needs is saved with the pipeline."""
 
     pipeline: PipelineModel
-    texts: dict[str, TermSettings]
-    labels: list[str]
+
+    @property
+    def labels(self) -> list[str]:
+        last = self.pipeline.stages[-1]
+        return last.getOrDefault(last.labels)
 
     def score(self, tickets: DataFrame, defaults: dict[str, str] = SERVING_DEFAULTS) -> DataFrame:
         """Tickets with ``class_scores``, ``prediction`` and ``predicted_label``."""
         return self.score_inputs(priority_inputs(tickets, defaults), tickets.columns)
 
     def score_inputs(self, inputs: DataFrame, keep: list[str]) -> DataFrame:
-        scored = self.pipeline.transform(term_inputs(inputs, self.texts))
-        return scored.select(*keep, SCORES, "prediction", "predicted_label")
+        return self.pipeline.transform(inputs).select(*keep, SCORES, "prediction", "predicted_label")
 
 
 def fit_priority(
@@ -84,9 +85,9 @@ def fit_priority(
     train = train_part(inputs)
     labels = [row[0] for row in train.select(LABEL).distinct().orderBy(LABEL).collect()]
     stages = feature_stages(train, texts, categorical, numeric)
-    features = PipelineModel(stages).transform(term_inputs(train, texts)).select(LABEL, "features")
+    features = PipelineModel(stages).transform(train).select(LABEL, "features")
     pipeline = PipelineModel([*stages, *learner(settle(features), labels)])
-    model = PriorityModel(pipeline, texts, labels)
+    model = PriorityModel(pipeline)
     return model, model.score_inputs(test_part(inputs), [key, LABEL])
 
 

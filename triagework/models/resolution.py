@@ -1,16 +1,17 @@
 """Resolution-time regressors."""
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagework.functions.dates import regression_parts
 from triagework.functions.text import resolution_text
-from triagework.models.features import one_hot_stages, term_inputs, tfidf_stages
+from triagework.models.features import one_hot_stages, tfidf_stages
 from triagework.models.stages import ClippedHours
-from triagework.operators.encode import population_deviations, scale_by_deviation
+from triagework.operators.encode import population_deviations
 from triagework.operators.splits import random_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings, fit_vocabulary
 from triagework.session import settle
@@ -47,21 +48,17 @@ def train_ridge(
     inputs = settle(random_split(regression_inputs(tickets, key), key))
     train = train_part(inputs)
     deviations = population_deviations(train, DATE_PARTS)
-    scaled = [f"{c}_scaled" for c in DATE_PARTS]
     stages = [
         *tfidf_stages("text", fit_vocabulary(train, "text", TEXT)),
         *one_hot_stages(train, CATEGORIES),
-        VectorAssembler(
-            inputCols=["text_tfidf", *[f"{c}_onehot" for c in CATEGORIES], *scaled], outputCol="features"
+        VectorAssembler(inputCols=DATE_PARTS, outputCol="dates"),
+        ElementwiseProduct(
+            scalingVec=Vectors.dense([1.0 / deviations[c] for c in DATE_PARTS]), inputCol="dates", outputCol="scaled"
         ),
+        VectorAssembler(inputCols=["text_tfidf", *[f"{c}_onehot" for c in CATEGORIES], "scaled"], outputCol="features"),
     ]
-
-    def prepared(part: DataFrame) -> DataFrame:
-        return term_inputs(scale_by_deviation(part, deviations), {"text": TEXT})
-
-    features = settle(
-        PipelineModel(stages).transform(prepared(train)).select("features", F.log1p(HOURS).alias("log_hours"))
-    )
+    log_hours = F.log1p(HOURS).alias("log_hours")
+    features = settle(PipelineModel(stages).transform(train).select("features", log_hours))
     spread, rows = features.agg(F.stddev_samp("log_hours"), F.count(F.lit(1))).first()
     ridge = LinearRegression(
         labelCol="log_hours",
@@ -74,7 +71,7 @@ def train_ridge(
     ).fit(features)
     back = ClippedHours(inputCol="predicted_log", outputCol="predicted_hours", low=0.0, high=120.0, logged=True)
     pipeline = PipelineModel([*stages, ridge, back])
-    return pipeline, pipeline.transform(prepared(test_part(inputs))).select(key, HOURS, "predicted_hours")
+    return pipeline, pipeline.transform(test_part(inputs)).select(key, HOURS, "predicted_hours")
 
 
 def train_forest(

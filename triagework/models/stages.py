@@ -11,12 +11,31 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagework.operators.tfidf import with_terms
+
 
 @F.udf(VectorUDT())
 def _log_counts(counts: SparseVector) -> SparseVector:
     return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
 
 
+class TextTerms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Words and word pairs of a text, without ``stopWords``."""
+
+    stopWords = Param(Params._dummy(), "stopWords", "words to leave out", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(
+        self, *, inputCol: str | None = None, outputCol: str | None = None, stopWords: list[str] | None = None
+    ):
+        super().__init__()
+        self._setDefault(stopWords=[])
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return with_terms(dataset, self.getInputCol(), self.getOrDefault(self.stopWords), self.getOutputCol())
+
+
 class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Replace the non-zero counts of a sparse vector by ``1 + ln(count)``."""
 

@@ -1,6 +1,6 @@
 """Label codes, one-hot positions, scaling and target encoding."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagework.session import broadcast_if_small, settle
@@ -15,6 +15,17 @@ def label_mapping(train: DataFrame, label: str = "Priority_Level") -> DataFrame:
     return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("code"))
 
 
+def mapping_from_dict(spark: SparkSession, layout: dict) -> DataFrame:
+    """Mapping table of a label dictionary: ``{label: code}``, or the same under ``label_to_number``, or
+    ``{code: label}`` under ``number_to_label``.
+    """
+    if "number_to_label" in layout:
+        pairs = [(label, int(code)) for code, label in layout["number_to_label"].items()]
+    else:
+        pairs = [(label, int(code)) for label, code in layout.get("label_to_number", layout).items()]
+    return spark.createDataFrame(pairs, "label string, code int")
+
+
 def encode_labels(df: DataFrame, mapping: DataFrame, label: str = "Priority_Level", name: str = "label_code"):
     """Add the code of each row's label, null for a label not in ``mapping``."""
     codes = broadcast_if_small(mapping.select(F.col("label").alias(label), F.col("code").alias(name)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from triagework.domain import MIN_PAIR_COUNT
 from triagework.functions.numbers import half_even, range_text
 from triagework.operators.ranks import exact_quantiles
-from triagework.session import broadcast_if_small, join_null_safe, settle
+from triagework.session import broadcast_if, is_small, settle
 from triagework.sources.tickets import require_columns
 
 RANGE_INPUTS = ["Priority_Level", "Issue_Category", "Resolution_Time_Hours"]
@@ -50,11 +50,12 @@ def resolution_lookup(
     pairs = pairs.where(F.col("__pair_n") >= min_pair_count)
     priorities = level("priority", {"Priority_Level": "__p"}, "priority")
     overall = ranges.where(F.col("range_level") == "all").select("low_hours", "high_hours").first()
+    small = is_small(ranges)
 
     found = tickets.join(
-        broadcast_if_small(pairs), (F.col(priority) == F.col("__p")) & (F.col(category) == F.col("__c")), "left"
+        broadcast_if(small, pairs), (F.col(priority) == F.col("__p")) & (F.col(category) == F.col("__c")), "left"
     ).drop("__p", "__c")
-    found = found.join(broadcast_if_small(priorities), F.col(priority) == F.col("__p"), "left").drop("__p")
+    found = found.join(broadcast_if(small, priorities), F.col(priority) == F.col("__p"), "left").drop("__p")
     low_all, high_all = overall if overall else (None, None)
     is_pair, is_priority = F.col("__pair_n").isNotNull(), F.col("__priority_n").isNotNull()
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagework.session import broadcast_if_small, join_null_safe, settle
+from triagework.session import broadcast_if, broadcast_if_small, is_small, join_null_safe, settle
 
 BUCKETS_PER_OCTAVE = 1024
 HASH_DIGITS = 4
@@ -47,12 +47,13 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
         .select(*group, "bucket", "total", "before", "ranks")
     )
 
-    hit = broadcast_if_small(targets.select("bucket").distinct())
+    small = is_small(targets)
+    hit = broadcast_if(small, targets.select("bucket").distinct())
     near = values.join(hit, "bucket", "left_semi").groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     near = _sum_per_keyset(near, keysets, keys, ["bucket", "value"])
     in_bucket = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        join_null_safe(near, broadcast_if_small(targets), [*group, "bucket"])
+        join_null_safe(near, broadcast_if(small, targets), [*group, "bucket"])
         .withColumn("end", F.col("before") + F.sum("n").over(in_bucket))
         .withColumn("here", F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end"))))
         .select(*group, "total", "value", F.explode("here").alias("rank"))
@@ -133,7 +134,7 @@ def global_row_number(
     ``levels`` are columns, coarse to fine, that follow the order: sorting by them, then by ``order``, is sorting by
     ``order``. Each task sorts the rows of one finest level only and starts from the count of all earlier ones.
     """
-    counts = df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("n")))
     starts = counts.drop("n").withColumn("__start", F.lit(0).cast("long"))
     for depth in range(len(levels)):
         outer, inner = [*keys, *levels[:depth]], [*keys, *levels[: depth + 1]]

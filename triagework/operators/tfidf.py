@@ -5,6 +5,7 @@ ticket's counts, weights and norm are computed inside its own row against the fi
 parameter.
 """
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
@@ -39,9 +40,9 @@ def english_stop_words(spark: SparkSession) -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
-def with_terms(df: DataFrame, text: str, settings: TermSettings, name: str = "terms") -> DataFrame:
+def with_terms(df: DataFrame, text: str, stop_words: Sequence[str], name: str = "terms") -> DataFrame:
     """Add the array of a text's words and word pairs."""
-    words = df.withColumn("__words", tokens(F.col(text), list(settings.stop_words)))
+    words = df.withColumn("__words", tokens(F.col(text), list(stop_words)))
     return words.withColumn(name, one_and_two_grams(F.col("__words"))).drop("__words")
 
 
@@ -51,7 +52,7 @@ def term_counts(df: DataFrame, text: str, settings: TermSettings) -> DataFrame:
     def marks(terms: Column, tf: int, df: int) -> Column:
         return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
 
-    marked = with_terms(df.select(text), text, settings).select(
+    marked = with_terms(df.select(text), text, settings.stop_words).select(
         F.explode(F.concat(marks(F.col("terms"), 1, 0), marks(F.array_distinct("terms"), 0, 1))).alias("mark")
     )
     return marked.groupBy("mark.term").agg(F.sum("mark.tf").alias("term_count"), F.sum("mark.df").alias("doc_count"))
@@ -81,7 +82,7 @@ def fit_vocabulary(train: DataFrame, text: str, settings: TermSettings) -> Vocab
 def with_weights(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     """Add ``indices`` and unit-length ``weights`` of the text's known terms."""
     counted = CountVectorizerModel.from_vocabulary(vocabulary.terms, "terms", "__counts").transform(
-        with_terms(df, text, vocabulary.settings)
+        with_terms(df, text, vocabulary.settings.stop_words)
     )
     counted = counted.withColumn("__vector", F.unwrap_udt("__counts")).drop("terms", "__counts")
     idf = F.lit(vocabulary.idf)

@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from triagework.functions.text import clean_strict, model_text
 from triagework.operators.encode import encode_labels, settled_mapping
 from triagework.operators.splits import stratified_split, train_part
-from triagework.operators.tfidf import TermSettings, Vocabulary, english_stop_words, fit_vocabulary, tfidf_long
+from triagework.operators.tfidf import (
+    TermSettings,
+    Vocabulary,
+    english_stop_words,
+    fit_vocabulary,
+    tfidf_long,
+    with_weights,
+)
 from triagework.session import settle
 from triagework.sources.exports import write_parquet
 from triagework.sources.tickets import require_columns
@@ -27,8 +34,14 @@ class Preprocessed:
     labels: DataFrame
 
     def weights(self) -> DataFrame:
+        """One row per ticket and term."""
         return tfidf_long(self.texts, "model_text", self.vocabulary, ["ticket_key", "split", "label_code"])
 
+    def sparse_rows(self) -> DataFrame:
+        """One row per ticket with its term positions and weights as arrays."""
+        weighed = with_weights(self.texts, "model_text", self.vocabulary)
+        return weighed.select("ticket_key", "split", "label_code", "indices", "weights")
+
 
 def preprocess(tickets: DataFrame, key: str = "ticket_key", stop_words: tuple[str, ...] | None = None) -> Preprocessed:
     """Split before cleaning, and fit vocabulary and labels on the training part only.
@@ -49,7 +62,8 @@ def preprocess(tickets: DataFrame, key: str = "ticket_key", stop_words: tuple[st
 
 
 def write_preprocessed(result: Preprocessed, folder: str) -> str:
-    """Long TF-IDF table, label codes and label numbering below ``folder``."""
+    """Sparse feature rows, the long TF-IDF table, label codes and label numbering below ``folder``."""
+    write_parquet(result.sparse_rows(), f"{folder}/features")
     write_parquet(result.weights(), f"{folder}/tfidf")
     write_parquet(result.texts.select("ticket_key", "split", "label_code"), f"{folder}/labels")
     write_parquet(result.labels, f"{folder}/label_mapping")

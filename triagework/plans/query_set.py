@@ -569,7 +569,7 @@ def model_roundtrip(spark, folder):
     """Tickets scored by a pipeline that was saved and loaded again."""
     model, _ = fitted_logistic(spark, folder)
     path = store.save_model(model.pipeline, new_output_dir(spark, "model"))
-    loaded = priority.PriorityModel(store.load_model(spark, path), model.texts, model.labels)
+    loaded = priority.PriorityModel(store.load_model(spark, path))
     return loaded.score(standins.ticket_text(spark, folder)).select("ticket_key", "predicted_label")
 
 

@@ -1,11 +1,16 @@
 """Batch triage: priority, department, expected range and ticket id for a batch, then its queues and report."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagework.domain import BATCH_VIEW_COLUMNS
+from triagework.models.priority import SCORES, PriorityModel
+from triagework.operators import report
 from triagework.operators.ranges import resolution_lookup, with_range_text
 from triagework.operators.routing import department_of, key_hash, queue_of, ticket_id
+from triagework.sources.exports import write_csv, write_parquet
 from triagework.sources.queues import append_to_queues
 from triagework.sources.tickets import complete_batch, select_available
 
@@ -48,3 +53,47 @@ def route_batch(batch: DataFrame, path: str, routed_at: Column | None = None, ke
 
 def batch_view(batch: DataFrame) -> DataFrame:
     return select_available(batch, BATCH_VIEW_COLUMNS)
+
+
+@dataclass(frozen=True)
+class BatchReport:
+    """The tables shown for a triaged batch."""
+
+    kpis: DataFrame
+    priorities: DataFrame
+    departments: DataFrame
+    priority_by_department: DataFrame
+    results: DataFrame
+
+
+def batch_report(batch: DataFrame) -> BatchReport:
+    return BatchReport(
+        report.batch_kpis(batch),
+        report.distribution(batch, "predicted_priority"),
+        report.distribution(batch, "routed_department"),
+        report.priority_by_department(batch),
+        batch_view(batch),
+    )
+
+
+def run_batch(
+    tickets: DataFrame,
+    model: PriorityModel,
+    ranges: DataFrame,
+    queues: str,
+    output: str,
+    keys: list[str] | None = None,
+    routed_at: Column | None = None,
+) -> BatchReport:
+    """Score, triage and route a batch, export it as CSV and report on it.
+
+    The triaged batch is written to ``output`` once; queues, export and report read that table, so random ids are the
+    same everywhere.
+    """
+    batch = complete_batch(tickets)
+    scored = model.score(batch).drop(SCORES, "prediction")
+    triaged = triage_batch(scored, ranges, "predicted_label", keys or []).drop("predicted_label")
+    written = tickets.sparkSession.read.parquet(write_parquet(triaged, f"{output}/batch"))
+    route_batch(written, queues, routed_at, keys)
+    write_csv(written, f"{output}/predictions")
+    return batch_report(written)

@@ -52,17 +52,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint when the measured size of a settled ``df`` is small; else left to a shuffle join."""
+def is_small(df: DataFrame) -> bool:
+    """Whether a settled ``df``, measured, is small enough to broadcast."""
     rows, size = (
         df.limit(MAX_BROADCAST_ROWS + 1)
         .agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)))
         .first()
     )
-    small = rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+    return rows <= MAX_BROADCAST_ROWS and size <= MAX_BROADCAST_BYTES
+
+
+def broadcast_if(small: bool, df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table measured as small; else the join is left to a shuffle."""
     return F.broadcast(df) if small else df
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return broadcast_if(is_small(df), df)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where null equals null; the left side's key columns are kept."""
     renamed = right.select(
