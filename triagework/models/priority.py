@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import SERVING_DEFAULTS, TRAINING_DEFAULTS
@@ -32,11 +32,12 @@ from triagework.operators.encode import target_encode, target_flags
 from triagework.operators.evaluate import early_stop
 from triagework.operators.splits import stratified_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings
-from triagework.session import settle
+from triagework.session import pack, settle
 from triagework.sources.tickets import fill_defaults, require_columns
 
 LABEL = "Priority_Level"
 SCORES = "class_scores"
+PARALLEL_FITS = 4
 REQUIRED = [*TEXTS, *CATEGORICAL, LABEL]
 
 Learner = Callable[[DataFrame, list[str]], list[Transformer]]
@@ -86,15 +87,17 @@ def fit_priority(
     labels = [row[0] for row in train.select(LABEL).distinct().orderBy(LABEL).collect()]
     stages = feature_stages(train, texts, categorical, numeric)
     features = PipelineModel(stages).transform(train).select(LABEL, "features")
-    pipeline = PipelineModel([*stages, *learner(settle(features), labels)])
+    pipeline = PipelineModel([*stages, *learner(pack(settle(features)), labels)])
     model = PriorityModel(pipeline)
     return model, model.score_inputs(test_part(inputs), [key, LABEL])
 
 
-def _per_class(labels: list[str], fit: Callable[[int, str], Transformer]) -> list[Transformer]:
-    """Fit one model per class; the cluster works on all of them at once."""
-    with ThreadPool(max(1, min(4, len(labels)))) as pool:
-        return pool.starmap(inheritable_thread_target(fit), list(enumerate(labels)))
+def _per_class(
+    spark: SparkSession, labels: list[str], fit: Callable[[int, str], Transformer]
+) -> list[Transformer]:
+    """Fit one model per class; the cluster works on several of them at once."""
+    with ThreadPool(max(1, min(PARALLEL_FITS, len(labels)))) as pool:
+        return pool.starmap(inheritable_thread_target(spark)(fit), list(enumerate(labels)))
 
 
 def boosted_learner(
@@ -122,7 +125,7 @@ def boosted_learner(
             )
             return _name_outputs(booster, number).fit(_flag(train, label))
 
-        models = _per_class(labels, fit)
+        models = _per_class(train.sparkSession, labels, fit)
         return [*models, _combine(labels, "probability", normalise=True)]
 
     return learn
@@ -154,7 +157,7 @@ def svm_learner(c: float = 1.0, iterations: int = 100) -> Learner:
             )
             return _name_outputs(machine, number).fit(weighted)
 
-        return [*_per_class(labels, fit), _combine(labels, "raw", normalise=False)]
+        return [*_per_class(train.sparkSession, labels, fit), _combine(labels, "raw", normalise=False)]
 
     return learn
 
@@ -277,7 +280,7 @@ def train_categorical_boosted(
         .transform(encoded)
         .select(key, LABEL, "split", *[f"features{number}" for number in range(len(labels))])
     )
-    train, held_out = train_part(assembled), assembled.where(F.col("split") == validation)
+    train, held_out = pack(train_part(assembled)), assembled.where(F.col("split") == validation)
 
     def fit_rounds(count: int) -> list[Transformer]:
         def fit(number: int, label: str) -> Transformer:
@@ -291,7 +294,7 @@ def train_categorical_boosted(
             )
             return _name_outputs(booster, number).fit(_flag(train, label))
 
-        return _per_class(labels, fit)
+        return _per_class(tickets.sparkSession, labels, fit)
 
     models = fit_rounds(rounds)
     losses = [m.evaluateEachIteration(_flag(held_out, label)) for m, label in zip(models, labels, strict=True)]

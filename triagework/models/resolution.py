@@ -14,7 +14,7 @@ from triagework.models.stages import ClippedHours
 from triagework.operators.encode import population_deviations
 from triagework.operators.splits import random_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings, fit_vocabulary
-from triagework.session import settle
+from triagework.session import pack, settle
 from triagework.sources.tickets import drop_incomplete, require_columns
 
 HOURS = "Resolution_Time_Hours"
@@ -42,7 +42,11 @@ def ridge_penalty(alpha: float, deviation: float, rows: int) -> float:
 
 
 def train_ridge(
-    tickets: DataFrame, alpha: float = 30.0, iterations: int = 100, key: str = "ticket_key"
+    tickets: DataFrame,
+    alpha: float = 30.0,
+    iterations: int = 100,
+    tolerance: float = 1e-9,
+    key: str = "ticket_key",
 ) -> tuple[PipelineModel, DataFrame]:
     """Ridge regression of ``log1p`` hours; predictions are turned back and clipped to 0..120 hours."""
     inputs = settle(random_split(regression_inputs(tickets, key), key))
@@ -58,7 +62,7 @@ def train_ridge(
         VectorAssembler(inputCols=["text_tfidf", *[f"{c}_onehot" for c in CATEGORIES], "scaled"], outputCol="features"),
     ]
     log_hours = F.log1p(HOURS).alias("log_hours")
-    features = settle(PipelineModel(stages).transform(train).select("features", log_hours))
+    features = pack(settle(PipelineModel(stages).transform(train).select("features", log_hours)))
     spread, rows = features.agg(F.stddev_samp("log_hours"), F.count(F.lit(1))).first()
     ridge = LinearRegression(
         labelCol="log_hours",
@@ -68,6 +72,7 @@ def train_ridge(
         standardization=False,
         solver="l-bfgs",
         maxIter=iterations,
+        tol=tolerance,
     ).fit(features)
     back = ClippedHours(inputCol="predicted_log", outputCol="predicted_hours", low=0.0, high=120.0, logged=True)
     pipeline = PipelineModel([*stages, ridge, back])
@@ -91,7 +96,7 @@ def train_forest(
         *one_hot_stages(train, columns),
         VectorAssembler(inputCols=[f"{c}_onehot" for c in columns], outputCol="features"),
     ]
-    features = settle(PipelineModel(stages).transform(train).select("features", F.col(HOURS).cast("double")))
+    features = pack(settle(PipelineModel(stages).transform(train).select("features", F.col(HOURS).cast("double"))))
     forest = RandomForestRegressor(
         labelCol=HOURS,
         predictionCol="predicted_raw",

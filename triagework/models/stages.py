@@ -15,7 +15,7 @@ from triagework.operators.tfidf import with_terms
 
 
 @F.udf(VectorUDT())
-def _log_counts(counts: SparseVector) -> SparseVector:
+def _log_counts(counts):
     return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
 
 

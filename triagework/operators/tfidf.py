@@ -85,7 +85,7 @@ def with_weights(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
         with_terms(df, text, vocabulary.settings.stop_words)
     )
     counted = counted.withColumn("__vector", F.unwrap_udt("__counts")).drop("terms", "__counts")
-    idf = F.lit(vocabulary.idf)
+    idf = _literal([repr(x) for x in vocabulary.idf], "double")
 
     def weight(count: Column, index: Column) -> Column:
         frequency = F.ln(count) + 1.0 if vocabulary.settings.sublinear else count
@@ -98,6 +98,11 @@ def with_weights(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     return weighed.withColumns({"indices": F.col("__vector.indices"), "weights": unit}).drop("__vector", "__raw")
 
 
+def _literal(values: list[str], element: str) -> Column:
+    """Array literal sent as one text; the optimizer turns it into a constant. No term holds a line break."""
+    return F.split(F.lit("\n".join(values)), "\n").cast(f"array<{element}>")
+
+
 def tfidf_long(df: DataFrame, text: str, vocabulary: Vocabulary, keep: list[str], digits: int = 6) -> DataFrame:
     """One row per text and known term: the columns ``keep``, ``term`` and ``weight``."""
     if not vocabulary.terms:
@@ -107,6 +112,6 @@ def tfidf_long(df: DataFrame, text: str, vocabulary: Vocabulary, keep: list[str]
     )
     return entries.select(
         *keep,
-        F.get(F.lit(vocabulary.terms), F.col("indices")).alias("term"),
+        F.get(_literal(vocabulary.terms, "string"), F.col("indices")).alias("term"),
         half_even(F.col("weights"), digits).alias("weight"),
     )

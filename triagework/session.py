@@ -52,6 +52,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pack(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+    """Merge the partitions of a settled ``df`` that are too small to be worth a task each in every iteration."""
+    tasks = max(1, -(-df.count() // rows_per_task))
+    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a settled ``df``, measured, is small enough to broadcast."""
     rows, size = (
