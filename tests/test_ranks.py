@@ -85,3 +85,26 @@ def test_random_split_share(spark):
     df = splits.random_split(spark.range(20000).withColumnRenamed("id", "key"), "key")
     share = df.where("split = 'test'").count() / 20000
     assert abs(share - 0.2) < 0.01
+
+
+def test_infinite_values_are_ordinary_values(spark):
+    values = [float("-inf"), -3.0, 0.0, 2.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = ranks.exact_quantiles(df, "v", {"q0": 0.0, "q50": 0.5, "q100": 1.0}, [[]]).first()
+    assert (row.q0, row.q50, row.q100, row.n) == (values[0], 0.0, values[-1], 5)
+
+
+def test_nothing_depends_on_broadcasting(spark, table, frame, monkeypatch):
+    monkeypatch.setattr("triagework.session.MAX_BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ranks.exact_quantiles(table, "v", {"q": 0.25}, [["g", "h"], []]).collect()
+        known = frame.dropna(subset="v")
+        expected = {(0, *k): np.quantile(v, 0.25) for k, v in known.groupby(["g", "h"]).v}
+        expected[1, None, None] = np.quantile(known.v, 0.25)
+        assert {(r.keyset, r.g, r.h): r.q for r in found} == pytest.approx(expected)
+        df = spark.range(997).withColumn("label", F.when(F.col("id") % 3 == 0, "x"))
+        split = splits.stratified_split(df, "label", "id")
+        assert split.where("split = 'test'").count() == math.ceil(333 * 0.2) + math.ceil(664 * 0.2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -64,8 +64,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
         edges.append(F.max(F.when(F.col("rank") == low, F.col("value"))).alias(f"__low_{name}"))
         edges.append(F.max(F.when(F.col("rank") == high, F.col("value"))).alias(f"__high_{name}"))
         place = (F.col("n") - 1) * F.lit(q)
-        step = (F.col(f"__high_{name}") - F.col(f"__low_{name}")) * (place - F.floor(place))
-        result.append((F.col(f"__low_{name}") + step).alias(name))
+        low, high, part = F.col(f"__low_{name}"), F.col(f"__high_{name}"), place - F.floor(place)
+        result.append(F.when(part == 0, low).otherwise(low + (high - low) * part).alias(name))
     return placed.groupBy(*group).agg(*edges).select(*group, "n", *result)
 
 
