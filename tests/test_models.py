@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from triagework.domain import SERVING_DEFAULTS
-from triagework.models import features, priority, resolution, store
+from triagework.models import features, priority, resolution, saved
 from triagework.operators.ranges import settled_ranges
 from triagework.operators.splits import random_split, train_part
 from triagework.plans.triage import run_batch
@@ -92,11 +92,11 @@ def test_confidences_add_up(logistic, tickets):
 def test_saved_model_scores_the_same(spark, logistic, tickets, tmp_path):
     model, _ = logistic
     path = str(tmp_path / "model")
-    assert store.load_model(spark, path) is None
-    assert store.missing_models(spark, {"logistic": path}) == ["logistic"]
-    store.save_model(model.pipeline, path)
-    assert store.missing_models(spark, {"logistic": path}) == []
-    loaded = priority.PriorityModel(store.load_model(spark, path))
+    assert saved.load_model(spark, path) is None
+    assert saved.missing_models(spark, {"logistic": path}) == ["logistic"]
+    saved.save_model(model.pipeline, path)
+    assert saved.missing_models(spark, {"logistic": path}) == []
+    loaded = priority.PriorityModel(saved.load_model(spark, path))
     assert loaded.labels == model.labels
     columns = ["ticket_key", "predicted_label", priority.SCORES]
     assert loaded.score(tickets).select(columns).exceptAll(model.score(tickets).select(columns)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.models import priority, resolution
-from triagework.models.store import load_model, save_model
+from triagework.models.saved import load_model, save_model
 from triagework.operators import evaluate, ranges, report
 from triagework.operators.routing import with_queue_numbers
 from triagework.operators.tfidf import english_stop_words

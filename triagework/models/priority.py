@@ -32,7 +32,7 @@ from triagework.operators.encode import target_encode, target_flags
 from triagework.operators.evaluate import early_stop
 from triagework.operators.splits import stratified_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings
-from triagework.session import pack, settle
+from triagework.session import pack, store
 from triagework.sources.tickets import fill_defaults, require_columns
 
 LABEL = "Priority_Level"
@@ -80,14 +80,15 @@ def fit_priority(
     numeric = [f"model_{c}" for c in STATISTICS] if numeric is None else numeric
     labelled = tickets.where(F.col(LABEL).isNotNull())
     split = stratified_split(labelled, LABEL, key)
-    inputs = settle(
-        priority_inputs(split, TRAINING_DEFAULTS).select(key, LABEL, "split", *texts, *categorical, *numeric)
+    inputs = store(
+        priority_inputs(split, TRAINING_DEFAULTS).select(key, LABEL, "split", *texts, *categorical, *numeric),
+        "priority-inputs",
     )
     train = train_part(inputs)
     labels = [row[0] for row in train.select(LABEL).distinct().orderBy(LABEL).collect()]
     stages = feature_stages(train, texts, categorical, numeric)
     features = PipelineModel(stages).transform(train).select(LABEL, "features")
-    pipeline = PipelineModel([*stages, *learner(pack(settle(features)), labels)])
+    pipeline = PipelineModel([*stages, *learner(pack(store(features, "features")), labels)])
     model = PriorityModel(pipeline)
     return model, model.score_inputs(test_part(inputs), [key, LABEL])
 
@@ -258,7 +259,7 @@ def train_categorical_boosted(
     """
     labelled = tickets.where(F.col(LABEL).isNotNull())
     split = stratified_split(labelled.select(key, LABEL), LABEL, key).select(key, "split")
-    inputs = settle(categorical_inputs(labelled, key).join(split, key))
+    inputs = store(categorical_inputs(labelled, key).join(split, key), "categorical-inputs")
     labels = [row[0] for row in train_part(inputs).select(LABEL).distinct().orderBy(LABEL).collect()]
     encoded = source = target_flags(inputs, LABEL, labels)
     for column in [*TEXTS, *CATEGORICAL]:
@@ -275,10 +276,9 @@ def train_categorical_boosted(
         )
         for number in range(len(labels))
     ]
-    assembled = settle(
-        PipelineModel(vectors)
-        .transform(encoded)
-        .select(key, LABEL, "split", *[f"features{number}" for number in range(len(labels))])
+    columns = [f"features{number}" for number in range(len(labels))]
+    assembled = store(
+        PipelineModel(vectors).transform(encoded).select(key, LABEL, "split", *columns), "encoded-features"
     )
     train, held_out = pack(train_part(assembled)), assembled.where(F.col("split") == validation)
 

@@ -14,7 +14,7 @@ from triagework.models.stages import ClippedHours
 from triagework.operators.encode import population_deviations
 from triagework.operators.splits import random_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings, fit_vocabulary
-from triagework.session import pack, settle
+from triagework.session import pack, store
 from triagework.sources.tickets import drop_incomplete, require_columns
 
 HOURS = "Resolution_Time_Hours"
@@ -49,7 +49,7 @@ def train_ridge(
     key: str = "ticket_key",
 ) -> tuple[PipelineModel, DataFrame]:
     """Ridge regression of ``log1p`` hours; predictions are turned back and clipped to 0..120 hours."""
-    inputs = settle(random_split(regression_inputs(tickets, key), key))
+    inputs = store(random_split(regression_inputs(tickets, key), key), "regression-inputs")
     train = train_part(inputs)
     deviations = population_deviations(train, DATE_PARTS)
     stages = [
@@ -62,7 +62,7 @@ def train_ridge(
         VectorAssembler(inputCols=["text_tfidf", *[f"{c}_onehot" for c in CATEGORIES], "scaled"], outputCol="features"),
     ]
     log_hours = F.log1p(HOURS).alias("log_hours")
-    features = pack(settle(PipelineModel(stages).transform(train).select("features", log_hours)))
+    features = pack(store(PipelineModel(stages).transform(train).select("features", log_hours), "features"))
     spread, rows = features.agg(F.stddev_samp("log_hours"), F.count(F.lit(1))).first()
     ridge = LinearRegression(
         labelCol="log_hours",
@@ -96,7 +96,8 @@ def train_forest(
         *one_hot_stages(train, columns),
         VectorAssembler(inputCols=[f"{c}_onehot" for c in columns], outputCol="features"),
     ]
-    features = pack(settle(PipelineModel(stages).transform(train).select("features", F.col(HOURS).cast("double"))))
+    hours = F.col(HOURS).cast("double")
+    features = pack(store(PipelineModel(stages).transform(train).select("features", hours), "features"))
     forest = RandomForestRegressor(
         labelCol=HOURS,
         predictionCol="predicted_raw",

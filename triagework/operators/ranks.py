@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from triagework.session import broadcast_if, broadcast_if_small, is_small, join_null_safe, settle
+from triagework.session import broadcast_if, broadcast_if_small, is_small, join_null_safe, settle, store
 
 BUCKETS_PER_OCTAVE = 1024
 HASH_DIGITS = 4
@@ -134,7 +134,7 @@ def global_row_number(
     ``levels`` are columns, coarse to fine, that follow the order: sorting by them, then by ``order``, is sorting by
     ``order``. Each task sorts the rows of one finest level only and starts from the count of all earlier ones.
     """
-    counts = settle(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("n")))
+    counts = store(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("n")), "counts")
     starts = counts.drop("n").withColumn("__start", F.lit(0).cast("long"))
     for depth in range(len(levels)):
         outer, inner = [*keys, *levels[:depth]], [*keys, *levels[: depth + 1]]

@@ -16,7 +16,7 @@ from triagework.operators.tfidf import (
     tfidf_long,
     with_weights,
 )
-from triagework.session import settle
+from triagework.session import store
 from triagework.sources.exports import write_parquet
 from triagework.sources.tickets import require_columns
 
@@ -55,7 +55,7 @@ def preprocess(tickets: DataFrame, key: str = "ticket_key", stop_words: tuple[st
     text = model_text(F.col("Issue_Category"), F.col("Ticket_Subject"), F.col("Ticket_Description"))
     combined = labelled.select(F.col(key).alias("ticket_key"), "Priority_Level", text.alias("model_text"))
     split = stratified_split(combined, "Priority_Level", "ticket_key")
-    cleaned = settle(split.withColumn("model_text", clean_strict(F.col("model_text"))))
+    cleaned = store(split.withColumn("model_text", clean_strict(F.col("model_text"))), "cleaned")
     labels = settled_mapping(train_part(cleaned))
     texts = encode_labels(cleaned, labels)
     return Preprocessed(texts, fit_vocabulary(train_part(cleaned), "model_text", settings), labels)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from triagework.domain import PRIORITIES, SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.functions import dates, numbers, text
-from triagework.models import features, priority, resolution, store
+from triagework.models import features, priority, resolution, saved
 from triagework.operators import encode, evaluate, ranges, report, routing, splits, tfidf
 from triagework.plans import triage
 from triagework.plans.preprocess import preprocess
-from triagework.session import new_output_dir, settle
+from triagework.session import new_output_dir, store
 from triagework.sources import exports, queues, standins, tickets
 from triagework.sources.tables import read_table
 from triagework.streaming import routing as streaming
@@ -436,11 +436,8 @@ def target_encode(spark, folder):
 def cleaned_split(spark, folder):
     split = split_text(spark, folder).select("ticket_key", "split", "Ticket_Subject", "Ticket_Description")
     empty = F.lit("")
-    return settle(
-        split.withColumns(
-            {c: text.clean_strict(F.coalesce(c, empty)) for c in ("Ticket_Subject", "Ticket_Description")}
-        )
-    )
+    texts = {c: text.clean_strict(F.coalesce(c, empty)) for c in ("Ticket_Subject", "Ticket_Description")}
+    return store(split.withColumns(texts), "cleaned")
 
 
 @query
@@ -467,7 +464,7 @@ def tfidf_plain_counts(spark, folder):
 def tfidf_resolution(spark, folder):
     split = split_text(spark, folder)
     combined = text.resolution_text(F.col("Ticket_Subject"), F.col("Ticket_Description"))
-    texts = settle(split.select("ticket_key", "split", combined.alias("text")))
+    texts = store(split.select("ticket_key", "split", combined.alias("text")), "texts")
     vocabulary = tfidf.fit_vocabulary(splits.train_part(texts), "text", RESOLUTION_TERMS)
     return tfidf.tfidf_long(texts, "text", vocabulary, ["ticket_key"])
 
@@ -568,8 +565,8 @@ def score_batch(spark, folder):
 def model_roundtrip(spark, folder):
     """Tickets scored by a pipeline that was saved and loaded again."""
     model, _ = fitted_logistic(spark, folder)
-    path = store.save_model(model.pipeline, new_output_dir(spark, "model"))
-    loaded = priority.PriorityModel(store.load_model(spark, path))
+    path = saved.save_model(model.pipeline, new_output_dir(spark, "model"))
+    loaded = priority.PriorityModel(saved.load_model(spark, path))
     return loaded.score(standins.ticket_text(spark, folder)).select("ticket_key", "predicted_label")
 
 

@@ -47,13 +47,20 @@ def new_output_dir(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it as a reliable checkpoint, so later stages do not recompute it."""
+    """Compute a small ``df`` once and keep it as a reliable checkpoint, so later stages do not recompute it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Compute a large ``df`` once into a Parquet table; later scans read only the columns they need."""
+    path = new_output_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pack(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
-    """Merge the partitions of a settled ``df`` that are too small to be worth a task each in every iteration."""
+    """Merge the partitions of a stored ``df`` that are too small to be worth a task each in every iteration."""
     tasks = max(1, -(-df.count() // rows_per_task))
     return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
 
