@@ -7,8 +7,9 @@ from triagework.domain import SERVING_DEFAULTS
 from triagework.models import features, priority, resolution, saved
 from triagework.operators.ranges import settled_ranges
 from triagework.operators.splits import random_split, train_part
-from triagework.plans.triage import run_batch
+from triagework.plans.triage import analyze_ticket, queue_rows, route_batch, run_batch, triage_batch
 from triagework.sources import queues
+from triagework.streaming.routing import route_stream
 
 WORDS = {
     "Critical": "outage everything down urgent",
@@ -142,3 +143,37 @@ def test_batch_from_model_to_queues(spark, logistic, tickets, tmp_path):
     assert {r.Ticket_Channel for r in queued.collect()} == {SERVING_DEFAULTS["Ticket_Channel"]}
     exported = spark.read.option("header", True).csv(str(tmp_path / "out" / "predictions"))
     assert exported.count() == batch.count()
+
+
+def test_one_ticket(spark, logistic, tickets, tmp_path):
+    model, _ = logistic
+    ranges = settled_ranges(tickets)
+    assert analyze_ticket(spark, None, ranges, "s", "d", "Billing", "Email") is None
+    with pytest.raises(ValueError):
+        analyze_ticket(spark, model, ranges, "s", "  ", "Billing", "Email")
+    found = analyze_ticket(spark, model, ranges, "payment", WORDS["High"], "Billing", "Email").persist()
+    row = found.first()
+    assert (row.predicted_priority, row.routed_department) == ("High", "Billing")
+    assert max(row.confidence, key=row.confidence.get) == "High"
+    assert sum(row.confidence.values()) == pytest.approx(100, abs=0.03)
+    route_batch(found, str(tmp_path / "queues"))
+    queued = queues.read_queues(spark, str(tmp_path / "queues")).collect()
+    assert [(r.Ticket_ID, r.department_key) for r in queued] == [(row.Ticket_ID, "billing")]
+    unknown = analyze_ticket(spark, model, None, None, WORDS["High"], "Billing", "Email").first()
+    assert unknown.expected_resolution_range == "Unavailable"
+
+
+def test_arriving_tickets_are_scored(spark, logistic, tickets, tmp_path):
+    model, _ = logistic
+    ranges = settled_ranges(tickets)
+    columns = ["ticket_key", "Ticket_Description", "Issue_Category", F.col("Submission_Date").alias("Arrived_At")]
+    tickets.select(columns).write.parquet(str(tmp_path / "in"))
+    landed = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(landed.schema).parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "queues")
+    route_stream(stream, ranges, path, str(tmp_path / "state"), ["ticket_key"], model).awaitTermination()
+    completed = landed.withColumns({"Ticket_Subject": F.lit(""), "Ticket_Channel": F.lit("Web Form")})
+    batch = triage_batch(model.score(completed), ranges, "predicted_label", ["ticket_key"])
+    expected = queue_rows(batch, F.col("Arrived_At"), ["ticket_key"])
+    got = queues.read_queues(spark, path).select(expected.columns)
+    assert got.count() == tickets.count() and got.exceptAll(expected).count() == 0

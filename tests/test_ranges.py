@@ -65,3 +65,10 @@ def test_statistics_of_a_group_without_hours(spark):
 def test_wide_lookup_without_broadcast(spark, table, monkeypatch):
     monkeypatch.setattr("triagework.session.MAX_BROADCAST_ROWS", 0)
     assert lookup(spark, table, "High", "Fraud") == ("pair", "7.2–21.8 hours")
+
+
+def test_serving_without_a_usable_history(spark):
+    assert ranges.available_ranges(None) is None
+    assert ranges.available_ranges(spark.range(3)) is None
+    assert lookup(spark, None, "High", "Fraud") == (None, "Unavailable")
+    assert ranges.available_ranges(history(spark, [("High", "Fraud", 1.0)])).count() == 3

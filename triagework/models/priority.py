@@ -257,6 +257,7 @@ def train_categorical_boosted(
     Each class has its own encoding of every category column. The rounds kept are those up to the lowest loss summed
     over the classes.
     """
+    require_columns(tickets, [*REQUIRED, "Submission_Date"])
     labelled = tickets.where(F.col(LABEL).isNotNull())
     split = stratified_split(labelled.select(key, LABEL), LABEL, key).select(key, "split")
     inputs = store(categorical_inputs(labelled, key).join(split, key), "categorical-inputs")

@@ -28,17 +28,28 @@ def resolution_ranges(history: DataFrame) -> DataFrame:
     )
 
 
+def available_ranges(history: DataFrame | None) -> DataFrame | None:
+    """Settled ranges for serving: None without a history, or with one that lacks a column."""
+    if history is None or not set(RANGE_INPUTS) <= set(history.columns):
+        return None
+    return settled_ranges(history)
+
+
 def resolution_lookup(
     tickets: DataFrame,
-    ranges: DataFrame,
+    ranges: DataFrame | None,
     priority: str = "Priority_Level",
     category: str = "Issue_Category",
     min_pair_count: int = MIN_PAIR_COUNT,
 ) -> DataFrame:
     """Add each ticket's range: the pair's with enough known hours, else its priority's, else the overall one.
 
-    ``ranges`` is read three times, so pass a settled table. Adds ``range_level``, ``low_hours`` and ``high_hours``.
+    ``ranges`` is read three times, so pass a settled table; without one no ticket has a range. Adds ``range_level``,
+    ``low_hours`` and ``high_hours``.
     """
+    if ranges is None:
+        nothing = {"range_level": "string", "low_hours": "double", "high_hours": "double"}
+        return tickets.withColumns({name: F.lit(None).cast(kind) for name, kind in nothing.items()})
 
     def level(name: str, keys: dict[str, str], prefix: str) -> DataFrame:
         return ranges.where(F.col("range_level") == name).select(

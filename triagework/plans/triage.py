@@ -2,20 +2,21 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import BATCH_VIEW_COLUMNS
+from triagework.functions.numbers import half_even
 from triagework.models.priority import SCORES, PriorityModel
 from triagework.operators import report
 from triagework.operators.ranges import resolution_lookup, with_range_text
 from triagework.operators.routing import department_of, key_hash, queue_of, ticket_id
 from triagework.sources.exports import write_csv, write_parquet
 from triagework.sources.queues import append_to_queues
-from triagework.sources.tickets import complete_batch, select_available
+from triagework.sources.tickets import complete_batch, select_available, split_blank
 
 
-def triage_batch(tickets: DataFrame, ranges: DataFrame, priority: str, keys: list[str]) -> DataFrame:
+def triage_batch(tickets: DataFrame, ranges: DataFrame | None, priority: str, keys: list[str]) -> DataFrame:
     """Add the four result columns to a batch whose priorities are in column ``priority``.
 
     Routing and the range use the category as it came; only the model sees the filled one. The ticket id comes from
@@ -76,10 +77,38 @@ def batch_report(batch: DataFrame) -> BatchReport:
     )
 
 
+def analyze_ticket(
+    spark: SparkSession,
+    model: PriorityModel | None,
+    ranges: DataFrame | None,
+    subject: str | None,
+    description: str,
+    category: str,
+    channel: str,
+) -> DataFrame | None:
+    """One ticket with its priority, confidences in percent, department and range; None without a model.
+
+    Pass the result to ``route_batch`` to put the ticket into its queue.
+    """
+    if model is None:
+        return None
+    columns = ["Ticket_Subject", "Ticket_Description", "Issue_Category", "Ticket_Channel"]
+    ticket = spark.createDataFrame(
+        [(subject, description, category, channel)], ", ".join(f"{c} string" for c in columns)
+    )
+    accepted, _ = split_blank(ticket)
+    if accepted.isEmpty():
+        raise ValueError("the ticket needs a description")
+    scored = model.score(accepted)
+    percent = F.transform(SCORES, lambda x: half_even(x * 100, 2))
+    confident = scored.withColumn("confidence", F.map_from_arrays(F.array(*[F.lit(x) for x in model.labels]), percent))
+    return triage_batch(confident.drop(SCORES, "prediction"), ranges, "predicted_label", []).drop("predicted_label")
+
+
 def run_batch(
     tickets: DataFrame,
     model: PriorityModel,
-    ranges: DataFrame,
+    ranges: DataFrame | None,
     queues: str,
     output: str,
     keys: list[str] | None = None,

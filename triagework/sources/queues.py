@@ -20,11 +20,14 @@ def append_to_queues(routed: DataFrame, path: str) -> str:
     return path
 
 
-def read_queues(spark: SparkSession, path: str) -> DataFrame:
-    """All queues as one table; no table yet means no tickets."""
+def read_queues(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """All queues as one table; no table yet means no tickets.
+
+    With ``skip_unreadable`` files that cannot be read count as empty instead of failing the job.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], QUEUE_SCHEMA)
-    return spark.read.schema(QUEUE_SCHEMA).parquet(path)
+    return spark.read.schema(QUEUE_SCHEMA).option("ignoreCorruptFiles", skip_unreadable).parquet(path)
 
 
 def department_dimension(spark: SparkSession) -> DataFrame:

@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from triagework.models.priority import PriorityModel
 from triagework.operators.routing import department_of
 from triagework.plans.triage import queue_rows, triage_batch
+from triagework.sources.tickets import complete_batch
 
 
 def read_stream(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
@@ -19,9 +21,22 @@ def drop_repeats(tickets: DataFrame, key: str, arrival: str, within: str) -> Dat
     return tickets.withWatermark(arrival, within).dropDuplicatesWithinWatermark([key])
 
 
-def route_stream(tickets: DataFrame, ranges: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Triage arriving tickets against a settled range table and append them to the queues at ``path``."""
-    batch = triage_batch(tickets, ranges, "Priority_Level", keys)
+def route_stream(
+    tickets: DataFrame,
+    ranges: DataFrame | None,
+    path: str,
+    checkpoint: str,
+    keys: list[str],
+    model: PriorityModel | None = None,
+) -> StreamingQuery:
+    """Triage arriving tickets against a settled range table and append them to the queues at ``path``.
+
+    The priority is the model's, or column ``Priority_Level`` without a model.
+    """
+    if model is None:
+        batch = triage_batch(tickets, ranges, "Priority_Level", keys)
+    else:
+        batch = triage_batch(model.score(complete_batch(tickets)), ranges, "predicted_label", keys)
     routed = queue_rows(batch, F.col("Arrived_At"), keys)
     return (
         routed.writeStream.format("parquet")
