@@ -313,7 +313,7 @@ def train_categorical_boosted(
 
 def confidences(scored: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
     """One row per ticket and class: its label and the confidence in percent, to two digits."""
-    exploded = scored.select(*keep, F.posexplode(SCORES).alias("class_number", "share"))
+    exploded = scored.select(*keep, F.posexplode_outer(SCORES).alias("class_number", "share"))
     names = F.array(*[F.lit(x) for x in labels])
     return exploded.select(
         *keep,

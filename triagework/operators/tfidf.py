@@ -47,15 +47,17 @@ def with_terms(df: DataFrame, text: str, stop_words: Sequence[str], name: str =
 
 
 def term_counts(df: DataFrame, text: str, settings: TermSettings) -> DataFrame:
-    """Occurrences and number of texts per term, from one shuffle of pre-combined counts."""
-
-    def marks(terms: Column, tf: int, df: int) -> Column:
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
-
-    marked = with_terms(df.select(text), text, settings.stop_words).select(
-        F.explode(F.concat(marks(F.col("terms"), 1, 0), marks(F.array_distinct("terms"), 0, 1))).alias("mark")
+    """Occurrences and number of texts per term, from one shuffle of pre-combined counts.
+
+    Each text lists its terms twice, once with and once without repeats. The exploding is the outer kind throughout:
+    for the inner kind the optimizer adds a filter on the array's size that works out every text's terms again.
+    """
+    terms = with_terms(df.select(text), text, settings.stop_words)
+    lists = terms.select(F.posexplode_outer(F.array("terms", F.array_distinct("terms"))).alias("distinct", "list"))
+    marks = lists.select("distinct", F.explode_outer("list").alias("term")).where(F.col("term").isNotNull())
+    return marks.groupBy("term").agg(
+        F.count_if(F.col("distinct") == 0).alias("term_count"), F.count_if(F.col("distinct") == 1).alias("doc_count")
     )
-    return marked.groupBy("mark.term").agg(F.sum("mark.tf").alias("term_count"), F.sum("mark.df").alias("doc_count"))
 
 
 def top_terms(df: DataFrame, text: str, settings: TermSettings) -> DataFrame:
@@ -107,9 +109,8 @@ def tfidf_long(df: DataFrame, text: str, vocabulary: Vocabulary, keep: list[str]
     """One row per text and known term: the columns ``keep``, ``term`` and ``weight``."""
     if not vocabulary.terms:
         return df.limit(0).select(*keep, F.lit("").alias("term"), F.lit(0.0).alias("weight"))
-    entries = with_weights(df.select(*keep, text), text, vocabulary).select(
-        *keep, F.inline(F.arrays_zip("indices", "weights"))
-    )
+    weighed = with_weights(df.select(*keep, text), text, vocabulary)
+    entries = weighed.select(*keep, F.inline_outer(F.arrays_zip("indices", "weights"))).where("indices is not null")
     return entries.select(
         *keep,
         F.get(_literal(vocabulary.terms, "string"), F.col("indices")).alias("term"),

@@ -503,10 +503,11 @@ def one_hot(spark, folder):
     labels = dict(zip(columns, stages[0].labelsArray, strict=True))
     filled = tickets.fill_defaults(split, {c: SERVING_DEFAULTS[c] for c in columns})
     encoded = PipelineModel(stages).transform(filled)
-    position = F.explode(F.unwrap_udt("__vector")["indices"]).alias("position")
+    position = F.explode_outer(F.unwrap_udt("__vector")["indices"]).alias("position")
     parts = []
     for column in columns:
         part = encoded.select("ticket_key", F.col(f"{column}_onehot").alias("__vector")).select("ticket_key", position)
+        part = part.where(F.col("position").isNotNull())
         value = F.get(F.array(*[F.lit(x) for x in labels[column]]), F.col("position"))
         parts.append(part.withColumns({"feature": F.lit(column), "value": value}))
     return parts[0].unionByName(parts[1])
