@@ -4,6 +4,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from triagework.session import new_output_dir, shared_dir
 #: A-Z to a-z on UTF-8 bytes; all other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Characters that are worked on at once.
+CHUNK_CHARS = 1 << 20
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -54,6 +58,31 @@ def text_batches(batches: Iterable[pa.RecordBatch], rows: int = 2_000) -> Iterat
             yield batch.slice(at, rows)
 
 
+def spread_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``start .. start + length`` of every run, one after the other."""
+    total = int(lengths.sum())
+    out = np.ones(total, np.int64)
+    some = lengths > 0
+    starts, lengths = starts[some], lengths[some]
+    if total:
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        out[first] = starts
+        out[first[1:]] -= starts[:-1] + lengths[:-1] - 1
+        np.cumsum(out, out=out)
+    return out
+
+
+def in_chunks(batches: Iterable[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows holding about ``CHUNK_CHARS`` characters, with their texts."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // CHUNK_CHARS
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                yield (rows := batch.slice(a, b - a)), rows.column(text_at).to_pylist()
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], name: str, rows_per_task: int = 500_000) -> DataFrame:
     """Number the rows of each ``keys`` group from 0 without gaps; no task holds a whole group.
 

@@ -1,9 +1,15 @@
 """Registered queries of this subpackage and their SQL counterparts."""
 
+from triagework.llm.byte_bpe import op9_byte_bpe
 from triagework.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from triagework.llm.packing import op4_pack
+from triagework.llm.simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_pack": op4_pack,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 STATEMENTS = {
