@@ -1,17 +1,31 @@
 """Registered queries of this subpackage and their SQL counterparts."""
 
+import corpus_pipeline
 from triagework.llm.byte_bpe import op9_byte_bpe
+from triagework.llm.class_lm import op2_class_lm
+from triagework.llm.ego_join import op3_ego_join
 from triagework.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from triagework.llm.language import op6_language
 from triagework.llm.packing import op4_pack
+from triagework.llm.quality import op5_quality
+from triagework.llm.sharding import op8_sharding
 from triagework.llm.simhash import op1_simhash
+from triagework.llm.url_rules import op10_url_rules
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_class_lm": op2_class_lm,
+    "op3_ego_join": op3_ego_join,
     "op4_pack": op4_pack,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_url_rules": op10_url_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
-STATEMENTS = {
-    "op7_exact_dedup": OP7_SQL,
-}
+STATEMENTS = {"op7_exact_dedup": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    STATEMENTS["pipeline"] = corpus_pipeline.ORACLE_SQL

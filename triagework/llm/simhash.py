@@ -9,8 +9,8 @@ variants in it, halving blocks that would not fit its memory.
 Fingerprints that share a variant are all within ``distance`` of each other, so a chain through the smallest of them
 loses no link; every emitted pair is verified by its bit distance. Copies share a fingerprint and are compared once.
 
-Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows share a component. A null id is
-larger than all others. No rows give no rows; other columns are not read.
+Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows share a component. A component's
+id is its smallest one, null if all are null. No rows give no rows; other columns are not read.
 """
 
 from collections.abc import Iterable, Iterator
@@ -39,6 +39,7 @@ BITS = 64
 BLOCK_ROWS = 1 << 18
 LEAST_PREFIX = 10
 VARIANTS_AT_ONCE = 1 << 21
+NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -69,17 +70,19 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and the signed 64-bit ``fingerprint`` of every whole text."""
+def fingerprints(
+    docs: DataFrame, words: int = SHINGLE_WORDS, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``id``, ``text_hash`` and the signed 64-bit ``fingerprint`` of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in in_chunks(batches, 1):
+        for rows, texts in in_chunks(batches, 0):
             found = np.array([fingerprint(shingle_hashes(t, words)) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found)], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(found)], ["id", "text_hash", "fingerprint"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_column)
+    text = F.col(text_column).cast("string")
+    chosen = docs.select(text.alias("text"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    return chosen.mapInArrow(run, "id long, text_hash long, fingerprint long")
 
 
 def flips(bits: int, most: int) -> list[int]:
@@ -178,15 +181,20 @@ def near_links(distinct: DataFrame, distance: int = DISTANCE, block_rows: int =
     return cut.groupBy("block", "part").applyInArrow(meet, "a long, b long").distinct()
 
 
-def components(prints: DataFrame, id_column: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """Distinct ``fingerprint`` and the smallest id (``component_id``) reachable from it; ``prints`` is a stored table."""
-    distinct = scratch(prints.groupBy("fingerprint").agg(F.min(id_column).alias("id")), "prints")
+def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Distinct ``fingerprint``, the ``root`` fingerprint of its component, and the component's smallest id.
+
+    ``prints`` is a stored table.
+    """
+    distinct = scratch(prints.groupBy("fingerprint").agg(F.min("id").alias("own_id")), "prints")
     found = connected_components(near_links(distinct.select("fingerprint"), distance))
-    linked = distinct.join(found, F.col("fingerprint") == F.col("node")).select("component", "id")
-    named = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    reached = found.join(named, "component").select("node", "component_id")
+    linked = distinct.join(found, F.col("fingerprint") == F.col("node")).select("component", "own_id")
+    named = linked.groupBy("component").agg(F.min("own_id").alias("component_id"))
+    reached = found.join(named, "component").select("node", "component", "component_id")
     return distinct.join(reached, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", F.coalesce("component_id", "id").alias("component_id")
+        "fingerprint",
+        F.coalesce("component", "fingerprint").alias("root"),
+        F.when(F.col("component").isNull(), F.col("own_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
@@ -199,10 +207,38 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: id, ``fingerprint`` as 16 hex digits, and ``component_id``."""
     prints = scratch(fingerprints(docs, words, id_column, text_column), "simhash")
-    named = components(prints, id_column, distance)
+    named = scratch(components(prints, distance), "components")
     return prints.join(named, "fingerprint").select(
-        id_column, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
+        F.col("id").alias(id_column),
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    words: int = SHINGLE_WORDS,
+    distance: int = DISTANCE,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``docs`` with one row per component, the one with the smallest id (null last), all columns as they were."""
+    prints = scratch(fingerprints(docs, words, id_column, text_column), "simhash")
+    named = scratch(components(prints, distance), "components")
+    kept = (
+        prints.join(named, "fingerprint")
+        .where(F.col("id").eqNullSafe(F.col("component_id")))
+        .groupBy("root")
+        .agg(F.min("id").alias("id"), F.min("text_hash").alias("h"))
+        .select(F.coalesce("id", F.lit(NO_ID)).alias("k_id"), F.col("h").alias("k_h"))
+    )
+    inner = docs.select(
+        *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)],
+        F.coalesce(docs[f"`{id_column}`"].cast("long"), F.lit(NO_ID)).alias("k_id"),
+        F.xxhash64(docs[f"`{text_column}`"].cast("string")).alias("k_h"),
     )
+    one = inner.join(kept, ["k_id", "k_h"], "left_semi").dropDuplicates(["k_id", "k_h"])
+    return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
