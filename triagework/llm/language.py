@@ -28,7 +28,7 @@ LETTER = re.compile(r"[^\W\d_]")
 ALL_SPLITS = 6
 SHARPNESS = 8.0
 #: Least share of the two best codewords' scores that the best must have.
-CLEAR = 0.6
+CLEAR = 0.55
 
 
 def grams(text: str) -> np.ndarray:

@@ -30,7 +30,7 @@ LABEL_ROWS = 65_536
 CUT_FOLDS = 4
 #: Pseudo-counts that pull the ratio of rare n-grams to 1.
 PRIOR = 20.0
-KEEP_TARGET = 0.995
+KEEP_TARGET = 0.998
 REMEMBERED = 500_000
 WORD = re.compile(r"\w+|[^\w\s]+")
 SHAPES = 8
