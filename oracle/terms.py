@@ -1,27 +1,14 @@
 """SQL for vocabularies and TF-IDF weights."""
 
-import zipfile
-from functools import cache
-from pathlib import Path
-
-import pyspark
-
 from oracle.views import WORD, half_even
-
-
-@cache
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's English stop words, read from the library that ships them."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        return tuple(archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n"))
+from triagework.domain import ENGLISH_STOP_WORDS
 
 
 def words(text: str, stop: bool) -> str:
     found = f"regexp_extract_all(lower({text}), '{WORD}{{2,}}')"
     if not stop:
         return found
-    listed = ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words() if w)
+    listed = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
     return f"list_filter({found}, lambda x: x not in ({listed}))"
 
 

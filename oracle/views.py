@@ -20,7 +20,7 @@ select o_orderkey as ticket_key,
 from orders join customer on o_custkey = c_custkey""",
     "ticket_text": """
 select d.doc_id as ticket_key,
-       case when d.doc_id % 10 = 3 then null else substr(d.text, 1, 60) end as Ticket_Subject,
+       case when d.doc_id % 10 = 3 then null else d.text end as Ticket_Subject,
        d.text as Ticket_Description,
        case cast(substr(d.source, 4) as int) % 7 when 0 then 'Technical' when 1 then 'Billing' when 2 then 'Fraud'
             when 3 then 'Account' when 4 then 'General Inquiry' when 5 then 'Other' end as Issue_Category,

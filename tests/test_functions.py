@@ -45,3 +45,23 @@ def test_unreadable_dates_take_the_defaults(spark):
     assert zero == [(2024, 3, 5, 1, 14), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]
     noon = [tuple(r) for r in parsed.select(*dates.regression_parts(F.col("ts")).values()).collect()]
     assert noon == [(14, 1, 3), (12, 0, 1), (12, 0, 1)]
+
+
+def test_dates_are_read_leniently(spark):
+    expected = {
+        "2024-03-15": datetime(2024, 3, 15),
+        "2024-03-15T08:01:02": datetime(2024, 3, 15, 8, 1, 2),
+        "15/03/2024": datetime(2024, 3, 15),
+        "03/15/2024 08:00": datetime(2024, 3, 15, 8),
+        "3/4/2024": datetime(2024, 3, 4),
+        "Mar 3 2024": datetime(2024, 3, 3),
+        "March 3, 2024 9:05": datetime(2024, 3, 3, 9, 5),
+        "3 Mar 2024": datetime(2024, 3, 3),
+        "2024/3/5 7:06:05": datetime(2024, 3, 5, 7, 6, 5),
+        "25-12-2024": datetime(2024, 12, 25),
+        "garbage": None,
+        "13/13/2024": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in expected], "t string").select("t", dates.parse_submission(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in rows} == expected

@@ -3,6 +3,7 @@ import pytest
 from triagework import jobs
 from triagework.models import priority
 from triagework.models.saved import save_model
+from triagework.plans.preprocess import read_vocabulary, transform_texts
 from triagework.sources import queues
 
 HEADER = (
@@ -37,6 +38,15 @@ def test_inspect_and_preprocess(spark, root, capsys):
     features = spark.read.parquet(f"{root}/data/processed/features").where("ticket_key is not null")
     assert features.count() == 160
     assert spark.read.parquet(f"{root}/data/processed/tfidf").where("weight > 1").count() == 0
+    vocabulary = read_vocabulary(spark, f"{root}/data/processed/vocabulary")
+    again = transform_texts(jobs.history(spark, root), vocabulary)
+    assert again.exceptAll(features.select(again.columns)).count() == 0
+
+
+def test_repeated_rows_have_keys_of_their_own(spark, tmp_path):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "customer_support_tickets.csv").write_text(HEADER + "s,d,Billing,Email,Low,2024-01-01,5\n" * 9)
+    assert jobs.history(spark, str(tmp_path)).select("ticket_key").distinct().count() == 9
 
 
 def test_train_batch_and_queues(spark, root, capsys):

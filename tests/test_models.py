@@ -3,10 +3,11 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from triagework.domain import SERVING_DEFAULTS
+from triagework.domain import SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.models import features, priority, resolution, saved
 from triagework.operators.ranges import settled_ranges
 from triagework.operators.splits import random_split, train_part
+from triagework.operators.tfidf import fit_vocabulary, tfidf_long
 from triagework.plans.triage import analyze_ticket, queue_rows, route_batch, run_batch, triage_batch
 from triagework.sources import queues
 from triagework.streaming.routing import route_stream
@@ -78,10 +79,51 @@ def test_categorical_boosting_keeps_the_best_rounds(tickets):
     fitted, scored = priority.train_categorical_boosted(tickets, rounds=6, depth=3, patience=2)
     assert fitted.labels == sorted(WORDS) and len(fitted.curve) == 6
     assert 1 <= fitted.rounds <= 6
-    assert all(len(m.trees) == fitted.rounds for m in fitted.pipeline.stages[:-1])
+    assert all(len(m.trees) == fitted.rounds for m in fitted.pipeline.stages[len(WORDS) : -1])
     assert all(sum(r[priority.SCORES]) == pytest.approx(1.0) for r in check(scored, 0.4))
 
 
+def test_categorical_model_serves_raw_tickets(spark, tickets, tmp_path):
+    fitted, scored = priority.train_categorical_boosted(tickets, rounds=3, depth=3, patience=2)
+    loaded = priority.CategoricalBoosting.load(spark, fitted.save(str(tmp_path / "model")))
+    assert loaded.labels == sorted(WORDS)
+    served = loaded.score(tickets, TRAINING_DEFAULTS).select("ticket_key", priority.SCORES)
+    expected = {r.ticket_key: r[priority.SCORES] for r in scored.collect()}
+    got = {r.ticket_key: r[priority.SCORES] for r in served.collect()}
+    assert len(got) == tickets.count() and expected
+    assert all(got[k] == pytest.approx(v) for k, v in expected.items())
+    bare = spark.createDataFrame([("new words", None)], "Ticket_Description string, Issue_Category string")
+    report = run_batch(bare, loaded, None, str(tmp_path / "queues"), str(tmp_path / "out"))
+    assert report.results.first().predicted_priority in WORDS
+    assert priority.CategoricalBoosting.load(spark, str(tmp_path / "none")) is None
+
+
+def test_repeated_tickets_do_not_multiply(spark):
+    rows = [("k", WORDS[x], x) for x in WORDS for _ in range(50)]
+    repeated = spark.createDataFrame(rows, "ticket_key string, Ticket_Description string, Priority_Level string")
+    repeated = repeated.withColumns(
+        {"Ticket_Subject": F.lit("s"), "Issue_Category": F.lit("Billing"), "Ticket_Channel": F.lit("Email"),
+         "Submission_Date": F.lit("2024-01-01").cast("timestamp")}
+    )
+    _, scored = priority.train_categorical_boosted(repeated, rounds=1, depth=2)
+    assert scored.count() == 40
+
+
+def test_pipeline_weights_equal_the_long_table(spark):
+    texts = spark.createDataFrame([(1, "a b a b a zz yy"), (2, "zz zz zz"), (3, ""), (4, "none at all")], "ticket_key int, t string")
+    vocabulary = fit_vocabulary(texts, "t", features.TermSettings(20))
+    stages = PipelineModel(features.tfidf_stages("t", vocabulary))
+    transformed = stages.transform(texts)
+    assert "Python" not in transformed._jdf.queryExecution().toString()
+    vectors = {
+        (r.ticket_key, vocabulary.terms[int(i)]): v
+        for r in transformed.collect()
+        for i, v in zip(r.t_tfidf.indices, r.t_tfidf.values, strict=True)
+    }
+    long = {(r.ticket_key, r.term): r.weight for r in tfidf_long(texts, "t", vocabulary, ["ticket_key"], 9).collect()}
+    assert long and vectors == pytest.approx(long, abs=1e-8)
+
+
 def test_confidences_add_up(logistic, tickets):
     model, _ = logistic
     lines = priority.confidences(model.score(tickets), model.labels, ["ticket_key"])

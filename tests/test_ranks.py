@@ -108,3 +108,26 @@ def test_nothing_depends_on_broadcasting(spark, table, frame, monkeypatch):
         assert split.where("split = 'test'").count() == math.ceil(333 * 0.2) + math.ceil(664 * 0.2)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_keys_are_dealt_out(spark):
+    labels = ["a", "b", "c", None]
+    rows = [("same", x, n) for x in labels for n in range(100)]
+    df = spark.createDataFrame(rows, "key string, label string, n int").repartition(5)
+    split = splits.stratified_split(df, "label", "key").persist()
+    counts = {(r.label, r.split): r["count"] for r in split.groupBy("label", "split").count().collect()}
+    assert counts == {(x, s): c for x in labels for s, c in (("test", 20), ("train", 80))}
+    assert split.drop("split").exceptAll(df).count() == 0 and split.count() == 400
+
+
+def test_some_equal_keys_keep_the_exact_share(spark):
+    rows = [(f"k{n // 7}", "x", n) for n in range(703)]
+    split = splits.stratified_split(spark.createDataFrame(rows, "key string, label string, n int"), "label", "key")
+    counts = {r.split: r["count"] for r in split.groupBy("split").count().collect()}
+    assert counts == {"test": math.ceil(703 * 0.2), "train": 703 - math.ceil(703 * 0.2)}
+
+
+def test_row_numbers_keep_nulls(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), (None, None, 3), ("a", None, 4)], "k string, t int, i int")
+    numbered = ranks.global_row_number(df.withColumn("l", F.col("t")), ["k"], ["l"], ["t", "i"], "no").collect()
+    assert sorted((r.i, r.no) for r in numbered) == [(1, 1), (2, 3), (3, 1), (4, 2)]

@@ -26,7 +26,7 @@ def history_file(tmp_path):
 
 def test_csv_types_null_tokens_and_line_breaks(spark, history_file):
     path = tickets.history_path(spark, str(history_file))
-    rows = tickets.read_ticket_csv(spark, path).collect()
+    rows = tickets.read_ticket_csv(spark, path, line_breaks=True).collect()
     assert rows[0].Ticket_Description == 'two\nlines, "quoted"'
     assert rows[0].Submission_Date == datetime(2024, 1, 2, 3, 4, 5)
     assert rows[0].Resolution_Time_Hours == 12.5 and rows[0].Agent == "ann"
@@ -68,7 +68,7 @@ def test_defaults_fill_nulls_only(spark):
 def test_csv_export_reads_back(spark, tmp_path):
     rows = [("1", ' a "b", c\r\nd ', None), ("2", "ü\t", "x")]
     path = exports.write_csv(spark.createDataFrame(rows, "k string, t string, n string"), str(tmp_path / "out"))
-    assert sorted(tuple(r) for r in tickets.read_ticket_csv(spark, path).collect()) == rows
+    assert sorted(tuple(r) for r in tickets.read_ticket_csv(spark, path, line_breaks=True).collect()) == rows
 
 
 def test_available_columns_in_order(spark):
@@ -108,3 +108,15 @@ def test_thread_keeps_first_user_turn(spark, small):
     turns = spark.read.parquet(f"{small}/conversations.parquet").where("role = 'user'").toPandas()
     first = turns.sort_values("turn").groupby("conv_id").text.first().to_dict()
     assert {r.ticket_key: r.Ticket_Description for r in thread.collect()} == first
+
+
+def test_large_csv_is_split(spark, tmp_path):
+    lines = [HEADER, *[f"s{n},{'word ' * 30},Billing,Email,Low,2024-01-02" for n in range(20_000)]]
+    (tmp_path / "big.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        read = tickets.read_ticket_csv(spark, str(tmp_path / "big.csv"))
+        assert read.rdd.getNumPartitions() > 4 and read.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

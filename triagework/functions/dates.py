@@ -4,9 +4,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Tried in this order after the ISO forms; where day and month could be either, the month comes first.
+DATE_FORMATS = [
+    "M/d/yyyy[ H:mm[:ss]]",
+    "d/M/yyyy[ H:mm[:ss]]",
+    "yyyy/M/d[ H:mm[:ss]]",
+    "M-d-yyyy[ H:mm[:ss]]",
+    "d-M-yyyy[ H:mm[:ss]]",
+    "MMM d[,] yyyy[ H:mm[:ss]]",
+    "MMMM d[,] yyyy[ H:mm[:ss]]",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "d MMMM yyyy[ H:mm[:ss]]",
+]
+
+
 def parse_submission(text: Column) -> Column:
     """Timestamp of a date text, null where it cannot be read."""
-    return F.try_to_timestamp(text)
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
 
 
 def calendar_parts(ts: Column) -> dict[str, Column]:

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import SERVING_DEFAULTS, TRAINING_DEFAULTS
@@ -32,8 +32,9 @@ from triagework.operators.encode import target_encode, target_flags
 from triagework.operators.evaluate import early_stop
 from triagework.operators.splits import stratified_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings
-from triagework.session import pack, store
-from triagework.sources.tickets import fill_defaults, require_columns
+from triagework.session import store
+from triagework.sources.exports import write_parquet
+from triagework.sources.tickets import fill_defaults, path_exists, require_columns
 
 LABEL = "Priority_Level"
 SCORES = "class_scores"
@@ -88,7 +89,7 @@ def fit_priority(
     labels = [row[0] for row in train.select(LABEL).distinct().orderBy(LABEL).collect()]
     stages = feature_stages(train, texts, categorical, numeric)
     features = PipelineModel(stages).transform(train).select(LABEL, "features")
-    pipeline = PipelineModel([*stages, *learner(pack(store(features, "features")), labels)])
+    pipeline = PipelineModel([*stages, *learner(store(features, "features"), labels)])
     model = PriorityModel(pipeline)
     return model, model.score_inputs(test_part(inputs), [key, LABEL])
 
@@ -214,32 +215,63 @@ def train_logistic(
     return fit_priority(tickets, learner or logistic_learner(), texts=texts, categorical=[], numeric=[])
 
 
-@dataclass(frozen=True)
-class CategoricalBoosting:
-    """Boosted trees over target-encoded columns: one pipeline, its encoded inputs and where training stopped."""
-
-    pipeline: PipelineModel
-    labels: list[str]
-    rounds: int
-    curve: list[float]
-
-
 LIGHT_NUMBERS = [
     "Submission_Year", "Submission_Month", "Submission_Day", "Submission_DayOfWeek", "Submission_Hour",
     "Subject_Length", "Description_Length", "Subject_Word_Count", "Description_Word_Count", "Exclamation_Count",
     "Question_Count", "Urgency_Word_Count",
 ]
+CATEGORY_COLUMNS = [*TEXTS, *CATEGORICAL]
 
 
-def categorical_inputs(tickets: DataFrame, key: str = "ticket_key") -> DataFrame:
-    """Lightly cleaned texts, filled categories, date parts and text statistics."""
-    filled = fill_defaults(tickets, TRAINING_DEFAULTS)
-    cleaned = filled.withColumns({c: clean_light(F.col(c)) for c in TEXTS})
+def categorical_inputs(tickets: DataFrame, defaults: dict[str, str] = TRAINING_DEFAULTS) -> DataFrame:
+    """Tickets plus ``model_*`` columns: lightly cleaned texts, filled categories, date parts and text statistics."""
+    names = {c: f"model_{c}" for c in CATEGORY_COLUMNS}
+    filled = fill_defaults(
+        tickets.select("*", *[F.col(c).alias(n) for c, n in names.items()]), {n: defaults[c] for c, n in names.items()}
+    )
+    cleaned = filled.withColumns({names[c]: clean_light(F.col(names[c])) for c in TEXTS})
+    submitted = F.col("Submission_Date") if "Submission_Date" in tickets.columns else F.lit(None).cast("timestamp")
     numbers = {
-        **calendar_parts(F.col("Submission_Date")),
-        **light_statistics(F.col("Ticket_Subject"), F.col("Ticket_Description")),
+        **calendar_parts(submitted),
+        **light_statistics(F.col(names["Ticket_Subject"]), F.col(names["Ticket_Description"])),
     }
-    return cleaned.select(key, LABEL, *TEXTS, *CATEGORICAL, *[c.cast("double").alias(n) for n, c in numbers.items()])
+    return cleaned.withColumns({f"model_{n}": c.cast("double") for n, c in numbers.items()})
+
+
+@dataclass(frozen=True)
+class CategoricalBoosting:
+    """Boosted trees over target-encoded columns: encodings, one pipeline, and where training stopped.
+
+    ``encodings`` is a table of the training rows' counts per category column, category and class.
+    """
+
+    encodings: DataFrame
+    pipeline: PipelineModel
+    rounds: int = 0
+    curve: tuple[float, ...] = ()
+
+    @property
+    def labels(self) -> list[str]:
+        last = self.pipeline.stages[-1]
+        return last.getOrDefault(last.labels)
+
+    def score(self, tickets: DataFrame, defaults: dict[str, str] = SERVING_DEFAULTS) -> DataFrame:
+        """Tickets with ``class_scores``, ``prediction`` and ``predicted_label``."""
+        inputs = encode_with(categorical_inputs(tickets, defaults), self.encodings, len(self.labels))
+        return self.pipeline.transform(inputs).select(*tickets.columns, SCORES, "prediction", "predicted_label")
+
+    def save(self, path: str) -> str:
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        write_parquet(self.encodings, f"{path}/encodings")
+        return path
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "CategoricalBoosting | None":
+        if not path_exists(spark, f"{path}/pipeline"):
+            return None
+        return CategoricalBoosting(
+            spark.read.parquet(f"{path}/encodings"), PipelineModel.load(f"{path}/pipeline")
+        )
 
 
 def train_categorical_boosted(
@@ -259,20 +291,20 @@ def train_categorical_boosted(
     """
     require_columns(tickets, [*REQUIRED, "Submission_Date"])
     labelled = tickets.where(F.col(LABEL).isNotNull())
-    split = stratified_split(labelled.select(key, LABEL), LABEL, key).select(key, "split")
-    inputs = store(categorical_inputs(labelled, key).join(split, key), "categorical-inputs")
+    prepared = categorical_inputs(stratified_split(labelled, LABEL, key))
+    model_columns = [f"model_{c}" for c in [*CATEGORY_COLUMNS, *LIGHT_NUMBERS]]
+    inputs = store(prepared.select(key, LABEL, "split", *model_columns), "categorical-inputs")
     labels = [row[0] for row in train_part(inputs).select(LABEL).distinct().orderBy(LABEL).collect()]
     encoded = source = target_flags(inputs, LABEL, labels)
-    for column in [*TEXTS, *CATEGORICAL]:
+    for column in CATEGORY_COLUMNS:
         targets = {f"{column}_{number}": f"is_{label}" for number, label in enumerate(labels)}
         encoded = target_encode(
-            encoded, column, targets, key, few_values=column in CATEGORICAL, source=source
+            encoded, f"model_{column}", targets, key, few_values=column in CATEGORICAL, source=source
         )
-    encoded = encoded.drop(*TEXTS, *CATEGORICAL)
 
     vectors = [
         VectorAssembler(
-            inputCols=[*[f"{column}_{number}" for column in [*TEXTS, *CATEGORICAL]], *LIGHT_NUMBERS],
+            inputCols=[*[f"{column}_{number}" for column in CATEGORY_COLUMNS], *[f"model_{n}" for n in LIGHT_NUMBERS]],
             outputCol=f"features{number}",
         )
         for number in range(len(labels))
@@ -281,7 +313,7 @@ def train_categorical_boosted(
     assembled = store(
         PipelineModel(vectors).transform(encoded).select(key, LABEL, "split", *columns), "encoded-features"
     )
-    train, held_out = pack(train_part(assembled)), assembled.where(F.col("split") == validation)
+    train, held_out = train_part(assembled), assembled.where(F.col("split") == validation)
 
     def fit_rounds(count: int) -> list[Transformer]:
         def fit(number: int, label: str) -> Transformer:
@@ -306,9 +338,45 @@ def train_categorical_boosted(
     kept = end["best_iteration"] + 1
     if kept < rounds:
         models = fit_rounds(kept)
-    pipeline = PipelineModel([*models, _combine(labels, "probability", normalise=True)])
-    scored = pipeline.transform(test_part(assembled)).select(key, LABEL, SCORES, "prediction", "predicted_label")
-    return CategoricalBoosting(pipeline, labels, kept, curve), scored
+    trees = [*models, _combine(labels, "probability", normalise=True)]
+    scored = PipelineModel(trees).transform(test_part(assembled))
+    encodings = store(category_counts(train_part(inputs), CATEGORY_COLUMNS, labels), "encodings")
+    fitted = CategoricalBoosting(encodings, PipelineModel([*vectors, *trees]), kept, tuple(curve))
+    return fitted, scored.select(key, LABEL, SCORES, "prediction", "predicted_label")
+
+
+def category_counts(train: DataFrame, columns: list[str], labels: list[str]) -> DataFrame:
+    """Training rows per category column and category, and how many of them are of each class.
+
+    The row without a column name counts all rows.
+    """
+    marked = F.array(*[F.struct(F.lit(c).alias("name"), _category(c).alias("category")) for c in columns])
+    everything = F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("category")))
+    rows = train.select(LABEL, F.explode(F.concat(marked, everything)).alias("c"))
+    of_class = [F.sum((F.col(LABEL) == label).cast("double")).alias(f"n{i}") for i, label in enumerate(labels)]
+    return rows.groupBy("c.name", "c.category").agg(F.count(F.lit(1)).cast("double").alias("n"), *of_class)
+
+
+def _category(column: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"model_{column}"), F.lit("")))
+
+
+def encode_with(inputs: DataFrame, encodings: DataFrame, classes: int, smoothing: float = 1.0) -> DataFrame:
+    """Encode the category columns of new tickets by the stored counts; an unseen category gets the overall share."""
+    counts = [f"n{i}" for i in range(classes)]
+    overall = encodings.where("name = ''").select("n", *counts).first()
+    for column in CATEGORY_COLUMNS:
+        seen = encodings.where(F.col("name") == column).select(
+            F.col("category").alias("__category"), F.struct("n", *counts).alias("__seen")
+        )
+        joined = inputs.join(seen, _category(column) == F.col("__category"), "left")
+        total = F.coalesce(F.col("__seen.n"), F.lit(0.0)) + smoothing
+        encoded = {
+            f"{column}_{i}": (F.coalesce(F.col(f"__seen.{n}"), F.lit(0.0)) + smoothing * overall[n] / overall["n"]) / total
+            for i, n in enumerate(counts)
+        }
+        inputs = joined.withColumns(encoded).drop("__category", "__seen")
+    return inputs
 
 
 def confidences(scored: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from triagework.models.stages import ClippedHours
 from triagework.operators.encode import population_deviations
 from triagework.operators.splits import random_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings, fit_vocabulary
-from triagework.session import pack, store
+from triagework.session import store
 from triagework.sources.tickets import drop_incomplete, require_columns
 
 HOURS = "Resolution_Time_Hours"
@@ -62,7 +62,7 @@ def train_ridge(
         VectorAssembler(inputCols=["text_tfidf", *[f"{c}_onehot" for c in CATEGORIES], "scaled"], outputCol="features"),
     ]
     log_hours = F.log1p(HOURS).alias("log_hours")
-    features = pack(store(PipelineModel(stages).transform(train).select("features", log_hours), "features"))
+    features = store(PipelineModel(stages).transform(train).select("features", log_hours), "features")
     spread, rows = features.agg(F.stddev_samp("log_hours"), F.count(F.lit(1))).first()
     ridge = LinearRegression(
         labelCol="log_hours",
@@ -97,7 +97,7 @@ def train_forest(
         VectorAssembler(inputCols=[f"{c}_onehot" for c in columns], outputCol="features"),
     ]
     hours = F.col(HOURS).cast("double")
-    features = pack(store(PipelineModel(stages).transform(train).select("features", hours), "features"))
+    features = store(PipelineModel(stages).transform(train).select("features", hours), "features")
     forest = RandomForestRegressor(
         labelCol=HOURS,
         predictionCol="predicted_raw",

@@ -1,22 +1,26 @@
 """Pipeline stages Spark ML does not ship; they save and load with the pipeline that holds them."""
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from triagework.operators.tfidf import with_terms
 
 
-@F.udf(VectorUDT())
-def _log_counts(counts):
-    return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
+def _log_counts(counts: Column) -> Column:
+    """``1 + ln(count)`` of a sparse vector's values; a vector is made of a row of plain columns by reading it as JSON."""
+    parts = F.unwrap_udt(counts)
+    logs = F.transform(parts["values"], lambda n: F.ln(n) + 1.0)
+    row = F.struct(*[parts[p].alias(p) for p in ("type", "size", "indices")], logs.alias("values"))
+    schema = StructType([StructField("vector", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(row.alias("vector"))), schema)["vector"]
 
 
 class TextTerms(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -45,7 +49,7 @@ class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.withColumn(self.getOutputCol(), _log_counts(self.getInputCol()))
+        return dataset.withColumn(self.getOutputCol(), _log_counts(F.col(self.getInputCol())))
 
 
 class ClassScores(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -103,7 +103,10 @@ def hash_order(key: str, seed: int) -> Column:
 
 
 def exact_share_cuts(df: DataFrame, group: str, key: str, share: float, seed: int) -> DataFrame:
-    """Per group, the hash up to which ``ceil(share * rows)`` rows lie in hash order."""
+    """Per group, the hash ``cut`` up to which ``ceil(share * rows)`` rows lie in hash order.
+
+    ``tied`` rows share that hash, because their keys are equal; ``take`` of them still belong to the share.
+    """
     hashed = df.select(F.col(group), hash_order(key, seed).alias("hash")).withColumn(
         "bucket", F.substring("hash", 1, HASH_DIGITS)
     )
@@ -119,11 +122,16 @@ def exact_share_cuts(df: DataFrame, group: str, key: str, share: float, seed: in
     edge = broadcast_if_small(
         settle(counts.select(group, "bucket", (F.col("take") - F.col("upto") + F.col("n")).alias("left_to_take")))
     )
-    ranked = join_null_safe(hashed, edge, [group, "bucket"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(group, "bucket").orderBy("hash"))
+    near = join_null_safe(hashed, edge, [group, "bucket"])
+    ties = near.groupBy(group, "bucket", "hash", "left_to_take").agg(F.count(F.lit(1)).alias("tied"))
+    in_bucket = Window.partitionBy(group, "bucket").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("upto") - F.col("tied")
+    cuts = (
+        ties.withColumn("upto", F.sum("tied").over(in_bucket))
+        .where((before < F.col("left_to_take")) & (F.col("left_to_take") <= F.col("upto")))
+        .select(group, F.col("hash").alias("cut"), (F.col("left_to_take") - before).alias("take"), "tied")
     )
-    cuts = ranked.where(F.col("rank") == F.col("left_to_take")).select(group, F.col("hash").alias("cut"))
-    return broadcast_if_small(settle(cuts))
+    return settle(cuts)
 
 
 def global_row_number(
@@ -132,7 +140,7 @@ def global_row_number(
     """Number rows 1..n per ``keys`` in ``order``.
 
     ``levels`` are columns, coarse to fine, that follow the order: sorting by them, then by ``order``, is sorting by
-    ``order``. Each task sorts the rows of one finest level only and starts from the count of all earlier ones.
+    ``order``. Nulls come first, in keys, levels and order. Each task sorts the rows of one finest level only and starts from the count of all earlier ones.
     """
     counts = store(df.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("n")), "counts")
     starts = counts.drop("n").withColumn("__start", F.lit(0).cast("long"))
@@ -145,12 +153,14 @@ def global_row_number(
             .select(*inner, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
         )
         starts = (
-            starts.join(offsets, inner).withColumn("__start", F.col("__start") + F.col("__offset")).drop("__offset")
+            join_null_safe(starts, offsets, inner)
+            .withColumn("__start", F.col("__start") + F.col("__offset"))
+            .drop("__offset")
         )
     within = Window.partitionBy(*keys, *levels).orderBy(*order)
+    placed = df.withColumn("__place", F.row_number().over(within))
     return (
-        df.withColumn("__place", F.row_number().over(within))
-        .join(starts, [*keys, *levels])
+        join_null_safe(placed, starts, [*keys, *levels])
         .withColumn(name, F.col("__start") + F.col("__place"))
         .drop("__start", "__place")
     )

@@ -8,8 +8,8 @@ parameter.
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagework.functions.numbers import half_even
@@ -35,11 +35,6 @@ class Vocabulary:
     settings: TermSettings
 
 
-def english_stop_words(spark: SparkSession) -> tuple[str, ...]:
-    """The stop words Spark ships for English."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def with_terms(df: DataFrame, text: str, stop_words: Sequence[str], name: str = "terms") -> DataFrame:
     """Add the array of a text's words and word pairs."""
     words = df.withColumn("__words", tokens(F.col(text), list(stop_words)))

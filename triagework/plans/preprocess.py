@@ -2,16 +2,16 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagework.domain import ENGLISH_STOP_WORDS
 from triagework.functions.text import clean_strict, model_text
 from triagework.operators.encode import encode_labels, settled_mapping
 from triagework.operators.splits import stratified_split, train_part
 from triagework.operators.tfidf import (
     TermSettings,
     Vocabulary,
-    english_stop_words,
     fit_vocabulary,
     tfidf_long,
     with_weights,
@@ -23,6 +23,10 @@ from triagework.sources.tickets import require_columns
 REQUIRED = ["Ticket_Description", "Ticket_Subject", "Issue_Category", "Priority_Level"]
 MAX_TERMS = 5000
 MIN_DOCUMENTS = 2
+VOCABULARY_SCHEMA = (
+    "terms array<string>, idf array<double>, max_terms int, min_documents int, sublinear boolean, "
+    "stop_words array<string>"
+)
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ def preprocess(tickets: DataFrame, key: str = "ticket_key", stop_words: tuple[st
     Tickets without a priority cannot be stratified or trained on and are left out.
     """
     require_columns(tickets, REQUIRED)
-    words = english_stop_words(tickets.sparkSession) if stop_words is None else stop_words
+    words = ENGLISH_STOP_WORDS if stop_words is None else stop_words
     settings = TermSettings(MAX_TERMS, MIN_DOCUMENTS, True, words)
     labelled = tickets.where(F.col("Priority_Level").isNotNull())
     text = model_text(F.col("Issue_Category"), F.col("Ticket_Subject"), F.col("Ticket_Description"))
@@ -62,9 +66,33 @@ def preprocess(tickets: DataFrame, key: str = "ticket_key", stop_words: tuple[st
 
 
 def write_preprocessed(result: Preprocessed, folder: str) -> str:
-    """Sparse feature rows, the long TF-IDF table, label codes and label numbering below ``folder``."""
+    """Sparse feature rows, the long TF-IDF table, labels, and what was fitted: vocabulary and label numbering."""
     write_parquet(result.sparse_rows(), f"{folder}/features")
     write_parquet(result.weights(), f"{folder}/tfidf")
     write_parquet(result.texts.select("ticket_key", "split", "label_code"), f"{folder}/labels")
     write_parquet(result.labels, f"{folder}/label_mapping")
+    write_vocabulary(result.texts.sparkSession, result.vocabulary, f"{folder}/vocabulary")
     return folder
+
+
+def write_vocabulary(spark: SparkSession, vocabulary: Vocabulary, path: str) -> str:
+    """The fitted vectoriser as a table of one row: its settings, and its terms with their inverse document frequency."""
+    settings = vocabulary.settings
+    row = (
+        vocabulary.terms, vocabulary.idf, settings.max_terms, settings.min_documents, settings.sublinear,
+        list(settings.stop_words),
+    )
+    return write_parquet(spark.createDataFrame([row], VOCABULARY_SCHEMA), path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> Vocabulary:
+    row = spark.read.parquet(path).first()
+    settings = TermSettings(row.max_terms, row.min_documents, row.sublinear, tuple(row.stop_words))
+    return Vocabulary(row.terms, row.idf, settings)
+
+
+def transform_texts(tickets: DataFrame, vocabulary: Vocabulary, key: str = "ticket_key") -> DataFrame:
+    """Term positions and weights of new tickets under a fitted vocabulary."""
+    text = model_text(F.col("Issue_Category"), F.col("Ticket_Subject"), F.col("Ticket_Description"))
+    cleaned = tickets.select(key, clean_strict(text).alias("model_text"))
+    return with_weights(cleaned, "model_text", vocabulary).select(key, "indices", "weights")

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagework.domain import PRIORITIES, SERVING_DEFAULTS, TRAINING_DEFAULTS
+from triagework.domain import ENGLISH_STOP_WORDS, PRIORITIES, SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.functions import dates, numbers, text
 from triagework.models import features, priority, resolution, saved
 from triagework.operators import encode, evaluate, ranges, report, routing, splits, tfidf
@@ -40,8 +40,12 @@ def query(function: Query) -> Query:
 
 @query
 def scan_tickets(spark, folder):
-    history = tickets.require_columns(standins.ticket_history(spark, folder), HISTORY_COLUMNS)
-    return history.withColumn("Submission_Date", F.date_format("Submission_Date", STAMP))
+    """The history written as CSV and read again."""
+    path = exports.write_csv(standins.ticket_history(spark, folder), new_output_dir(spark, "history-csv"))
+    history = tickets.require_columns(tickets.read_ticket_csv(spark, path), HISTORY_COLUMNS)
+    return history.withColumns(
+        {"ticket_key": F.col("ticket_key").cast("long"), "Submission_Date": F.date_format("Submission_Date", STAMP)}
+    ).select(HISTORY_COLUMNS)
 
 
 @query
@@ -53,7 +57,8 @@ def batch_defaults(spark, folder):
 @query
 def export_roundtrip(spark, folder):
     path = exports.write_csv(standins.ticket_text(spark, folder), new_output_dir(spark, "export"))
-    return tickets.read_ticket_csv(spark, path).withColumn("ticket_key", F.col("ticket_key").cast("long"))
+    read = tickets.read_ticket_csv(spark, path, line_breaks=True)
+    return read.withColumn("ticket_key", F.col("ticket_key").cast("long"))
 
 
 def text_ranges(spark, folder):
@@ -67,7 +72,7 @@ def triaged_text(spark, folder):
 
 def routed_queues(spark, folder):
     """Queues after two routing runs: tickets by e-mail in the morning, the others at noon."""
-    batch, path = triaged_text(spark, folder), new_output_dir(spark, "queues")
+    batch, path = store(triaged_text(spark, folder), "triaged"), new_output_dir(spark, "queues")
     by_mail = F.col("Ticket_Channel").eqNullSafe("Email")
     for part, stamp in ((by_mail, MORNING), (~by_mail, NOON)):
         triage.route_batch(batch.where(part), path, F.lit(stamp).cast("timestamp"), ["ticket_key"])
@@ -455,7 +460,7 @@ def tfidf_long(spark, folder):
 @query
 def tfidf_plain_counts(spark, folder):
     cleaned = cleaned_split(spark, folder)
-    settings = tfidf.TermSettings(max_terms=5000, sublinear=False, stop_words=tfidf.english_stop_words(spark))
+    settings = tfidf.TermSettings(max_terms=5000, sublinear=False, stop_words=ENGLISH_STOP_WORDS)
     vocabulary = tfidf.fit_vocabulary(splits.train_part(cleaned), "Ticket_Description", settings)
     return tfidf.tfidf_long(cleaned, "Ticket_Description", vocabulary, ["ticket_key"])
 
@@ -488,9 +493,21 @@ def small_boosted(spark, folder):
     return priority.train_boosted(standins.ticket_text(spark, folder), learner, texts=TREE_TEXTS)
 
 
+SAVED_MODELS: dict[tuple[str, str], str] = {}
+
+
 def fitted_logistic(spark, folder):
-    words = tfidf.english_stop_words(spark)
-    return priority.train_logistic(standins.ticket_text(spark, folder), words, priority.logistic_learner(100))
+    """Train the logistic model and save it for the queries that only score; also the scored test part."""
+    model, scored = priority.train_logistic(standins.ticket_text(spark, folder), ENGLISH_STOP_WORDS)
+    path = saved.save_model(model.pipeline, new_output_dir(spark, "model"))
+    SAVED_MODELS[spark.sparkContext.applicationId, folder] = path
+    return path, scored
+
+
+def loaded_logistic(spark, folder):
+    """The saved model of this session and folder, trained first if there is none."""
+    path = SAVED_MODELS.get((spark.sparkContext.applicationId, folder)) or fitted_logistic(spark, folder)[0]
+    return priority.PriorityModel(saved.load_model(spark, path))
 
 
 @query
@@ -515,7 +532,7 @@ def one_hot(spark, folder):
 
 @query
 def train_svm(spark, folder):
-    return priority.train_svm(standins.ticket_text(spark, folder), priority.svm_learner(iterations=30))[1].select(SCORED)
+    return priority.train_svm(standins.ticket_text(spark, folder))[1].select(SCORED)
 
 
 @query
@@ -541,12 +558,12 @@ def train_ridge(spark, folder):
 
 @query
 def train_forest(spark, folder):
-    return resolution.train_forest(standins.ticket_history(spark, folder), trees=20)[1]
+    return resolution.train_forest(standins.ticket_history(spark, folder))[1]
 
 
 @query
 def confidence(spark, folder):
-    model, _ = fitted_logistic(spark, folder)
+    model = loaded_logistic(spark, folder)
     scored = model.score(standins.ticket_text(spark, folder).select("ticket_key", *SERVING_DEFAULTS))
     return priority.confidences(scored, model.labels, ["ticket_key"])
 
@@ -554,7 +571,7 @@ def confidence(spark, folder):
 @query
 def score_batch(spark, folder):
     """Batch triage with the priority predicted by a model."""
-    model, _ = fitted_logistic(spark, folder)
+    model = loaded_logistic(spark, folder)
     batch = tickets.complete_batch(standins.ticket_text(spark, folder).drop("Priority_Level"))
     scored = model.score(batch).drop(priority.SCORES, "prediction")
     return triage.triage_batch(scored, text_ranges(spark, folder), "predicted_label", ["ticket_key"]).drop(
@@ -565,10 +582,7 @@ def score_batch(spark, folder):
 @query
 def model_roundtrip(spark, folder):
     """Tickets scored by a pipeline that was saved and loaded again."""
-    model, _ = fitted_logistic(spark, folder)
-    path = saved.save_model(model.pipeline, new_output_dir(spark, "model"))
-    loaded = priority.PriorityModel(saved.load_model(spark, path))
-    return loaded.score(standins.ticket_text(spark, folder)).select("ticket_key", "predicted_label")
+    return loaded_logistic(spark, folder).score(standins.ticket_text(spark, folder)).select("ticket_key", "predicted_label")
 
 
 # Evaluation

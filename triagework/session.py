@@ -53,16 +53,16 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Compute a large ``df`` once into a Parquet table; later scans read only the columns they need."""
-    path = new_output_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    """Compute a large ``df`` once into a Parquet table; later scans read only the columns they need.
 
-def pack(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
-    """Merge the partitions of a stored ``df`` that are too small to be worth a task each in every iteration."""
-    tasks = max(1, -(-df.count() // rows_per_task))
-    return df.coalesce(tasks) if tasks < df.rdd.getNumPartitions() else df
+    The table goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = new_output_dir(spark, name)
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame) -> bool:

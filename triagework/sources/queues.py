@@ -1,10 +1,16 @@
-"""Department queues: one Parquet table partitioned by department, appended to and read whole."""
+"""Department queues: a Parquet table partitioned by department, appended to by batches and read whole.
+
+Every stream that routes tickets has a table of its own below it; reading unites them.
+"""
+
+import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import QUEUE_COLUMNS, QUEUE_OF
-from triagework.sources.tickets import path_exists
+from triagework.sources.tickets import child_paths, path_exists
 
 QUEUE_SCHEMA = (
     "Ticket_ID string, Ticket_Subject string, Ticket_Description string, Issue_Category string, Priority string, "
@@ -20,14 +26,26 @@ def append_to_queues(routed: DataFrame, path: str) -> str:
     return path
 
 
+#: Folder of the streams' tables; readers of the batch table pass over names that begin with an underscore.
+STREAMS = "_streams"
+
+
+def stream_path(path: str, checkpoint: str) -> str:
+    """Table of the stream with this checkpoint among the queues at ``path``."""
+    return f"{path}/{STREAMS}/s{hashlib.md5(checkpoint.encode()).hexdigest()}"
+
+
 def read_queues(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
-    """All queues as one table; no table yet means no tickets.
+    """All queues as one table, from batches and streams; no table yet means no tickets.
 
     With ``skip_unreadable`` files that cannot be read count as empty instead of failing the job.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], QUEUE_SCHEMA)
-    return spark.read.schema(QUEUE_SCHEMA).option("ignoreCorruptFiles", skip_unreadable).parquet(path)
+    reader = spark.read.schema(QUEUE_SCHEMA).option("ignoreCorruptFiles", skip_unreadable)
+    streams = f"{path}/{STREAMS}"
+    tables = [path, *(child_paths(spark, streams) if path_exists(spark, streams) else [])]
+    return reduce(DataFrame.unionByName, [reader.parquet(table) for table in tables])
 
 
 def department_dimension(spark: SparkSession) -> DataFrame:

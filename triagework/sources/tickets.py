@@ -8,7 +8,7 @@ from triagework.domain import HISTORY_SCHEMA, NULL_TOKENS, SERVING_DEFAULTS
 from triagework.functions.dates import parse_submission
 from triagework.functions.text import is_blank
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -16,6 +16,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def child_paths(spark: SparkSession, path: str) -> list[str]:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(status.getPath().toString() for status in found)
+
+
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
     return next((path for path in candidates if path_exists(spark, path)), None)
 
@@ -28,13 +34,15 @@ def history_path(spark: SparkSession, root: str, file_name: str = "customer_supp
     return found
 
 
-def read_ticket_csv(spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA, **options) -> DataFrame:
+def read_ticket_csv(
+    spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA, line_breaks: bool = False, **options
+) -> DataFrame:
     """Tickets of a CSV file or folder, with the types of ``schema``; unknown columns stay text.
 
-    Null tokens and values that do not fit the type become null. ``multiLine`` keeps line breaks inside quoted
-    cells and makes one file one split; pass ``multiLine=False`` for large files without such cells.
+    Null tokens and values that do not fit the type become null. ``line_breaks`` allows line breaks inside quoted cells;
+    a file is then one split, while files without such cells are read in as many splits as their size asks for.
     """
-    raw = spark.read.options(**{**CSV_OPTIONS, **options}).csv(path)
+    raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": line_breaks, **options}).csv(path)
     types = {field.name: field.dataType for field in schema}
     return raw.select([_typed(F.col(f"`{name}`"), types.get(name, T.StringType())).alias(name) for name in raw.columns])
 

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from triagework.models.priority import PriorityModel
 from triagework.operators.routing import department_of
 from triagework.plans.triage import queue_rows, triage_batch
+from triagework.sources.queues import stream_path
 from triagework.sources.tickets import complete_batch
 
 
@@ -31,7 +32,9 @@ def route_stream(
 ) -> StreamingQuery:
     """Triage arriving tickets against a settled range table and append them to the queues at ``path``.
 
-    The priority is the model's, or column ``Priority_Level`` without a model.
+    The priority is the model's, or column ``Priority_Level`` without a model. The stream has a table of its own below
+    ``path``, named after its checkpoint: its commit log lists each micro-batch once, and batch writers beside it are
+    not in that log.
     """
     if model is None:
         batch = triage_batch(tickets, ranges, "Priority_Level", keys)
@@ -41,7 +44,7 @@ def route_stream(
     return (
         routed.writeStream.format("parquet")
         .partitionBy("department_key")
-        .option("path", path)
+        .option("path", stream_path(path, checkpoint))
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
