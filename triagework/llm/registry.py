@@ -3,7 +3,7 @@
 import corpus_pipeline
 from triagework.llm.byte_bpe import op9_byte_bpe
 from triagework.llm.class_lm import op2_class_lm
-from triagework.llm.ego_join import op3_ego_join
+from triagework.llm.ego_join import OP3_SQL, op3_ego_join
 from triagework.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from triagework.llm.language import op6_language
 from triagework.llm.packing import op4_pack
@@ -26,6 +26,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-STATEMENTS = {"op7_exact_dedup": OP7_SQL}
+STATEMENTS = {"op3_ego_join": OP3_SQL, "op7_exact_dedup": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
     STATEMENTS["pipeline"] = corpus_pipeline.ORACLE_SQL
