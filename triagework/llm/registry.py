@@ -1,5 +1,12 @@
 """Registered queries of this subpackage and their SQL counterparts."""
 
+import functools
+import os
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 from triagework.llm.byte_bpe import op9_byte_bpe
 from triagework.llm.class_lm import op2_class_lm
@@ -12,6 +19,24 @@ from triagework.llm.sharding import op8_sharding
 from triagework.llm.simhash import op1_simhash
 from triagework.llm.url_rules import op10_url_rules
 
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def with_package(query: Query) -> Query:
+    """Let Python workers find this package where the driver does, also if only the driver's path was extended."""
+    root = str(Path(__file__).resolve().parents[2])
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_class_lm": op2_class_lm,
@@ -25,6 +50,7 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: with_package(query) for name, query in QUERIES.items()}
 
 STATEMENTS = {"op3_ego_join": OP3_SQL, "op7_exact_dedup": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
