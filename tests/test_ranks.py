@@ -30,9 +30,10 @@ def table(spark, frame):
     return spark.createDataFrame(rows, "g string, h string, v double").repartition(7)
 
 
-@pytest.mark.parametrize("buckets", [ranks.BUCKETS_PER_OCTAVE, 1])
-def test_quantiles_equal_numpy(table, frame, monkeypatch, buckets):
-    monkeypatch.setattr(ranks, "BUCKETS_PER_OCTAVE", buckets)
+@pytest.mark.parametrize("bits, rows", [(ranks.BUCKET_BITS, ranks.SORTED_ROWS), (0, 10**6), (0, 200)])
+def test_quantiles_equal_numpy(table, frame, monkeypatch, bits, rows):
+    monkeypatch.setattr(ranks, "BUCKET_BITS", bits)
+    monkeypatch.setattr(ranks, "SORTED_ROWS", rows)
     quantiles = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
     found = ranks.exact_quantiles(table, "v", quantiles, [["g", "h"], ["g"], []]).collect()
     known = frame.dropna(subset="v")
@@ -46,6 +47,16 @@ def test_quantiles_equal_numpy(table, frame, monkeypatch, buckets):
             assert row[name] == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
+def test_values_in_a_narrow_range_are_cut_finer(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SORTED_ROWS", 50)
+    values = np.random.default_rng(5).uniform(20.0, 20.01, 2000)
+    df = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double")
+    found = ranks.exact_quantiles(df, "v", {"q1": 0.1, "q5": 0.5}, [["k"], []]).collect()
+    assert len(found) == 2
+    for r in found:
+        assert (r.q1, r.q5) == pytest.approx((np.quantile(values, 0.1), np.quantile(values, 0.5)), abs=1e-12)
+
+
 def test_quantiles_of_nothing_and_of_one_value(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", None), ("c", float("nan"))], "k string, v double")
     found = ranks.exact_quantiles(df, "v", {"q": 0.25}, [["k"]]).collect()

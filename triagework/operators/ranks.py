@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from triagework.session import broadcast_if, broadcast_if_small, is_small, join_null_safe, settle, store
 
-BUCKETS_PER_OCTAVE = 1024
+# Buckets per octave of values, as powers of two: at first, added where a bucket is too full, and at most.
+BUCKET_BITS = 10
+REFINE_BITS = 12
+FINEST_BITS = 40
+# Rows that may be sorted together.
+SORTED_ROWS = 200_000
 HASH_DIGITS = 4
 
 
@@ -22,6 +27,8 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
 
     Returns ``keyset`` (position in ``keysets``), the key columns (null where a key set does not use them), ``n`` (known
     values) and one column per quantile. Null values are ignored, and so are rows with a null key of the key set.
+
+    Hit buckets with more than ``SORTED_ROWS`` rows are cut finer, in one more scan each time, until none is left.
     """
     keys = list(dict.fromkeys(k for ks in keysets for k in ks))
     group = ["keyset", *keys]
@@ -29,10 +36,14 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     values = (
         df.select(*keys, number.alias("value"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .withColumn("bucket", _value_bucket(F.col("value")))
+        .withColumn("fine", _value_bucket(F.col("value")))
     )
+    bits = BUCKET_BITS
+
+    def bucketed(bits: int, name: str = "bucket") -> Column:
+        return F.shiftright("fine", FINEST_BITS - bits).alias(name)
 
-    counts = values.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy(*keys, bucketed(bits)).agg(F.count(F.lit(1)).alias("n"))
     counts = _sum_per_keyset(counts, keysets, keys, ["bucket"])
     in_order = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumns(
@@ -44,12 +55,27 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
         counts.withColumn("before", before)
         .withColumn("ranks", F.filter(wanted, lambda r: (r >= F.col("before")) & (r < F.col("upto"))))
         .where(F.size("ranks") > 0)
-        .select(*group, "bucket", "total", "before", "ranks")
+        .select(*group, "bucket", "total", "before", "ranks", "n")
     )
+    while bits < FINEST_BITS and (targets.agg(F.max("n")).first()[0] or 0) > SORTED_ROWS:
+        finer, small = min(FINEST_BITS, bits + REFINE_BITS), is_small(targets)
+        hit = broadcast_if(small, targets.select("bucket").distinct())
+        parts = values.select("*", bucketed(bits), bucketed(finer, "part")).join(hit, "bucket", "left_semi")
+        parts = parts.groupBy(*keys, "bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+        parts = _sum_per_keyset(parts, keysets, keys, ["bucket", "part"])
+        in_bucket = Window.partitionBy(*group, "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        targets = settle(
+            join_null_safe(parts, broadcast_if(small, targets.drop("n")), [*group, "bucket"])
+            .withColumn("before", F.col("before") + F.sum("n").over(in_bucket) - F.col("n"))
+            .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))))
+            .where(F.size("ranks") > 0)
+            .select(*group, F.col("part").alias("bucket"), "total", "before", "ranks", "n")
+        )
+        bits = finer
 
-    small = is_small(targets)
+    small, targets = is_small(targets), targets.drop("n")
     hit = broadcast_if(small, targets.select("bucket").distinct())
-    near = values.join(hit, "bucket", "left_semi").groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+    near = values.select("*", bucketed(bits)).join(hit, "bucket", "left_semi").groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
     near = _sum_per_keyset(near, keysets, keys, ["bucket", "value"])
     in_bucket = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
@@ -75,8 +101,8 @@ def _ranks(total: Column, q: float) -> tuple[Column, Column]:
 
 
 def _value_bucket(value: Column) -> Column:
-    """Whole number that grows with the value: the logarithm of its distance from 0, finely cut."""
-    return F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * BUCKETS_PER_OCTAVE)
+    """Whole number that grows with the value: the logarithm of its distance from 0, as finely cut as it gets."""
+    return F.floor(F.signum(value) * F.log2(F.abs(value) + 1) * (1 << FINEST_BITS))
 
 
 def _sum_per_keyset(counts: DataFrame, keysets: list[list[str]], keys: list[str], extra: list[str]) -> DataFrame:
