@@ -42,7 +42,7 @@ def dealt(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column:
         .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
     texts = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("link"))
-    shared = texts.where("n > 1").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "link")
+    shared = scratch(texts.where("n > 1").select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "link"), "shared")
     place = F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
     return scratch(
         rows.join(F.broadcast(starts), part == F.col("part"))
