@@ -6,6 +6,7 @@ from triagework.llm.common import scratch
 from triagework.llm.quality import (
     features,
     gumbel,
+    is_target,
     keep_good,
     kth_largest,
     labelled_sample,
@@ -91,6 +92,24 @@ def test_shapes_and_features():
     assert np.array_equal(features("x " * 40_000, 64), features("x " * 40_000, 64))
 
 
+def test_texts_with_words_of_rejected_texts_go(spark):
+    rng = np.random.default_rng(1)
+    bad = [f"vile{c}" for c in "abcdefghijklmnop"]
+    rows = []
+    for i in range(1200):
+        words = [text_of(rng, True) for _ in range(4)]
+        if i % 6 == 0:
+            words += rng.choice(bad, 2, replace=False).tolist()
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(0, 1200) if i % 4], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in resampled(docs, labels, is_target()).collect()}
+    toxic = [i for i in range(0, 1200, 6)]
+    assert sum(got[i] for i in toxic) <= 0.05 * len(toxic)
+    assert sum(got[i] for i in range(1200) if i % 6) >= 0.98 * 1000
+    assert {r.doc_id for r in keep_good(docs, labels, is_target()).collect()} == {i for i, k in got.items() if k}
+
+
 def test_odd_rows_and_empty_tables(spark, tables):
     docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "y " * 60_000), (3, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

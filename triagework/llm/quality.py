@@ -7,7 +7,12 @@ is added to the weights and the documents with the k largest sums are the sample
 Besides words and pairs of words, the n-grams hold the shape of words (capitals, digits, signs ...), pairs of shapes,
 and whether a word repeats the one before: what tells junk from prose even where words are never seen twice.
 
-The target model is fitted on a bounded sample of labelled rows (``LABEL_ROWS``); the raw model counts every document.
+A sum over a whole text hides a few words that only texts labelled as no target hold. So words have a second ratio, of the
+shares of target and of other labelled texts they occur in, by their exact hash; a text whose ``WORST`` lowest ratios sum
+up to less than what the share ``keep_target`` of target texts left out of the fit reaches is weighed down by ``PENALTY``
+and comes after all others.
+
+Both target models are fitted on a bounded sample of labelled rows (``LABEL_ROWS``); the raw model counts every document.
 Without a given ``k`` it is the number of documents that come up to the score which the share ``keep_target`` of target
 texts reaches that were labelled but left out of the fit. Null and empty texts have weight 0. Repeated rows have equal weights and noise
 and stay or go together. Without target labels nothing is rejected. No rows give no rows. Other columns are not read.
@@ -16,6 +21,7 @@ and stay or go together. Without target labels nothing is rejected. No rows give
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,14 @@ CUT_FOLDS = 4
 #: Pseudo-counts that pull the ratio of rare n-grams to 1.
 PRIOR = 20.0
 KEEP_TARGET = 0.998
+#: A word is listed with a ratio of at most ``LISTED`` if so many texts that are no target hold it.
+LEAST_TEXTS = 3
+LISTED = -0.5
+#: Texts added to both counts of a word.
+WORD_PRIOR = 2.0
+WORST = 3
+#: More than sums of ratios differ by.
+PENALTY = 1e6
 REMEMBERED = 500_000
 WORD = re.compile(r"\w+|[^\w\s]+")
 SHAPES = 8
@@ -68,12 +82,21 @@ def mixed(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
 
 
+def coded_words(text: str | None) -> np.ndarray:
+    """Hash and shape of every word of a text."""
+    words = WORD.findall(text or "")
+    return np.fromiter(map(HASHED.__getitem__, words), np.uint64, len(words))
+
+
 def features(text: str | None, buckets: int) -> np.ndarray:
     """Buckets of a text's n-grams."""
-    words = WORD.findall(text or "")
-    if not words:
+    return gram_buckets(coded_words(text), buckets)
+
+
+def gram_buckets(coded: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the n-grams of a text with these words."""
+    if not len(coded):
         return np.zeros(0, np.int64)
-    coded = np.fromiter(map(HASHED.__getitem__, words), np.uint64, len(words))
     shape = coded % np.uint64(SHAPES)
     again = np.concatenate([[False], coded[1:] == coded[:-1]])
     before = np.concatenate([np.array([SHAPES], np.uint64), shape[:-1]])
@@ -130,6 +153,61 @@ def log_ratios(
     return np.log((target * (raw.sum() / target.sum()) + PRIOR) / (raw + PRIOR))
 
 
+@dataclass
+class BadWords:
+    """Words that texts labelled as no target hold more often, in the order of their codes, and the least score."""
+
+    codes: np.ndarray
+    ratios: np.ndarray
+    cut: float = float("-inf")
+
+    def score(self, coded: np.ndarray) -> float:
+        """Sum of the lowest ratios among a text's distinct words."""
+        if not len(self.codes):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.codes, coded), len(self.codes) - 1)
+        found = np.sort(self.ratios[np.unique(at[self.codes[at] == coded])])
+        return float(found[:WORST].sum())
+
+
+def bad_words(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> BadWords:
+    """Ratios of listed words, from the texts of ``sample`` that do not set the cut.
+
+    Counts are combined by word before anything reaches the driver, which gets the listed words alone.
+    """
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in in_chunks(batches, 0):
+            target = np.array(rows.column(1).to_pylist(), bool)
+            # Code -1 counts texts.
+            words = [np.append(np.unique(coded_words(t)).astype(np.int64), -1) for t in texts]
+            code, place = np.unique(np.concatenate(words), return_inverse=True)
+            is_target = np.repeat(target, [len(w) for w in words])
+            both = np.bincount(place, minlength=len(code))
+            good = np.bincount(place[is_target], minlength=len(code))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(good), pa.array(both - good)], ["code", "good", "bad"])
+
+    learned = F.broadcast(sample.where("not __cut"))
+    marked = docs.join(learned, F.col(id_column) == F.col("__labelled")).select(
+        F.col(text_column).cast("string").alias("text"), F.col("__target").alias("target")
+    )
+    counts = scratch(
+        marked.mapInArrow(count, "code long, good long, bad long")
+        .groupBy("code")
+        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")),
+        "label_words",
+    )
+    texts = counts.where("code = -1").first()
+    if texts is None or not texts["good"] or not texts["bad"]:
+        return BadWords(np.zeros(0, np.uint64), np.zeros(0))
+    ratio = F.log(
+        (F.col("good") * F.lit(texts["bad"] / texts["good"]) + F.lit(WORD_PRIOR)) / (F.col("bad") + F.lit(WORD_PRIOR))
+    )
+    listed = counts.where((F.col("code") >= 0) & (F.col("bad") >= LEAST_TEXTS) & (ratio <= LISTED))
+    found = listed.select("code", ratio.alias("ratio")).orderBy("code").toArrow()
+    return BadWords(found["code"].to_numpy().astype(np.uint64), found["ratio"].to_numpy())
+
+
 def gumbel(id_column: str, seed: int = 11) -> Column:
     """Gumbel noise that depends on the id alone, so that a retried task repeats it."""
     uniform = (F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -142,15 +220,23 @@ def weighed(
     id_column: str = "doc_id",
     text_column: str = "text",
     with_text: bool = True,
+    bad: BadWords | None = None,
 ) -> DataFrame:
     """The columns of ``docs`` plus ``log_weight`` and ``sampling_key``, the weight with noise."""
     at = docs.columns.index(text_column)
     carried = [i for i in range(len(docs.columns)) if with_text or i != at]
     names = [*[docs.columns[i] for i in carried], "log_weight"]
 
+    def weight(text: str | None) -> float:
+        if ratios is None:
+            return 0.0
+        coded = coded_words(text)
+        value = float(ratios[gram_buckets(coded, len(ratios))].sum())
+        return value - PENALTY if bad is not None and bad.score(coded) < bad.cut else value
+
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in in_chunks(batches, at):
-            weights = [0.0 if ratios is None else float(ratios[features(t, len(ratios))].sum()) for t in texts]
+            weights = [weight(t) for t in texts]
             columns = [*[rows.column(i) for i in carried], pa.array(weights, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -180,38 +266,50 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low / 2.0**32
 
 
-def sampling_cut(
+def cuts(
     docs: DataFrame,
     sample: DataFrame,
     ratios: np.ndarray | None,
+    bad: BadWords,
     keep_target: float = KEEP_TARGET,
     id_column: str = "doc_id",
     text_column: str = "text",
-) -> float:
-    """The key that the share ``keep_target`` of the labelled target texts reaches."""
+) -> tuple[float, float]:
+    """The key, and the score of bad words, that the share ``keep_target`` of the labelled target texts reaches."""
     if ratios is None:
-        return float("-inf")
+        return float("-inf"), float("-inf")
     target = docs.select(id_column, text_column).join(
         F.broadcast(sample.where("__target and __cut")), F.col(id_column) == F.col("__labelled"), "left_semi"
     )
-    keys = weighed(target, ratios, id_column, text_column, with_text=False)
-    cut = keys.agg(F.percentile("sampling_key", F.lit(1 - keep_target))).first()[0]
-    return float("-inf") if cut is None else cut
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in in_chunks(batches, 2):
+            scores = pa.array([bad.score(coded_words(t)) for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), scores], ["id", "key", "score"])
+
+    keys = weighed(target, ratios, id_column, text_column).select(id_column, "sampling_key", text_column)
+    kind = docs.schema[id_column].dataType.simpleString()
+    found = keys.mapInArrow(score, f"id {kind}, key double, score double")
+    share = F.lit(1 - keep_target)
+    least = found.agg(F.percentile("key", share), F.percentile("score", share)).first()
+    return tuple(float("-inf") if v is None else v for v in least)
 
 
 def fitted(
     docs: DataFrame, labels: DataFrame, target: Column, keep_target: float = KEEP_TARGET, id_column: str = "doc_id"
-) -> tuple[np.ndarray | None, float]:
-    """Log ratios, and the key from which a document belongs to the sample."""
+) -> tuple[np.ndarray | None, BadWords, float]:
+    """Log ratios, bad words, and the key from which a document belongs to the sample."""
     sample = scratch(labelled_sample(labels, target, id_column), "labels")
     ratios = log_ratios(docs, sample, id_column=id_column)
-    return ratios, sampling_cut(docs, sample, ratios, keep_target, id_column)
+    bad = bad_words(docs, sample, id_column)
+    cut, bad.cut = cuts(docs, sample, ratios, bad, keep_target, id_column)
+    return ratios, bad, cut
 
 
 def resampled(docs: DataFrame, labels: DataFrame, target: Column, k: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: id, ``log_weight``, ``sampling_key`` and whether it is in the sample (``kept``)."""
-    ratios, cut = fitted(docs, labels, target, id_column=id_column)
-    out = weighed(docs.select(id_column, "text"), ratios, id_column, with_text=False)
+    ratios, bad, cut = fitted(docs, labels, target, id_column=id_column)
+    out = weighed(docs.select(id_column, "text"), ratios, id_column, with_text=False, bad=bad)
     if k is not None:
         out = scratch(out, "weights")
         cut = kth_largest(out, k)
@@ -220,10 +318,10 @@ def resampled(docs: DataFrame, labels: DataFrame, target: Column, k: int | None
 
 def keep_good(docs: DataFrame, labels: DataFrame, target: Column, id_column: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` in the sample, all columns as they were; texts are not shuffled."""
-    ratios, cut = fitted(docs.select(id_column, "text"), labels, target, id_column=id_column)
+    ratios, bad, cut = fitted(docs.select(id_column, "text"), labels, target, id_column=id_column)
     inner = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     key, text = (f"c{docs.columns.index(c)}" for c in (id_column, "text"))
-    kept = weighed(inner, ratios, key, text).where(F.col("sampling_key") >= F.lit(cut))
+    kept = weighed(inner, ratios, key, text, bad=bad).where(F.col("sampling_key") >= F.lit(cut))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
