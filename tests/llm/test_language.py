@@ -73,3 +73,18 @@ def test_nothing_to_learn(spark, train):
     assert predicted(empty, fit(train)).count() == 0
     one = fit(train.where("lang = 'en'"))
     assert {r.lang_pred for r in predicted(train, one).collect()} == {"en"}
+
+
+def test_mixed_and_unlearned_texts_are_ambiguous(spark):
+    rng = np.random.default_rng(2)
+    parts = {"x": ["ba", "do", "ki", "lu"], "y": ["sch", "ung", "ver", "ein"], "z": ["que", "eau", "oi", "tre"]}
+    text = lambda lang: " ".join("".join(rng.choice(parts[lang], 3)) for _ in range(40))
+    train = spark.createDataFrame([(text(lang), lang) for lang in parts for _ in range(150)], "text string, lang string")
+    clean = [(text(lang), lang) for lang in parts for _ in range(50)]
+    mixed = [(text(a) + " " + text(b), "mixed") for a, b in ("xy", "yz", "xz") for _ in range(20)]
+    strange = [("Это русский текст о погоде", "new"), ("これは日本語の文章です", "new"), ("gfpw jmpp wfgj pjgw", "new")]
+    docs = spark.createDataFrame(clean + mixed + strange, "text string, lang string")
+    got = predicted(docs, fit(train)).toPandas()
+    assert got.ambiguous[got.lang.isin(["mixed", "new"])].mean() >= 0.95
+    assert got.ambiguous[got.lang == "new"].all()
+    assert got.ambiguous[got.lang.isin(list(parts))].mean() <= 0.04

@@ -5,7 +5,9 @@ whole text, on which side of the bit the text's language is: the mean over its n
 languages with a one and those with a zero. Decoding adds up, bit by bit, the loss of a codeword's bit given the
 classifier's margin, weighted by how reliable the bit was in training, and takes the codeword with the least loss.
 
-``score`` is the soft minimum over codewords. A text is ambiguous if its second-best codeword comes close. Null texts and
+``score`` is the soft minimum over codewords. A text is ambiguous if its second-best codeword comes close: if its lead, the
+difference of the two losses, is below what all but the share ``LOW`` of the language's training texts reach under models
+that left out the texts' folds. Equal texts share a fold. Every training text counts, in a histogram per language. Null texts and
 texts without a letter are ``und`` with score 0; so is every text if nothing could be learned. Repeated rows get equal
 results, no rows give no rows, other columns are not read.
 """
@@ -27,8 +29,13 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Codes of so few languages hold every way to split them; larger ones are drawn.
 ALL_SPLITS = 6
 SHARPNESS = 8.0
-#: Least share of the two best codewords' scores that the best must have.
+#: Least share of the two best codewords' scores that the best must have, whatever the training texts reach.
 CLEAR = 0.55
+#: Share of a language's training texts that may lie below its limit.
+LOW = 0.005
+FOLDS = 4
+#: Steps of the histogram of leads: so many of a unit, and in all.
+STEPS, ALL_STEPS = 64, 1 << 13
 
 
 def grams(text: str) -> np.ndarray:
@@ -63,65 +70,72 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # buckets x bits
     trust: np.ndarray  # per bit
+    limits: np.ndarray | None = None  # per language, the least lead of a clear text
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Per text and language: the weighted logistic loss of the codeword."""
         return np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.code[None]) @ self.trust
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and ambiguity of each text."""
+    def decoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each text holds a letter and can be judged, and its losses and lead."""
         known = np.array([bool(self.languages) and bool(t) and LETTER.search(t) is not None for t in texts], bool)
         margins = np.zeros((len(texts), self.weights.shape[1]))
         for i in np.flatnonzero(known):
             margins[i] = self.weights[grams(texts[i])].mean(axis=0)
+        losses = self.losses(margins)
+        if len(self.languages) < 2:
+            return known, losses, np.full(len(texts), np.inf)
+        least = np.partition(losses, 1, axis=1)
+        return known, losses, least[:, 1] - least[:, 0]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and ambiguity of each text."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        losses = self.losses(margins)
+        known, losses, lead = self.decoded(texts)
         best = losses.argmin(axis=1)
         near = np.exp(losses.min(axis=1, keepdims=True) - losses)
-        in_order = np.sort(near, axis=1)[:, ::-1]
-        second = in_order[:, 1] if near.shape[1] > 1 else np.zeros(len(texts))
         score = np.where(known, 1 / near.sum(axis=1), 0.0)
-        unclear = ~known | (1 / (1 + second) < CLEAR)
+        limits = np.zeros(len(self.languages)) if self.limits is None else self.limits
+        unclear = ~known | (lead < np.maximum(limits, np.log(CLEAR / (1 - CLEAR)))[best])
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], score, unclear
 
 
-def gram_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """``lang``, ``bucket``, ``n`` over all texts with a language and a letter; counted per task before the shuffle."""
+def in_folds(docs: DataFrame, folds: int, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """``text``, ``lang`` and ``fold`` of all texts with a language."""
+    text = F.col(text_column).cast("string")
+    fold = F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
+    known = docs.where(F.col(lang_column).isNotNull())
+    return known.select(text.alias("text"), F.col(lang_column).cast("string").alias("lang"), fold.alias("fold"))
+
+
+def gram_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", folds: int = 1) -> DataFrame:
+    """``lang``, ``fold``, ``bucket``, ``n`` over all texts with a language and a letter; counted per task before the shuffle."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, np.ndarray] = {}
+        found: dict[tuple[str, int], np.ndarray] = {}
         for rows, texts in in_chunks(batches, 0):
-            here: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(texts, rows.column(1).to_pylist(), strict=True):
+            here: dict[tuple[str, int], list[np.ndarray]] = {}
+            keys = zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)
+            for text, key in zip(texts, keys, strict=True):
                 if text and LETTER.search(text):
-                    here.setdefault(lang, []).append(grams(text))
-            for lang, parts in here.items():
+                    here.setdefault(key, []).append(grams(text))
+            for key, parts in here.items():
                 counts = np.bincount(np.concatenate(parts), minlength=BUCKETS)
-                found[lang] = found[lang] + counts if lang in found else counts
-        for lang, counts in found.items():
+                found[key] = found[key] + counts if key in found else counts
+        for (lang, fold), counts in found.items():
             some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(some)), pa.array(some), pa.array(counts[some])], ["lang", "bucket", "n"]
-            )
+            columns = [[lang] * len(some), pa.array([fold] * len(some), pa.int32()), some, counts[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang", "fold", "bucket", "n"])
 
-    known = docs.where(F.col(lang_column).isNotNull()).select(
-        F.col(text_column).cast("string").alias("text"), F.col(lang_column).cast("string").alias("lang")
-    )
-    counted = known.mapInArrow(count, "lang string, bucket long, n long")
-    return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    known = in_folds(docs, folds, text_column, lang_column)
+    counted = known.mapInArrow(count, "lang string, fold int, bucket long, n long")
+    return counted.groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> Model:
-    """Model of ``docs``; one number per language and bucket reaches the driver."""
-    table = gram_counts(docs, text_column, lang_column).toArrow()
-    langs = np.array(table["lang"].to_pylist(), object)
-    languages = sorted(set(langs.tolist()))
+def model_of(languages: list[str], counts: np.ndarray) -> Model:
+    """Model of the counts per language and bucket."""
     code = codewords(len(languages))
-    counts = np.zeros((len(languages), BUCKETS))
-    for i, lang in enumerate(languages):
-        mine = np.flatnonzero(langs == lang)
-        counts[i, table["bucket"].to_numpy()[mine]] = table["n"].to_numpy()[mine]
     share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS) if languages else counts
     ones, zeros = (code > 0).astype(float), (code < 0).astype(float)
     side = lambda member: (member.T @ share) / np.maximum(1, member.sum(axis=0))[:, None]
@@ -133,6 +147,53 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -
     return Model(languages, code, weights.astype(np.float32), trust)
 
 
+def lead_limits(docs: DataFrame, languages: list[str], models: list[Model]) -> np.ndarray:
+    """Per language the lead that all but the share ``LOW`` of its texts reach; ``models[i]`` left out fold ``i``.
+
+    Texts that get another language than their own do not count, a language without any other text has no limit. One
+    number per language and step reaches the driver.
+    """
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(languages), ALL_STEPS), np.int64)
+        for rows, texts in in_chunks(batches, 0):
+            own = np.array([place.get(x, -1) for x in rows.column(1).to_pylist()])
+            fold = rows.column(2).to_numpy()
+            for f in np.unique(fold).tolist():
+                mine = np.flatnonzero(fold == f)
+                known, losses, lead = models[f].decoded([texts[i] for i in mine])
+                right = known & (losses.argmin(axis=1) == own[mine])
+                step = np.minimum(lead[right] * STEPS, ALL_STEPS - 1).astype(np.int64)
+                np.add.at(table, (own[mine][right], step), 1)
+        lang, step = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(step), pa.array(table[lang, step])], ["lang", "step", "n"])
+
+    counted = docs.mapInArrow(count, "lang long, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    table = np.zeros((len(languages), ALL_STEPS), np.int64)
+    for lang, step, n in counted.collect():
+        table[lang, step] = n
+    below = np.cumsum(table, axis=1) <= LOW * table.sum(axis=1, keepdims=True)
+    return np.where(table.any(axis=1), below.sum(axis=1), 0) / STEPS
+
+
+def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> Model:
+    """Model of ``docs``; one number per language, fold and bucket reaches the driver."""
+    table = gram_counts(docs, text_column, lang_column, FOLDS).toArrow()
+    langs = np.array(table["lang"].to_pylist(), object)
+    languages = sorted(set(langs.tolist()))
+    counts = np.zeros((FOLDS, len(languages), BUCKETS))
+    for i, lang in enumerate(languages):
+        mine = np.flatnonzero(langs == lang)
+        counts[table["fold"].to_numpy()[mine], i, table["bucket"].to_numpy()[mine]] = table["n"].to_numpy()[mine]
+    total = counts.sum(axis=0)
+    model = model_of(languages, total)
+    if len(languages) > 1:
+        without = [model_of(languages, total - part) for part in counts]
+        model.limits = lead_limits(in_folds(docs, FOLDS, text_column, lang_column), languages, without)
+    return model
+
+
 def predicted(docs: DataFrame, model: Model, text_column: str = "text", with_text: bool = True) -> DataFrame:
     """The columns of ``docs`` plus ``lang_pred``, ``score`` and ``ambiguous``."""
     at = docs.columns.index(text_column)
