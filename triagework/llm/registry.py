@@ -14,6 +14,7 @@ from triagework.llm.ego_join import OP3_SQL, op3_ego_join
 from triagework.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from triagework.llm.language import op6_language
 from triagework.llm.packing import op4_pack
+from triagework.llm.periodic_runs import op11_periodic_runs
 from triagework.llm.quality import op5_quality
 from triagework.llm.sharding import op8_sharding
 from triagework.llm.simhash import op1_simhash
@@ -48,6 +49,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_rules": op10_url_rules,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: with_package(query) for name, query in QUERIES.items()}
