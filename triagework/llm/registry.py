@@ -16,6 +16,7 @@ from triagework.llm.language import op6_language
 from triagework.llm.packing import op4_pack
 from triagework.llm.periodic_runs import op11_periodic_runs
 from triagework.llm.quality import op5_quality
+from triagework.llm.rank_bpe import op12_rank_bpe
 from triagework.llm.sharding import op8_sharding
 from triagework.llm.simhash import op1_simhash
 from triagework.llm.url_rules import op10_url_rules
@@ -50,6 +51,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_rank_bpe": op12_rank_bpe,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: with_package(query) for name, query in QUERIES.items()}
