@@ -12,6 +12,7 @@ from triagework.llm.byte_bpe import op9_byte_bpe
 from triagework.llm.class_lm import op2_class_lm
 from triagework.llm.ego_join import OP3_SQL, op3_ego_join
 from triagework.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from triagework.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from triagework.llm.language import op6_language
 from triagework.llm.packing import op4_pack
 from triagework.llm.periodic_runs import op11_periodic_runs
@@ -52,10 +53,11 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_rank_bpe": op12_rank_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: with_package(query) for name, query in QUERIES.items()}
 
-STATEMENTS = {"op3_ego_join": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+STATEMENTS = {"op3_ego_join": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op13_hard_negatives": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     STATEMENTS["pipeline"] = corpus_pipeline.ORACLE_SQL
