@@ -307,7 +307,11 @@ class RankBpe:
 
     def _learn(self) -> None:
         """Add the runs of the words, and of their pieces, that were looked up for the first time."""
-        pieces_of = [self.pieces(word) for word in self.fresh_words]
+        # Most words are letters after a space or none: one piece.
+        pieces_of = [
+            [word] if word.isascii() and (word[1:] if word[0] == " " else word).isalpha() else self.pieces(word)
+            for word in self.fresh_words
+        ]
         counts = np.array([len(p) for p in pieces_of], np.int64)
         flat = in_order((p for row in pieces_of for p in row), self.piece_numbers, int(counts.sum()))
         new = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in self.fresh_pieces])
