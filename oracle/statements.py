@@ -360,6 +360,7 @@ from split left join mapping on Priority_Level = label""",
 from ticket_history""",
         ),
         "target_encode": target_encode(text_split),
+        "ordered_target_encode": ordered_target_encode(text_split),
         "one_hot": with_views(
             ["ticket_text"],
             """select ticket_key, 'Issue_Category' as feature, category as value, c.position
@@ -403,6 +404,30 @@ def target_encode(text_split: str) -> str:
     )
 
 
+def ordered_target_encode(text_split: str) -> str:
+    def encoded(value: str, label: str, name: str) -> str:
+        """Mean of the target over the category's training rows before the row, or over all of them for other rows."""
+        flag = f"cast(coalesce(Priority_Level = '{label}', false) as double)"
+        prior = f"(select avg({flag}) from rows where split = 'train')"
+        before = f"over (partition by split, {value} order by place rows between unbounded preceding and 1 preceding)"
+        total = f"filter (where split = 'train') over (partition by {value})"
+
+        def used(measure: str) -> str:
+            return f"coalesce(case when split = 'train' then sum({measure}) {before} else sum({measure}) {total} end, 0)"
+
+        return half_even(f"({used(flag)} + {prior}) / ({used('1.0::double')} + 1)", 6) + f" as {name}"
+
+    lines = [encoded("subject", "Low", "subject_low")]
+    lines += [encoded("category", p, f"category_{p.lower()}") for p in LABELS]
+    return with_views(
+        ["ticket_text"],
+        f"select ticket_key, {', '.join(lines)} from rows",
+        split=text_split,
+        rows=f"""select ticket_key, Priority_Level, split, coalesce(Issue_Category, '') as category,
+  {clean_light("coalesce(Ticket_Subject, '')")} as subject, md5(cast(ticket_key as varchar)) as place from split""",
+    )
+
+
 def term_tables() -> dict[str, str]:
     cleaned = f"""select ticket_key, {split_of('ticket_key')} as split,
   {clean_strict("coalesce(Ticket_Subject, '')")} as subject,

@@ -57,3 +57,33 @@ def test_target_means_leave_out_the_own_fold(spark, monkeypatch, few_values, hot
         if row.split == "train":
             seen = seen[seen.fold != int(hashlib.md5(str(row.key).encode()).hexdigest()[:6], 16) % 4]
         assert row.e == pytest.approx((seen.y.sum() + train.y.mean()) / (len(seen) + 1))
+
+
+@pytest.mark.parametrize("few_values", [True, False])
+def test_ordered_means_see_earlier_rows_only(spark, few_values):
+    rows = [
+        (i % 190, ["a", "b", None, "c"][i % 4] if i % 5 else "hot", i * 7 % 3 == 0, "train" if i % 6 else "test")
+        for i in range(400)
+    ]
+    df = spark.createDataFrame([(k, c, int(t), s) for k, c, t, s in rows], "k int, c string, t int, split string")
+    train = [(hashlib.md5(str(k).encode()).hexdigest(), k, t, c) for k, c, t, s in rows if s == "train"]
+    train.sort(key=lambda r: r[:3])
+    prior = sum(t for _, _, t, _ in train) / len(train)
+    want, sums = [], {}
+    for _, k, t, c in train:
+        n, hits = sums.get(c or "", (0, 0))
+        want.append((k, c, int(t), "train", (hits + 2 * prior) / (n + 2)))
+        sums[c or ""] = n + 1, hits + t
+    for k, c, t, s in rows:
+        if s == "test":
+            n, hits = sums.get(c or "", (0, 0))
+            want.append((k, c, int(t), s, (hits + 2 * prior) / (n + 2)))
+    order = lambda r: tuple(map(str, r[:4])) + (round(r[4], 9),)
+    for pieces in (200_000, 7):
+        got = encode.ordered_target_encode(df, "c", {"m": "t"}, "k", few_values, 2.0, piece_rows=pieces).collect()
+        assert [order(r) for r in sorted(map(tuple, got), key=order)] == [order(r) for r in sorted(want, key=order)]
+
+
+def test_ordered_means_without_training_rows(spark):
+    df = spark.createDataFrame([(1, "a", 1, "test")], "k int, c string, t int, split string")
+    assert encode.ordered_target_encode(df, "c", {"m": "t"}, "k", True).first().m == 0.0

@@ -64,7 +64,7 @@ def test_logistic_scores_are_probabilities(logistic):
 
 
 def test_svm(tickets):
-    model, scored = priority.train_svm(tickets, priority.svm_learner(iterations=20))
+    model, scored = priority.train_svm(tickets, priority.svm_learner())
     assert len(check(scored)[0][priority.SCORES]) == 4
     assert model.labels == sorted(WORDS)
 
@@ -76,10 +76,11 @@ def test_boosted_scores_are_probabilities(tickets):
 
 
 def test_categorical_boosting_keeps_the_best_rounds(tickets):
-    fitted, scored = priority.train_categorical_boosted(tickets, rounds=6, depth=3, patience=2)
-    assert fitted.labels == sorted(WORDS) and len(fitted.curve) == 6
-    assert 1 <= fitted.rounds <= 6
-    assert all(len(m.trees) == fitted.rounds for m in fitted.pipeline.stages[len(WORDS) : -1])
+    fitted, scored = priority.train_categorical_boosted(tickets, rounds=40, depth=3, step=0.5, patience=2)
+    assert fitted.labels == sorted(WORDS)
+    best = min(range(len(fitted.curve)), key=fitted.curve.__getitem__)
+    assert fitted.rounds == best + 1 and len(fitted.curve) == min(40, best + 3)
+    assert len(fitted.pipeline.stages[1].getOrDefault("values")) == fitted.rounds * 4 * 15
     assert all(sum(r[priority.SCORES]) == pytest.approx(1.0) for r in check(scored, 0.4))
 
 

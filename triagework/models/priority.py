@@ -1,15 +1,10 @@
-"""Priority classifiers.
-
-Binary learners are fitted once per class, side by side, on feature vectors that were computed and checkpointed once.
-"""
+"""Priority classifiers, fitted on feature vectors that were computed and stored once; all classes are learned at once."""
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +13,7 @@ from triagework.domain import SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.functions.dates import calendar_parts
 from triagework.functions.numbers import half_even
 from triagework.functions.text import clean_light, light_statistics
+from triagework.models.boosting import BoostSettings, SoftmaxTrees, boost
 from triagework.models.features import (
     CATEGORICAL,
     DESCRIPTION_TERMS,
@@ -27,9 +23,9 @@ from triagework.models.features import (
     feature_stages,
     priority_inputs,
 )
-from triagework.models.stages import ClassScores, LabelOfPrediction
-from triagework.operators.encode import target_encode, target_flags
-from triagework.operators.evaluate import early_stop
+from triagework.models.stages import LabelOfPrediction
+from triagework.models.svm import LinearScores, fit_machines
+from triagework.operators.encode import ordered_target_encode, target_flags
 from triagework.operators.splits import stratified_split, test_part, train_part
 from triagework.operators.tfidf import TermSettings
 from triagework.session import store
@@ -38,7 +34,6 @@ from triagework.sources.tickets import fill_defaults, path_exists, require_colum
 
 LABEL = "Priority_Level"
 SCORES = "class_scores"
-PARALLEL_FITS = 4
 REQUIRED = [*TEXTS, *CATEGORICAL, LABEL]
 
 Learner = Callable[[DataFrame, list[str]], list[Transformer]]
@@ -88,78 +83,58 @@ def fit_priority(
     train = train_part(inputs)
     labels = [row[0] for row in train.select(LABEL).distinct().orderBy(LABEL).collect()]
     stages = feature_stages(train, texts, categorical, numeric)
-    features = PipelineModel(stages).transform(train).select(LABEL, "features")
+    features = PipelineModel(stages).transform(train).select(F.col(key).alias("row_key"), LABEL, "features")
     pipeline = PipelineModel([*stages, *learner(store(features, "features"), labels)])
     model = PriorityModel(pipeline)
     return model, model.score_inputs(test_part(inputs), [key, LABEL])
 
 
-def _per_class(
-    spark: SparkSession, labels: list[str], fit: Callable[[int, str], Transformer]
-) -> list[Transformer]:
-    """Fit one model per class; the cluster works on several of them at once."""
-    with ThreadPool(max(1, min(PARALLEL_FITS, len(labels)))) as pool:
-        return pool.starmap(inheritable_thread_target(spark)(fit), list(enumerate(labels)))
-
-
 def boosted_learner(
     rounds: int = 300,
     depth: int = 6,
     step: float = 0.05,
     row_share: float = 0.8,
     feature_share: float = 0.8,
-    min_rows: int = 3,
+    min_hessian: float = 3.0,
+    l2: float = 1.0,
+    bins: int = 256,
     seed: int = 42,
+    path: str | None = None,
 ) -> Learner:
-    """Boosted trees, one ensemble per class; scores are the ensembles' probabilities divided by their sum."""
+    """Soft-max boosted trees of all classes at once; ``path`` keeps the state of a training that may have to go on."""
+    settings = BoostSettings(rounds, depth, step, row_share, feature_share, min_hessian, l2, bins, seed)
 
     def learn(train: DataFrame, labels: list[str]) -> list[Transformer]:
-        def fit(number: int, label: str) -> Transformer:
-            booster = GBTClassifier(
-                labelCol="is_class",
-                maxIter=rounds,
-                maxDepth=depth,
-                stepSize=step,
-                subsamplingRate=row_share,
-                featureSubsetStrategy=str(feature_share),
-                minInstancesPerNode=min_rows,
-                seed=seed,
-            )
-            return _name_outputs(booster, number).fit(_flag(train, label))
-
-        models = _per_class(train.sparkSession, labels, fit)
-        return [*models, _combine(labels, "probability", normalise=True)]
+        found = boost(train, class_number(labels), len(labels), vector_width(train), settings, "row_key", path=path)
+        return [SoftmaxTrees.of(found, labels, depth, "features", SCORES)]
 
     return learn
 
 
-def svm_learner(c: float = 1.0, iterations: int = 100) -> Learner:
-    """Linear support vector machines, one per class, with balanced weights; scores are margins.
+def class_number(labels: list[str]) -> Column:
+    """Place of a row's label among the labels, null for a label that is none of them."""
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(LABEL))
+    return F.when(place > 0, place - 1)
+
+
+def vector_width(rows: DataFrame, features: str = "features") -> int:
+    parts = F.unwrap_udt(features)
+    first = rows.select(F.coalesce(parts["size"], F.size(parts["values"]))).first()
+    return first[0] if first else 0
 
-    The penalty is ``1 / (c * total weight)``, as the loss is averaged over the weights. Of a class's machine only its
-    own rows are weighted.
+
+def svm_learner(c: float = 1.0, tolerance: float = 1e-4, iterations: int = 100) -> Learner:
+    """Linear support vector machines with the squared hinge, one per class, with balanced costs; scores are margins.
+
+    Of a class's machine only its own rows are weighted.
     """
 
     def learn(train: DataFrame, labels: list[str]) -> list[Transformer]:
         counts = {row[LABEL]: row["count"] for row in train.groupBy(LABEL).count().collect()}
         rows = sum(counts.values())
-
-        def fit(number: int, label: str) -> Transformer:
-            weight = rows / (len(labels) * counts[label])
-            total = rows - counts[label] + weight * counts[label]
-            weighted = _flag(train, label).withColumn(
-                "weight", F.when(F.col("is_class") == 1.0, F.lit(weight)).otherwise(1.0)
-            )
-            machine = LinearSVC(
-                labelCol="is_class",
-                weightCol="weight",
-                regParam=1.0 / (c * total),
-                maxIter=iterations,
-                standardization=False,
-            )
-            return _name_outputs(machine, number).fit(weighted)
-
-        return [*_per_class(train.sparkSession, labels, fit), _combine(labels, "raw", normalise=False)]
+        costs = [c * rows / (len(labels) * counts[label]) for label in labels]
+        found = fit_machines(train, class_number(labels), costs, vector_width(train), c, tolerance, iterations)
+        return [LinearScores(inputCol="features", outputCol=SCORES, labels=labels, weights=found.ravel().tolist())]
 
     return learn
 
@@ -168,7 +143,6 @@ def logistic_learner(iterations: int = 1000, c: float = 1.0) -> Learner:
     """One multinomial logistic regression with the penalty ``1 / (c * rows)``."""
 
     def learn(train: DataFrame, labels: list[str]) -> list[Transformer]:
-        number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(LABEL)) - 1
         regression = LogisticRegression(
             family="multinomial",
             labelCol="label_code",
@@ -177,26 +151,12 @@ def logistic_learner(iterations: int = 1000, c: float = 1.0) -> Learner:
             elasticNetParam=0.0,
             standardization=False,
         )
-        fitted = regression.fit(train.withColumn("label_code", number.cast("double")))
+        fitted = regression.fit(train.withColumn("label_code", class_number(labels).cast("double")))
         return [fitted, LabelOfPrediction(outputCol=SCORES, labels=labels)]
 
     return learn
 
 
-def _flag(train: DataFrame, label: str) -> DataFrame:
-    return train.withColumn("is_class", (F.col(LABEL) == label).cast("double"))
-
-
-def _name_outputs(learner: GBTClassifier | LinearSVC, number: int) -> GBTClassifier | LinearSVC:
-    learner.setPredictionCol(f"class{number}_prediction").setRawPredictionCol(f"class{number}_raw")
-    return learner.setProbabilityCol(f"class{number}_probability") if isinstance(learner, GBTClassifier) else learner
-
-
-def _combine(labels: list[str], kind: str, normalise: bool) -> ClassScores:
-    columns = [f"class{number}_{kind}" for number in range(len(labels))]
-    return ClassScores(inputCols=columns, outputCol=SCORES, labels=labels, normalise=normalise)
-
-
 def train_boosted(tickets: DataFrame, learner: Learner | None = None, **options) -> tuple[PriorityModel, DataFrame]:
     """Boosted trees on TF-IDF of both texts, categories and text statistics."""
     return fit_priority(tickets, learner or boosted_learner(), **options)
@@ -242,7 +202,8 @@ def categorical_inputs(tickets: DataFrame, defaults: dict[str, str] = TRAINING_D
 class CategoricalBoosting:
     """Boosted trees over target-encoded columns: encodings, one pipeline, and where training stopped.
 
-    ``encodings`` is a table of the training rows' counts per category column, category and class.
+    ``encodings`` is a table of the training rows' counts per category column, category and class. ``curve`` has the loss
+    of the watched part after every round that was run, ``rounds`` of which were kept.
     """
 
     encodings: DataFrame
@@ -279,69 +240,46 @@ def train_categorical_boosted(
     rounds: int = 500,
     depth: int = 7,
     step: float = 0.05,
+    l2: float = 5.0,
+    bins: int = 255,
     patience: int = 50,
     seed: int = 42,
     key: str = "ticket_key",
     validation: str = "test",
+    path: str | None = None,
 ) -> tuple[CategoricalBoosting, DataFrame]:
     """Boosted trees that take the texts themselves as categories, stopped early on the part named ``validation``.
 
-    Each class has its own encoding of every category column. The rounds kept are those up to the lowest loss summed
-    over the classes.
+    Every category column becomes one ordered target statistic per class. The rounds kept are those up to the lowest
+    loss. Given ``path``, a training that was broken off goes on from there.
     """
     require_columns(tickets, [*REQUIRED, "Submission_Date"])
     labelled = tickets.where(F.col(LABEL).isNotNull())
     prepared = categorical_inputs(stratified_split(labelled, LABEL, key))
-    model_columns = [f"model_{c}" for c in [*CATEGORY_COLUMNS, *LIGHT_NUMBERS]]
-    inputs = store(prepared.select(key, LABEL, "split", *model_columns), "categorical-inputs")
+    numbers = [f"model_{n}" for n in LIGHT_NUMBERS]
+    # Texts are needed as categories only, so their hashes are carried.
+    categories = [_category(c).alias(f"category_{c}") for c in CATEGORY_COLUMNS]
+    inputs = store(prepared.select(key, LABEL, "split", *categories, *numbers), "categorical-inputs")
     labels = [row[0] for row in train_part(inputs).select(LABEL).distinct().orderBy(LABEL).collect()]
-    encoded = source = target_flags(inputs, LABEL, labels)
+    encoded = target_flags(inputs, LABEL, labels)
     for column in CATEGORY_COLUMNS:
         targets = {f"{column}_{number}": f"is_{label}" for number, label in enumerate(labels)}
-        encoded = target_encode(
-            encoded, f"model_{column}", targets, key, few_values=column in CATEGORICAL, source=source
-        )
-
-    vectors = [
-        VectorAssembler(
-            inputCols=[*[f"{column}_{number}" for column in CATEGORY_COLUMNS], *[f"model_{n}" for n in LIGHT_NUMBERS]],
-            outputCol=f"features{number}",
-        )
-        for number in range(len(labels))
-    ]
-    columns = [f"features{number}" for number in range(len(labels))]
-    assembled = store(
-        PipelineModel(vectors).transform(encoded).select(key, LABEL, "split", *columns), "encoded-features"
-    )
-    train, held_out = train_part(assembled), assembled.where(F.col("split") == validation)
-
-    def fit_rounds(count: int) -> list[Transformer]:
-        def fit(number: int, label: str) -> Transformer:
-            booster = GBTClassifier(
-                labelCol="is_class",
-                featuresCol=f"features{number}",
-                maxIter=count,
-                maxDepth=depth,
-                stepSize=step,
-                seed=seed,
-            )
-            return _name_outputs(booster, number).fit(_flag(train, label))
-
-        return _per_class(tickets.sparkSession, labels, fit)
-
-    models = fit_rounds(rounds)
-    losses = [m.evaluateEachIteration(_flag(held_out, label)) for m, label in zip(models, labels, strict=True)]
-    curve = [sum(values) for values in zip(*losses, strict=True)]
-    spark = tickets.sparkSession
-    end = early_stop(spark.createDataFrame(list(enumerate(curve)), "iteration int, loss double"), "iteration", "loss",
-                     patience).first()
-    kept = end["best_iteration"] + 1
-    if kept < rounds:
-        models = fit_rounds(kept)
-    trees = [*models, _combine(labels, "probability", normalise=True)]
-    scored = PipelineModel(trees).transform(test_part(assembled))
+        few = column in CATEGORICAL
+        encoded = store(ordered_target_encode(encoded, f"category_{column}", targets, key, few), "encoded")
+    names = [f"{column}_{number}" for column in CATEGORY_COLUMNS for number in range(len(labels))]
+    assembler = VectorAssembler(inputCols=[*names, *numbers], outputCol="features")
+    assembled = store(assembler.transform(encoded).select(key, LABEL, "split", "features"), "encoded-features")
+    watched = assembled.where((F.col("split") == "train") | (F.col("split") == validation))
+    settings = BoostSettings(rounds, depth, step, 1.0, 1.0, 0.0, l2, bins, seed, patience)
+    # With the training part itself as ``validation`` all rows train and are watched.
+    found = boost(
+        watched, class_number(labels), len(labels), len(names) + len(numbers), settings, key,
+        train=F.col("split") == "train", watch=F.col("split") == validation, path=path,
+    )
+    trees = SoftmaxTrees.of(found, labels, depth, "features", SCORES)
+    scored = trees.transform(test_part(assembled))
     encodings = store(category_counts(train_part(inputs), CATEGORY_COLUMNS, labels), "encodings")
-    fitted = CategoricalBoosting(encodings, PipelineModel([*vectors, *trees]), kept, tuple(curve))
+    fitted = CategoricalBoosting(encodings, PipelineModel([assembler, trees]), len(found.trees), tuple(found.losses))
     return fitted, scored.select(key, LABEL, SCORES, "prediction", "predicted_label")
 
 
@@ -350,7 +288,7 @@ def category_counts(train: DataFrame, columns: list[str], labels: list[str]) ->
 
     The row without a column name counts all rows.
     """
-    marked = F.array(*[F.struct(F.lit(c).alias("name"), _category(c).alias("category")) for c in columns])
+    marked = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"category_{c}").alias("category")) for c in columns])
     everything = F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("category")))
     rows = train.select(LABEL, F.explode(F.concat(marked, everything)).alias("c"))
     of_class = [F.sum((F.col(LABEL) == label).cast("double")).alias(f"n{i}") for i, label in enumerate(labels)]

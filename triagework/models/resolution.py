@@ -3,12 +3,13 @@
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagework.functions.dates import regression_parts
 from triagework.functions.text import resolution_text
+from triagework.models.cells import fit_cell_forest
 from triagework.models.features import one_hot_stages, tfidf_stages
 from triagework.models.stages import ClippedHours
 from triagework.operators.encode import population_deviations
@@ -87,26 +88,14 @@ def train_forest(
     seed: int = 42,
     key: str = "ticket_key",
 ) -> tuple[PipelineModel, DataFrame]:
-    """Random forest of the hours on three categories; predictions are clipped to 1..120 hours."""
+    """Random forest of the hours on three categories, grown on their cells; predictions are clipped to 1..120 hours."""
     columns = [CATEGORIES[1], CATEGORIES[0], CATEGORIES[2]]
     complete = drop_incomplete(tickets.select(key, *columns, HOURS), [*columns, HOURS])
-    split = random_split(complete, key)
+    split = store(random_split(complete, key), "forest-rows")
     train = train_part(split)
-    stages = [
-        *one_hot_stages(train, columns),
-        VectorAssembler(inputCols=[f"{c}_onehot" for c in columns], outputCol="features"),
-    ]
-    hours = F.col(HOURS).cast("double")
-    features = store(PipelineModel(stages).transform(train).select("features", hours), "features")
-    forest = RandomForestRegressor(
-        labelCol=HOURS,
-        predictionCol="predicted_raw",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=min_rows,
-        featureSubsetStrategy="all",
-        seed=seed,
-    ).fit(features)
+    forest = fit_cell_forest(
+        train.withColumn(HOURS, F.col(HOURS).cast("double")), key, columns, HOURS, trees, depth, min_rows, seed
+    )
     clipped = ClippedHours(inputCol="predicted_raw", outputCol="predicted_hours", low=1.0, high=120.0)
-    pipeline = PipelineModel([*stages, forest, clipped])
+    pipeline = PipelineModel([forest, clipped])
     return pipeline, pipeline.transform(test_part(split)).select(key, HOURS, "predicted_hours")

@@ -5,7 +5,7 @@ from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,43 +52,6 @@ class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return dataset.withColumn(self.getOutputCol(), _log_counts(F.col(self.getInputCol())))
 
 
-class ClassScores(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Combine one binary model per class: per-class scores, best class and its label.
-
-    ``inputCols`` are the binary models' probability (or margin) vectors in the order of ``labels``. Writes the array
-    ``outputCol``, the class number ``prediction`` and ``predicted_label``. With ``normalise`` the scores of a row are
-    divided by their sum, which makes them probabilities.
-    """
-
-    labels = Param(Params._dummy(), "labels", "class labels", TypeConverters.toListString)
-    normalise = Param(Params._dummy(), "normalise", "divide scores by their sum", TypeConverters.toBoolean)
-
-    @keyword_only
-    def __init__(
-        self,
-        *,
-        inputCols: list[str] | None = None,
-        outputCol: str | None = None,
-        labels: list[str] | None = None,
-        normalise: bool = True,
-    ):
-        super().__init__()
-        self._setDefault(normalise=True)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        positive = [vector_to_array(F.col(c))[1] for c in self.getInputCols()]
-        scores, name = F.array(*positive), self.getOutputCol()
-        scored = dataset.withColumn(name, scores)
-        if self.getOrDefault(self.normalise):
-            total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
-            shares = F.transform(F.array(total), lambda t: F.transform(name, lambda x: x / t))[0]
-            even = F.array_repeat(F.lit(1.0 / len(positive)), len(positive))
-            scored = scored.withColumn(name, F.when(total > 0, shares).otherwise(even))
-        best = F.array_position(F.col(name), F.array_max(name)) - 1
-        return _with_label(scored.withColumn("prediction", best.cast("double")), self.getOrDefault(self.labels))
-
-
 class LabelOfPrediction(Transformer, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Add ``predicted_label`` and the probabilities of a multi-class model as an array ``outputCol``."""
 
@@ -101,7 +64,7 @@ class LabelOfPrediction(Transformer, HasOutputCol, DefaultParamsReadable, Defaul
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         scored = dataset.withColumn(self.getOutputCol(), vector_to_array(F.col("probability")))
-        return _with_label(scored, self.getOrDefault(self.labels))
+        return with_label(scored, self.getOrDefault(self.labels))
 
 
 class ClippedHours(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -132,7 +95,7 @@ class ClippedHours(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable
         return dataset.withColumn(self.getOutputCol(), F.greatest(low, F.least(high, value)))
 
 
-def _with_label(scored: DataFrame, labels: list[str]) -> DataFrame:
+def with_label(scored: DataFrame, labels: list[str]) -> DataFrame:
     names = F.array(*[F.lit(x) for x in labels])
     number = F.col("prediction").cast("int")
     return scored.withColumn("predicted_label", F.coalesce(F.get(names, number), number.cast("string")))

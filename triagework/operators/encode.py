@@ -108,6 +108,59 @@ def target_encode(
     return joined.withColumns(encoded).drop("__fold", "__category", "__seen")
 
 
+def ordered_target_encode(
+    df: DataFrame,
+    column: str,
+    targets: dict[str, str],
+    key: str,
+    few_values: bool,
+    smoothing: float = 1.0,
+    piece_rows: int = 200_000,
+) -> DataFrame:
+    """Replace a category by the smoothed mean of 0/1 targets over the training rows that come before in a random order.
+
+    The order is that of the key's hash, then of the key and the targets. A training row sees the rows of its category
+    before it, so never its own target; a test row sees all training rows of its category. The first row of a category,
+    and an unseen one, get the overall mean. ``targets`` maps result columns to 0/1 target columns.
+
+    The order is cut into pieces of about ``piece_rows`` rows. Sums per (category, piece) give each piece its start, and
+    windows run inside pieces, so no task holds a hot category; a category has at most one sum per piece.
+    """
+    measures = ["__one", *targets.values()]
+    train = df.where(F.col("split") == "train").withColumn("__one", F.lit(1.0))
+    overall = train.agg(*[F.sum(F.col(m).cast("double")).alias(m) for m in measures]).first()
+    rows = overall["__one"] or 0.0
+    priors = {t: (overall[t] or 0.0) / rows if rows else 0.0 for t in targets.values()}
+    pieces = max(1, -(-int(rows) // piece_rows))
+    order = F.md5(F.col(key).cast("string"))
+    piece = F.floor(F.conv(F.substring("__order", 1, 6), 16, 10).cast("long") * pieces / F.lit(1 << 24))
+    ordered = train.withColumns(
+        {"__order": F.coalesce(order, F.lit("")), "__category": F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))}
+    ).withColumn("__piece", piece)
+    sums = settle(
+        ordered.groupBy("__category", "__piece").agg(*[F.sum(F.col(m).cast("double")).alias(m) for m in measures])
+    )
+    earlier = Window.partitionBy("__category").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        F.col("__category").alias("__c"), F.col("__piece").alias("__p"),
+        *[F.coalesce(F.sum(m).over(earlier), F.lit(0.0)).alias(f"__start_{i}") for i, m in enumerate(measures)],
+    )
+    within = Window.partitionBy("__category", "__piece").orderBy("__order", key, *targets.values())
+    within = within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumns(
+        {f"__seen_{i}": F.coalesce(F.sum(F.col(m).cast("double")).over(within), F.lit(0.0)) for i, m in enumerate(measures)}
+    ).join(starts, (F.col("__category") == F.col("__c")) & (F.col("__piece") == F.col("__p")))
+    seen = {m: F.col(f"__seen_{i}") + F.col(f"__start_{i}") for i, m in enumerate(measures)}
+    encoded = {
+        name: (seen[target] + F.lit(smoothing * priors[target])) / (seen["__one"] + F.lit(smoothing))
+        for name, target in targets.items()
+    }
+    others = target_encode(df.where(F.col("split") != "train"), column, targets, key, few_values, smoothing, source=df)
+    return placed.select(*df.columns, *[c.alias(n) for n, c in encoded.items()]).unionByName(
+        others.select(*df.columns, *encoded)
+    )
+
+
 def fold_of(key: str, folds: int) -> Column:
     """Fold of a row, from the first hex digits of its key's hash."""
     return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("int"), F.lit(folds))

@@ -438,6 +438,17 @@ def target_encode(spark, folder):
     return by_category.select("ticket_key", *[numbers.half_even(F.col(n), 6).alias(n) for n in names])
 
 
+@query
+def ordered_target_encode(spark, folder):
+    """Target statistics of the training rows before each row, in a random order."""
+    flagged = encode.target_flags(split_text(spark, folder), "Priority_Level", PRIORITIES)
+    flagged = flagged.withColumn("Ticket_Subject", text.clean_light(F.coalesce("Ticket_Subject", F.lit(""))))
+    by_subject = encode.ordered_target_encode(flagged, "Ticket_Subject", {"subject_low": "is_Low"}, "ticket_key", False)
+    targets = {f"category_{p.lower()}": f"is_{p}" for p in PRIORITIES}
+    by_category = encode.ordered_target_encode(by_subject, "Issue_Category", targets, "ticket_key", True)
+    return by_category.select("ticket_key", *[numbers.half_even(F.col(n), 6).alias(n) for n in ["subject_low", *targets]])
+
+
 def cleaned_split(spark, folder):
     split = split_text(spark, folder).select("ticket_key", "split", "Ticket_Subject", "Ticket_Description")
     empty = F.lit("")
@@ -479,20 +490,11 @@ def preprocess_job(spark, folder):
     return preprocess(standins.ticket_text(spark, folder)).weights()
 
 
-# Models. Rounds, trees and the boosted trees' vocabulary are smaller than the defaults, which suit a cluster.
+# Models, all trained with the library's defaults.
 
-TREE_TEXTS = {
-    "model_Ticket_Subject": tfidf.TermSettings(max_terms=200, min_documents=2),
-    "model_Ticket_Description": tfidf.TermSettings(max_terms=600, min_documents=2),
-}
 SCORED = ["ticket_key", "Priority_Level", "predicted_label"]
 
 
-def small_boosted(spark, folder):
-    learner = priority.boosted_learner(rounds=6, depth=4)
-    return priority.train_boosted(standins.ticket_text(spark, folder), learner, texts=TREE_TEXTS)
-
-
 SAVED_MODELS: dict[tuple[str, str], str] = {}
 
 
@@ -542,13 +544,12 @@ def train_logreg(spark, folder):
 
 @query
 def train_boosted(spark, folder):
-    return small_boosted(spark, folder)[1].select(SCORED)
+    return priority.train_boosted(standins.ticket_text(spark, folder))[1].select(SCORED)
 
 
 @query
 def train_cat_boosted(spark, folder):
-    fitted = priority.train_categorical_boosted(standins.ticket_full(spark, folder), rounds=8, depth=4, patience=3)
-    return fitted[1].select(SCORED)
+    return priority.train_categorical_boosted(standins.ticket_full(spark, folder))[1].select(SCORED)
 
 
 @query
