@@ -3,6 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from triagework.llm import language
 from triagework.llm.language import BUCKETS, codewords, fit, grams, gram_counts, keep_known, op6_language, predicted
 
 
@@ -20,8 +21,8 @@ def test_grams():
     data = " ab ".encode()
     whole = [(data[i] << 16) | (data[i + 1] << 8) | data[i + 2] for i in range(2)]
     bits = (BUCKETS - 1).bit_length()
-    assert grams("Ab").tolist() == [(w * 2654435761 % (1 << 32)) >> (32 - bits) for w in whole]
-    assert len(grams("")) == 0
+    assert np.concatenate(list(grams("Ab"))).tolist() == [(w * 2654435761 % (1 << 32)) >> (32 - bits) for w in whole]
+    assert not list(grams(""))
 
 
 def test_counts_equal_plain_counts(spark):
@@ -30,7 +31,7 @@ def test_counts_equal_plain_counts(spark):
     plain = {}
     for text, lang in rows:
         if text and lang and any(c.isalpha() for c in text):
-            for g in grams(text).tolist():
+            for g in np.concatenate(list(grams(text)) or [np.zeros(0, int)]).tolist():
                 plain[lang, g] = plain.get((lang, g), 0) + 1
     assert {(r.lang, r.bucket): r.n for r in gram_counts(docs).collect()} == plain
 
@@ -88,3 +89,15 @@ def test_mixed_and_unlearned_texts_are_ambiguous(spark):
     assert got.ambiguous[got.lang.isin(["mixed", "new"])].mean() >= 0.95
     assert got.ambiguous[got.lang == "new"].all()
     assert got.ambiguous[got.lang.isin(list(parts))].mean() <= 0.04
+
+
+def test_pieces_change_nothing(monkeypatch):
+    text = "Où est la forêt ? " * 30
+    whole = np.concatenate(list(grams(text))).tolist()
+    monkeypatch.setattr(language, "CHUNK_CHARS", 11)
+    assert np.concatenate(list(grams(text))).tolist() == whole
+
+
+def test_signs_are_no_letters():
+    assert not any(map(language.has_letter, ["", "½ ² ①", "12 _ ?", "\u0301"]))
+    assert all(map(language.has_letter, ["é", "1a", "漢", "ª"]))

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triagework.llm import quality
 from triagework.llm.common import scratch
 from triagework.llm.quality import (
+    KEY_BITS,
     features,
     gumbel,
     is_target,
@@ -75,8 +77,8 @@ def test_top_k_is_exact(tables):
 
 def test_kth_largest_with_ties_and_few_rows(spark):
     keys = scratch(spark.createDataFrame([(1.5,), (1.5,), (-3.25,), (0.0,)], "sampling_key double"), "k")
-    assert [kth_largest(keys, k) for k in (1, 2, 3, 4)] == [1.5, 1.5, 0.0, -3.25]
-    assert kth_largest(keys, 0) == float("inf") and kth_largest(keys, 5) is None
+    assert [kth_largest(keys, k) / 2.0**KEY_BITS for k in (1, 2, 3, 4)] == [1.5, 1.5, 0.0, -3.25]
+    assert kth_largest(keys, 0) == (1 << 63) - 1 and kth_largest(keys, 5) is None
 
 
 def test_noise_is_gumbel_and_repeats(spark):
@@ -117,3 +119,23 @@ def test_odd_rows_and_empty_tables(spark, tables):
     assert resampled(docs, none, good()).where("kept").count() == 5
     assert resampled(docs, labels, good()).count() == 5
     assert keep_good(docs.limit(0), labels, good()).count() == 0
+
+
+def test_sample_is_the_top_k(spark):
+    rows = [(i, ("good words here " * 3 if i % 3 else "xx yy zz ") + f"n{i % 11}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = resampled(docs, labels, is_target()).collect()
+    kept = sorted((r.sampling_key for r in got if r.kept), reverse=True)
+    assert kept == sorted((r.sampling_key for r in got), reverse=True)[: len(kept)] and 100 < len(kept) <= 205
+    few = resampled(docs, labels, is_target(), k=17).collect()
+    assert sorted(r.sampling_key for r in few if r.kept) == sorted(r.sampling_key for r in few)[-17:]
+
+
+def test_pieces_change_nothing(monkeypatch):
+    text = "Some words, here\tand 12 there there there. " * 40 + "end"
+    whole = sorted(features(text, 1 << 16).tolist())
+    assert "".join(quality.pieces(text, 100)) == text and len(list(quality.pieces(text, 100))) > 10
+    monkeypatch.setattr(quality, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(quality, "pieces", lambda t: iter([t[:43], t[43:86], t[86:]]))
+    assert sorted(features(text, 1 << 16).tolist()) == whole

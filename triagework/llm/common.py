@@ -17,6 +17,21 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK_CHARS = 1 << 20
 
 
+#: Bytes of a batch that Spark sends to or takes from a Python worker; the default is 10,000 rows whatever their size.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches of texts end at ``BATCH_BYTES``, unless the session already sets a lower limit.
+
+    The setting stays with the session, as tables are computed after the function that made them returned.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = spark.conf.get(name, None)
+    if told is None or not told.isdigit() or int(told) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

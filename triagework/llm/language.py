@@ -12,7 +12,6 @@ texts without a letter are ``und`` with score 0; so is every text if nothing cou
 results, no rows give no rows, other columns are not read.
 """
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagework.llm.common import crc_fold, in_chunks, read_table
+from triagework.llm.common import CHUNK_CHARS, crc_fold, in_chunks, read_table, small_batches
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+GRAMS_AT_ONCE = 1 << 16
 #: Codes of so few languages hold every way to split them; larger ones are drawn.
 ALL_SPLITS = 6
 SHARPNESS = 8.0
@@ -38,10 +37,23 @@ FOLDS = 4
 STEPS, ALL_STEPS = 64, 1 << 13
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of all runs of three bytes of the lowered text, with a space at both ends."""
-    data = np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    whole = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter of any script; signs such as fractions or circled digits are none."""
+    return any(map(str.isalpha, text))
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Buckets of all runs of three bytes of the lowered text, with a space at both ends, a bounded number at a time."""
+    before = b" "
+    for at in range(0, len(text), CHUNK_CHARS):
+        data = before + text[at : at + CHUNK_CHARS].lower().encode("utf-8", "surrogatepass")
+        before = data[-2:]
+        yield buckets_of(data + b" " if at + CHUNK_CHARS >= len(text) else data)
+
+
+def buckets_of(data: bytes) -> np.ndarray:
+    numbers = np.frombuffer(data, np.uint8).astype(np.uint32)
+    whole = (numbers[:-2] << np.uint32(16)) | (numbers[1:-1] << np.uint32(8)) | numbers[2:]
     return ((whole * np.uint32(2654435761)) >> np.uint32(32 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
 
@@ -78,10 +90,15 @@ class Model:
 
     def decoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each text holds a letter and can be judged, and its losses and lead."""
-        known = np.array([bool(self.languages) and bool(t) and LETTER.search(t) is not None for t in texts], bool)
+        known = np.array([bool(self.languages) and bool(t) and has_letter(t) for t in texts], bool)
         margins = np.zeros((len(texts), self.weights.shape[1]))
         for i in np.flatnonzero(known):
-            margins[i] = self.weights[grams(texts[i])].mean(axis=0)
+            number = 0
+            for part in grams(texts[i]):
+                for at in range(0, len(part), GRAMS_AT_ONCE):
+                    margins[i] += self.weights[part[at : at + GRAMS_AT_ONCE]].sum(axis=0, dtype=np.float64)
+                number += len(part)
+            margins[i] /= number
         losses = self.losses(margins)
         if len(self.languages) < 2:
             return known, losses, np.full(len(texts), np.inf)
@@ -115,13 +132,14 @@ def gram_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, int], np.ndarray] = {}
         for rows, texts in in_chunks(batches, 0):
-            here: dict[tuple[str, int], list[np.ndarray]] = {}
+            here: dict[tuple[str, int], np.ndarray] = {}
             keys = zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)
             for text, key in zip(texts, keys, strict=True):
-                if text and LETTER.search(text):
-                    here.setdefault(key, []).append(grams(text))
-            for key, parts in here.items():
-                counts = np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                if text and has_letter(text):
+                    for part in grams(text):
+                        counts = here.setdefault(key, np.zeros(BUCKETS, np.int64))
+                        counts += np.bincount(part, minlength=BUCKETS)
+            for key, counts in here.items():
                 found[key] = found[key] + counts if key in found else counts
         for (lang, fold), counts in found.items():
             some = np.flatnonzero(counts)
@@ -213,6 +231,7 @@ def predicted(docs: DataFrame, model: Model, text_column: str = "text", with_tex
 
 def keep_known(docs: DataFrame, train: Column, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """Rows of ``docs`` whose language is clear, all columns as they were; ``train`` tells which rows are learned from."""
+    small_batches(docs.sparkSession)
     model = fit(docs.where(train).select(text_column, lang_column), text_column, lang_column)
     inner = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     kept = predicted(inner, model, f"c{docs.columns.index(text_column)}").where(~F.col("ambiguous"))
@@ -220,6 +239,7 @@ def keep_known(docs: DataFrame, train: Column, text_column: str = "text", lang_c
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     held_out = crc_fold("doc_id", 3) == 1
     model = fit(docs.where(~held_out).select("text", "lang"))

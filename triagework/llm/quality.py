@@ -8,14 +8,16 @@ Besides words and pairs of words, the n-grams hold the shape of words (capitals,
 and whether a word repeats the one before: what tells junk from prose even where words are never seen twice.
 
 A sum over a whole text hides a few words that only texts labelled as no target hold. So words have a second ratio, of the
-shares of target and of other labelled texts they occur in, by their exact hash; a text whose ``WORST`` lowest ratios sum
-up to less than what the share ``keep_target`` of target texts left out of the fit reaches is weighed down by ``PENALTY``
-and comes after all others.
+shares of target and of other labelled texts they occur in, by their exact hash. A text whose ``WORST`` lowest ratios sum
+up to less than what the share ``keep_target`` of target texts left out of the fit reaches loses, per n-gram, more than
+the ratios of two n-grams can differ by, and so comes after all others of its length.
 
 Both target models are fitted on a bounded sample of labelled rows (``LABEL_ROWS``); the raw model counts every document.
-Without a given ``k`` it is the number of documents that come up to the score which the share ``keep_target`` of target
-texts reaches that were labelled but left out of the fit. Null and empty texts have weight 0. Repeated rows have equal weights and noise
-and stay or go together. Without target labels nothing is rejected. No rows give no rows. Other columns are not read.
+Without a given ``k`` it is the number of documents whose weight comes up to that which the share ``keep_target`` of target
+texts reaches that were labelled but left out of the fit; noise then decides between documents near the border. Null and
+empty texts have weight 0. Repeated rows have equal weights and noise and stay or go together; rows that share the k-th key
+all stay. Without target labels no text has a weight other than 0, and all stay. No rows give no rows. Other columns are not
+read. Long texts are worked on in pieces cut at white space.
 """
 
 import re
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagework.llm.common import in_chunks, read_table, scratch
+from triagework.llm.common import CHUNK_CHARS, in_chunks, read_table, scratch, small_batches
 
 BUCKETS = 1 << 17
 LABEL_ROWS = 65_536
@@ -43,9 +45,11 @@ LISTED = -0.5
 #: Texts added to both counts of a word.
 WORD_PRIOR = 2.0
 WORST = 3
-#: More than sums of ratios differ by.
-PENALTY = 1e6
-REMEMBERED = 500_000
+#: Fraction bits of a key that is compared as a whole number.
+KEY_BITS = 24
+REMEMBERED = 100_000
+WORDS_AT_ONCE = 200_000
+SPACE = re.compile(r"\s")
 WORD = re.compile(r"\w+|[^\w\s]+")
 SHAPES = 8
 
@@ -64,45 +68,69 @@ def shape_of(word: str) -> int:
 
 
 class Hashed(dict):
-    """Hash and shape of words seen before, in one number."""
+    """Hash and shape of words seen before, in one number; it ends with the partition that made it."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = zlib.crc32(word.encode("utf-8", "surrogatepass")) * SHAPES + shape_of(word)
+        value = zlib.crc32(word.encode("utf-8", "surrogatepass")) * SHAPES + shape_of(word)
+        if len(word) < 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
-HASHED = Hashed()
-
-
 def mixed(values: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets of 64-bit values."""
     values = values * np.uint64(0x9E3779B97F4A7C15)
     return ((values >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
 
 
-def coded_words(text: str | None) -> np.ndarray:
+def pieces(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """A text cut at white space into pieces of about ``size`` characters; no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        found = SPACE.search(text, at + size)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def coded_words(text: str | None, hashed: Hashed) -> np.ndarray:
     """Hash and shape of every word of a text."""
-    words = WORD.findall(text or "")
-    return np.fromiter(map(HASHED.__getitem__, words), np.uint64, len(words))
+    parts = []
+    for piece in pieces(text or ""):
+        words = WORD.findall(piece)
+        parts.append(np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts)
 
 
-def features(text: str | None, buckets: int) -> np.ndarray:
+def gram_parts(coded: np.ndarray, buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a text with these words, a bounded number at a time."""
+    for at in range(0, len(coded), WORDS_AT_ONCE):
+        yield gram_buckets(coded[at : at + WORDS_AT_ONCE], buckets, coded[max(0, at - 1) : at])
+
+
+def features(text: str | None, buckets: int, hashed: Hashed | None = None) -> np.ndarray:
     """Buckets of a text's n-grams."""
-    return gram_buckets(coded_words(text), buckets)
+    parts = list(gram_parts(coded_words(text, Hashed() if hashed is None else hashed), buckets))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def gram_buckets(coded: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets of the n-grams of a text with these words."""
-    if not len(coded):
-        return np.zeros(0, np.int64)
+def gram_buckets(coded: np.ndarray, buckets: int, before: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams that end in these words; ``before`` holds the word before them, if there is one."""
     shape = coded % np.uint64(SHAPES)
-    again = np.concatenate([[False], coded[1:] == coded[:-1]])
-    before = np.concatenate([np.array([SHAPES], np.uint64), shape[:-1]])
-    shapes = np.uint64(1 << 40) + (before * np.uint64(16) + shape) * np.uint64(2) + again
-    pairs = coded[:-1] * np.uint64(1_000_003) + coded[1:] + np.uint64(1 << 50)
-    return mixed(np.concatenate([coded, pairs[~again[1:]], shapes]), buckets)
+    earlier = np.concatenate([before, coded])[: len(coded) + len(before) - 1]
+    own, own_shape = coded[len(coded) - len(earlier) :], shape[len(coded) - len(earlier) :]
+    again = own == earlier
+    pairs = earlier * np.uint64(1_000_003) + own + np.uint64(1 << 50)
+    shapes = (earlier % np.uint64(SHAPES)) * np.uint64(16) + own_shape
+    if len(earlier) < len(coded):
+        shapes = np.concatenate([np.uint64(SHAPES * 16) + shape[:1], shapes])
+    repeats = np.concatenate([np.zeros(len(coded) - len(earlier), bool), again])
+    shapes = np.uint64(1 << 40) + shapes * np.uint64(2) + repeats
+    return mixed(np.concatenate([coded, pairs[~again], shapes]), buckets)
 
 
 def labelled_sample(labels: DataFrame, target: Column, id_column: str = "doc_id", rows: int = LABEL_ROWS) -> DataFrame:
@@ -122,13 +150,19 @@ def log_ratios(
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target, hashed = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), Hashed()
         for rows, texts in in_chunks(batches, 0):
-            found = [features(t, buckets) for t in texts]
-            raw += np.bincount(np.concatenate(found), minlength=buckets)
-            chosen = [f for f, c in zip(found, rows.column(1).to_pylist(), strict=True) if c]
-            if chosen:
-                target += np.bincount(np.concatenate(chosen), minlength=buckets)
+            held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+            for text, chosen in zip(texts, rows.column(1).to_pylist(), strict=True):
+                for part in gram_parts(coded_words(text, hashed), buckets):
+                    held[chosen].append(part)
+                    if len(part) > WORDS_AT_ONCE:
+                        raw += (counts := np.bincount(held[chosen].pop(), minlength=buckets))
+                        target += counts * chosen
+            for chosen, parts in held.items():
+                if parts:
+                    raw += (counts := np.bincount(np.concatenate(parts), minlength=buckets))
+                    target += counts * chosen
         some = np.flatnonzero(raw)
         for at in range(0, len(some), 50_000):
             part = some[at : at + 50_000]
@@ -177,10 +211,11 @@ def bad_words(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", tex
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for rows, texts in in_chunks(batches, 0):
             target = np.array(rows.column(1).to_pylist(), bool)
             # Code -1 counts texts.
-            words = [np.append(np.unique(coded_words(t)).astype(np.int64), -1) for t in texts]
+            words = [np.append(np.unique(coded_words(t, hashed)).astype(np.int64), -1) for t in texts]
             code, place = np.unique(np.concatenate(words), return_inverse=True)
             is_target = np.repeat(target, [len(w) for w in words])
             both = np.bincount(place, minlength=len(code))
@@ -227,16 +262,23 @@ def weighed(
     carried = [i for i in range(len(docs.columns)) if with_text or i != at]
     names = [*[docs.columns[i] for i in carried], "log_weight"]
 
-    def weight(text: str | None) -> float:
+    # A text that falls below the cut of bad words loses more than the sums of its n-grams can differ by.
+    span = 0.0 if ratios is None else 2 * float(np.abs(ratios).max()) + 1
+
+    def weight(text: str | None, hashed: Hashed) -> float:
         if ratios is None:
             return 0.0
-        coded = coded_words(text)
-        value = float(ratios[gram_buckets(coded, len(ratios))].sum())
-        return value - PENALTY if bad is not None and bad.score(coded) < bad.cut else value
+        coded = coded_words(text, hashed)
+        value, grams = 0.0, 0
+        for part in gram_parts(coded, len(ratios)):
+            value += float(ratios[part].sum())
+            grams += len(part)
+        return value - span * grams if bad is not None and bad.score(coded) < bad.cut else value
 
     def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for rows, texts in in_chunks(batches, at):
-            weights = [weight(t) for t in texts]
+            weights = [weight(t, hashed) for t in texts]
             columns = [*[rows.column(i) for i in carried], pa.array(weights, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -244,11 +286,20 @@ def weighed(
     return docs.mapInArrow(weigh, schema).withColumn("sampling_key", F.col("log_weight") + gumbel(id_column))
 
 
-def kth_largest(keys: DataFrame, k: int) -> float | None:
-    """The k-th largest ``sampling_key`` of a stored table, digit by digit: 4,096 counts at a time reach the driver."""
+def packed_key() -> Column:
+    """The sampling key as a whole number, in the same order; keys beyond its range share its ends."""
+    scaled = F.floor(F.col("sampling_key") * F.lit(2.0**KEY_BITS))
+    return F.greatest(F.lit(-(2.0**62)), F.least(F.lit(2.0**62 - 2.0**10), scaled.cast("double"))).cast("long")
+
+
+def kth_largest(keys: DataFrame, k: int) -> int | None:
+    """The k-th largest packed key of a stored table, digit by digit: 4,096 counts at a time reach the driver.
+
+    None if there are fewer than ``k`` rows; above all keys if ``k`` is 0.
+    """
     if k <= 0:
-        return float("inf")
-    packed = keys.select((F.floor(F.col("sampling_key") * F.lit(2.0**32))).cast("long").alias("v"))
+        return (1 << 63) - 1
+    packed = keys.select(packed_key().alias("v"))
     low, width = -(1 << 62), 63
     while width > 0:
         step = max(0, width - 12)
@@ -263,7 +314,7 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
         if digit is None:
             return None
         low, width = low + (digit << step), step
-    return low / 2.0**32
+    return low
 
 
 def cuts(
@@ -283,11 +334,12 @@ def cuts(
     )
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for rows, texts in in_chunks(batches, 2):
-            scores = pa.array([bad.score(coded_words(t)) for t in texts], pa.float64())
+            scores = pa.array([bad.score(coded_words(t, hashed)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), scores], ["id", "key", "score"])
 
-    keys = weighed(target, ratios, id_column, text_column).select(id_column, "sampling_key", text_column)
+    keys = weighed(target, ratios, id_column, text_column).select(id_column, "log_weight", text_column)
     kind = docs.schema[id_column].dataType.simpleString()
     found = keys.mapInArrow(score, f"id {kind}, key double, score double")
     share = F.lit(1 - keep_target)
@@ -298,7 +350,7 @@ def cuts(
 def fitted(
     docs: DataFrame, labels: DataFrame, target: Column, keep_target: float = KEEP_TARGET, id_column: str = "doc_id"
 ) -> tuple[np.ndarray | None, BadWords, float]:
-    """Log ratios, bad words, and the key from which a document belongs to the sample."""
+    """Log ratios, bad words, and the weight that counts how many documents are to be drawn."""
     sample = scratch(labelled_sample(labels, target, id_column), "labels")
     ratios = log_ratios(docs, sample, id_column=id_column)
     bad = bad_words(docs, sample, id_column)
@@ -306,22 +358,32 @@ def fitted(
     return ratios, bad, cut
 
 
+def drawn(weights: DataFrame, cut: float, k: int | None = None) -> Column:
+    """Whether a row of the stored table ``weights`` is among the ``k`` with the largest keys (Gumbel top-k).
+
+    Without ``k`` it is the number of rows whose weight reaches ``cut``. Rows that share the k-th key are all drawn.
+    """
+    count = weights.where(F.col("log_weight") >= F.lit(cut)).count() if k is None else k
+    least = kth_largest(weights, count)
+    return F.lit(True) if least is None else packed_key() >= F.lit(least)
+
+
 def resampled(docs: DataFrame, labels: DataFrame, target: Column, k: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: id, ``log_weight``, ``sampling_key`` and whether it is in the sample (``kept``)."""
+    small_batches(docs.sparkSession)
     ratios, bad, cut = fitted(docs, labels, target, id_column=id_column)
-    out = weighed(docs.select(id_column, "text"), ratios, id_column, with_text=False, bad=bad)
-    if k is not None:
-        out = scratch(out, "weights")
-        cut = kth_largest(out, k)
-    return out.withColumn("kept", F.col("sampling_key") >= F.lit(cut))
+    out = scratch(weighed(docs.select(id_column, "text"), ratios, id_column, with_text=False, bad=bad), "weights")
+    return out.withColumn("kept", drawn(out, cut, k))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, target: Column, id_column: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` in the sample, all columns as they were; texts are not shuffled."""
+def keep_good(docs: DataFrame, labels: DataFrame, target: Column, k: int | None = None, id_column: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` in the sample, all columns as they were; texts are stored with their keys, not shuffled."""
+    small_batches(docs.sparkSession)
     ratios, bad, cut = fitted(docs.select(id_column, "text"), labels, target, id_column=id_column)
     inner = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
     key, text = (f"c{docs.columns.index(c)}" for c in (id_column, "text"))
-    kept = weighed(inner, ratios, key, text, bad=bad).where(F.col("sampling_key") >= F.lit(cut))
+    stored = scratch(weighed(inner, ratios, key, text, bad=bad), "weighed")
+    kept = stored.where(drawn(stored, cut, k))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
