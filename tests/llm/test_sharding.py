@@ -57,3 +57,24 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(i, f"t{i // 2}") for i in range(50)], "doc_id long, text string")
     plan = sharded(docs, 4)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("sizes, forced", [([2] * 1500, 0), ([20] * 150, 6), ([200] * 15, 3), ([20] * 100 + [2] * 500, 0)])
+def test_groups_without_single_rows_meet(spark, sizes, forced):
+    """Twelve shards hold 250 rows each; a group is split only where no shard has room for it."""
+    texts, number = {}, 0
+    for group, size in enumerate(sizes):
+        for _ in range(size):
+            texts[(number := number + 1) * 7919 % 3001] = f"group {group}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = sharded(docs, 12).collect()
+    homes = check(rows, texts, 12)
+    assert sum(len(s) > 1 for s in homes.values()) <= forced
+    assert all(r.link_shards == len(homes[texts[r.doc_id]]) for r in rows)
+
+
+def test_groups_larger_than_a_shard(spark):
+    texts = {i: f"g{i % 3}" for i in range(1000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    homes = check(sharded(docs, 10).collect(), texts, 10)
+    assert all(len(s) <= 5 for s in homes.values())

@@ -1,24 +1,32 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Rows are first dealt in turn, so that shard counts differ by at most one. Rows that share a link (here: equal texts)
-are neighbours. In each round a linked row asks to move to the shard where most of its neighbours are; a link with more
-rows than a shard holds fills several shards, which other linked rows ask to leave. Requests between two shards are granted against each other, and beyond
-that against unlinked rows, which can lie anywhere: one of them moves back for each request granted. Counts per shard
-therefore never change, and rounds go on until no request is granted.
+Every shard has room for its share of the rows; shares differ by at most one. Rows that share a link (here: equal texts)
+are neighbours. In the first round every link asks for the shard where most of its rows were dealt; a shard takes links,
+larger ones first, as long as they fit its room as a whole. A link that was turned away asks in the next round for a shard
+that still has room for all of it, and rounds go on until none is left that any shard has room for: then splitting it is
+forced by the sizes, given the links that were placed before. A link with more rows than a shard is cut into pieces of a
+shard each, and a rest that goes on like a link of its own.
 
-Only one number per pair of shards is ever kept together; rows are ranked inside salted parts of a shard or a pair.
+Links that are left are laid end to end over the rooms that are left, so each is cut as seldom as the rooms allow; rows
+without a neighbour come last and fill what remains. ``link_shards`` tells over how many shards a row's link lies.
+
+Links of one size class are ranked inside salted parts of a shard; only sums per shard, class and part are kept together,
+and 24 numbers a round reach the driver.
 
 Null and empty texts are equal and have size 8. Repeated rows are rows of their own and linked. With fewer rows than
 shards some shards are empty; no rows give no rows. Other columns are not read.
 """
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from triagework.llm.common import drop_scratch, read_table, salted_rank, scratch
+from triagework.llm.common import read_table, salted_rank, scratch
+from triagework.session import broadcast_if_small
 
 SHARDS = 24
-MAX_ROUNDS = 8
+LINKS_PER_PART = 200_000
 
 
 def dealt(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -53,123 +61,147 @@ def dealt(docs: DataFrame, shards: int, id_column: str = "doc_id", text_column:
     )
 
 
-def claimed(state: DataFrame, shards: int, capacity: int) -> dict[int, list[int]]:
-    """Shards that links with more rows than a shard holds will fill, those with most of their rows first.
+def asked_first(state: DataFrame, shards: int, room: int) -> DataFrame:
+    """Pieces of links as ``link``, ``piece``, ``n`` and the shard they ask for in the first round (``to``).
 
-    At most ``shards`` links are that large, so at most ``shards`` squared counts reach the driver.
-    """
-    here = state.where("link is not null").groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-    large = here.groupBy("link").agg(F.sum("n").alias("rows")).where(F.col("rows") >= max(2, capacity))
-    rows = here.join(large, "link").collect()
-    counts: dict[int, dict[int, int]] = {}
-    for r in rows:
-        counts.setdefault(r["link"], {})[r["shard"]] = r["n"]
-    taken: set[int] = set()
-    homes = {}
-    for link in sorted(counts, key=lambda k: (-sum(counts[k].values()), k)):
-        best = sorted(set(range(shards)) - taken, key=lambda s: (-counts[link].get(s, 0), s))
-        homes[link] = best[: max(1, sum(counts[link].values()) // max(1, capacity))]
-        taken.update(homes[link])
-    return homes
-
-
-def requests(linked: DataFrame, homes: dict[int, list[int]], shards: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Linked rows that ask to move (with ``to``), and those that are where most of their neighbours are.
-
-    Shards that a large link fills are left to it: its rows ask for them, and other rows ask to leave.
+    A link of ``room`` rows or fewer is one piece and asks for the shard where most of its rows are. The pieces of a
+    larger one ask for the shards with most of its rows in turn.
     """
-    full = sorted({s for own in homes.values() for s in own})
-    rest = sorted(set(range(shards)) - set(full)) or list(range(shards))
-    is_large = F.col("link").isin(list(homes))
-    spare = F.array(*[F.lit(s) for s in rest])
-    place = F.struct(F.col("shard").isin(rest).alias("free"), "n", F.xxhash64("link", "shard").alias("tie"), "shard")
-    best = (
-        linked.where(~is_large)
+    place = F.struct(F.col("n").alias("n"), F.xxhash64("link", "shard").alias("tie"), F.col("shard").alias("shard"))
+    links = (
+        state.where("link is not null")
         .groupBy("link", "shard")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(F.col("link").alias("to_link"))
-        .agg(F.max(place).alias("best"))
+        .groupBy("link")
+        .agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(place), asc=False).alias("places"))
     )
-    by_hash = F.get(spare, F.pmod(F.xxhash64("to_link"), F.lit(len(rest))).cast("int"))
-    wanted = best.select("to_link", F.when(F.col("best.free"), F.col("best.shard")).otherwise(by_hash).alias("to"))
-    small = linked.where(~is_large).join(wanted, F.col("link") == F.col("to_link")).drop("to_link")
-    at_home, to = F.lit(False), F.lit(None).cast("int")
-    for link, own in homes.items():
-        pick = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(len(own))).cast("int")
-        mine = F.col("link") == link
-        at_home = at_home | (mine & F.col("shard").isin(own))
-        to = F.when(mine, F.get(F.array(*[F.lit(s) for s in own]), pick)).otherwise(to)
-    large = linked.where(is_large).withColumn("to", F.when(at_home, F.col("shard")).otherwise(to))
-    placed = small.unionByName(large) if homes else small
-    return placed.where("shard <> to"), placed.where("shard = to").drop("to")
-
-
-def quotas(asks: DataFrame, free: DataFrame) -> DataFrame:
-    """Per pair of shards: how many requests are ``granted``, and which free rows of ``to`` move ``back`` in exchange.
-
-    The table has at most one row per pair of shards.
+    pieces = F.sequence(F.lit(0), F.ceil(F.col("rows") / F.lit(max(1, room))).cast("int") - 1)
+    cut = links.select("link", "rows", "places", F.explode(pieces).alias("piece"))
+    n = F.least(F.lit(room).cast("long"), F.col("rows") - F.col("piece") * F.lit(room))
+    turn = F.get("places", F.pmod("piece", F.size("places")))
+    return cut.select("link", "piece", n.alias("n"), turn["shard"].alias("to")).where("n > 0")
+
+
+def granted(asks: DataFrame, rooms: list[int], parts: int, turn: int) -> DataFrame:
+    """The pieces with ``fits``: whether their shard has room for them after all that rank before them.
+
+    Pieces rank by the size class, larger first, then by the part they are dealt to, then by their hash.
     """
-    wanted = asks.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n"))
-    other = wanted.select(F.col("shard").alias("o_to"), F.col("to").alias("o_shard"), F.col("n").alias("opposite"))
-    spare = free.groupBy(F.col("shard").alias("f_shard")).agg(F.count(F.lit(1)).alias("spare"))
-    in_turn = Window.partitionBy("to").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    size_class = -F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    tie = F.xxhash64("link", "piece", F.lit(turn))
+    ranked = asks.withColumns({"class": size_class, "part": F.pmod(tie, F.lit(parts)).cast("int"), "tie": tie})
+    sums = ranked.groupBy("to", "class", "part").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("to").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        F.col("to").alias("s_to"), F.col("class").alias("s_class"), F.col("part").alias("s_part"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+    )
+    inside = Window.partitionBy("to", "class", "part").orderBy("tie", "link", "piece")
+    room = F.get(F.array(*[F.lit(r).cast("long") for r in rooms]), F.col("to"))
+    same = (F.col("to") == F.col("s_to")) & (F.col("class") == F.col("s_class")) & (F.col("part") == F.col("s_part"))
     return (
-        wanted.join(other, (F.col("shard") == F.col("o_shard")) & (F.col("to") == F.col("o_to")), "left")
-        .join(spare, F.col("to") == F.col("f_shard"), "left")
-        .withColumn("swap", F.least("n", F.coalesce("opposite", F.lit(0))))
-        .withColumn("more", F.col("n") - F.col("swap"))
-        .withColumn("back_from", F.coalesce(F.sum("more").over(in_turn), F.lit(0)))
-        .withColumn("back", F.greatest(F.lit(0), F.least("more", F.coalesce("spare", F.lit(0)) - F.col("back_from"))))
-        .select(
-            F.col("shard").alias("q_shard"),
-            F.col("to").alias("q_to"),
-            (F.col("swap") + F.col("back")).alias("granted"),
-            "back_from",
-            "back",
-        )
+        ranked.withColumn("upto", F.sum("n").over(inside))
+        .join(F.broadcast(starts), same)
+        .select("link", "piece", "n", "to", (F.col("start") + F.col("upto") <= room).alias("fits"))
     )
 
 
-def propagated(state: DataFrame, shards: int, capacity: int, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Shards after the last round; every round is stored and the one before it removed."""
-    columns, homes = state.columns, claimed(state, shards, capacity)
-    for turn in range(max_rounds):
-        linked, free = state.where("link is not null"), state.where("link is null")
-        asks, home = requests(linked, homes, shards, turn)
-        asks = scratch(asks, "asks")
-        quota = scratch(quotas(asks, free), "quotas")
-        if not (quota.agg(F.sum("granted")).first()[0] or 0):
-            break
-        ranked = salted_rank(asks, ["shard", "to"], ["row"], "rank")
-        moved = ranked.join(
-            F.broadcast(quota.select("q_shard", "q_to", "granted")),
-            (F.col("shard") == F.col("q_shard")) & (F.col("to") == F.col("q_to")),
-        ).withColumn("shard", F.when(F.col("rank") < F.col("granted"), F.col("to")).otherwise(F.col("shard")))
-        back = quota.where("back > 0").select(
-            F.col("q_to").alias("b_shard"), F.col("q_shard").alias("b_to"), "back_from", "back"
-        )
-        in_part = (
-            (F.col("shard") == F.col("b_shard"))
-            & (F.col("rank") >= F.col("back_from"))
-            & (F.col("rank") < F.col("back_from") + F.col("back"))
-        )
-        returned = (
-            salted_rank(free, ["shard"], ["row"], "rank")
-            .join(F.broadcast(back), in_part, "left")
-            .withColumn("shard", F.coalesce("b_to", "shard"))
-        )
-        after = scratch(moved.select(columns).union(returned.select(columns)).union(home.select(columns)), "shards")
-        drop_scratch(state)
-        drop_scratch(asks)
-        state = after
-    return state
+def asked_again(left: DataFrame, rooms: list[int], turn: int) -> DataFrame:
+    """Pieces that some shard has room for, with the shard they ask for now: by chance, in proportion to the rooms."""
+    order = sorted(range(len(rooms)), key=lambda s: (-rooms[s], s))
+    enough = F.size(F.filter(F.array(*[F.lit(rooms[s]).cast("long") for s in order]), lambda r: r >= F.col("n")))
+    ends = [sum(rooms[s] for s in order[: i + 1]) for i in range(len(order))]
+    known = left.withColumn("enough", enough).where("enough > 0")
+    total = F.get(F.array(*[F.lit(e).cast("long") for e in ends]), F.col("enough") - 1)
+    drawn = F.pmod(F.xxhash64("link", "piece", F.lit(-turn)), total)
+    place = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= drawn))
+    to = F.get(F.array(*[F.lit(s) for s in order]), place)
+    return known.select("link", "piece", "n", to.alias("to"))
+
+
+def placed(asks: DataFrame, rooms: list[int]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Pieces with their shard, pieces that no shard has room for, and the rooms that are left. Every round is stored."""
+    first = scratch(asks, "pieces")
+    parts = max(1, math.ceil(first.count() / (len(rooms) * LINKS_PER_PART)))
+    done, left, turn = first.limit(0).select("link", "piece", "n", "to"), first, 0
+    asks = first
+    while True:
+        told = scratch(granted(asks, rooms, parts, turn), "granted")
+        rooms = list(rooms)
+        for row in told.where("fits").groupBy("to").agg(F.sum("n").alias("n")).collect():
+            rooms[row["to"]] -= row["n"]
+        done = done.unionByName(told.where("fits").drop("fits"))
+        rest = told.where("not fits").select("link", "piece", "n")
+        turn += 1
+        asks = scratch(asked_again(rest, rooms, turn), "asks")
+        # Rooms only shrink: what fits nowhere now never will.
+        stuck = rest.join(asks.select("link", "piece"), ["link", "piece"], "left_anti")
+        left = stuck if turn == 1 else left.unionByName(stuck)
+        if asks.isEmpty():
+            return done, left, rooms
+
+
+def propagated(state: DataFrame, shards: int) -> DataFrame:
+    """The rows with their last ``shard``."""
+    total = state.count()
+    rooms = [total // shards + (s < total % shards) for s in range(shards)]
+    piece_rows = max(1, total // shards)
+    done, left, rooms = placed(asked_first(state, shards, piece_rows), rooms)
+    # Links laid end to end: where each begins, from sums of salted parts; rows without a neighbour follow.
+    left = scratch(left, "left")
+    parts = max(1, math.ceil(left.count() / LINKS_PER_PART))
+    part = F.pmod(F.xxhash64("link"), F.lit(parts))
+    dealt_out = left.withColumn("part", part)
+    before = Window.orderBy("s_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt_out.groupBy(F.col("part").alias("s_part")).agg(F.sum("n").alias("n")).select(
+        "s_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = Window.partitionBy("part").orderBy("link", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    begins = dealt_out.join(F.broadcast(starts), F.col("part") == F.col("s_part")).select(
+        "link", "piece", "n", F.lit(None).cast("int").alias("to"),
+        (F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("begin"),
+    )
+    goals = scratch(done.withColumn("begin", F.lit(None).cast("long")).unionByName(begins), "goals")
+    left_rows = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    ends = [sum(rooms[: s + 1]) for s in range(shards)]
+    shard_at = lambda place: F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place))
+    names = ["row", "doc_id", "size", "text_crc32", "link"]
+    # Only rows of links that are cut need their rank; all others go where their link goes.
+    cut = goals.groupBy("link").agg(F.count(F.lit(1)).alias("pieces"), F.count("begin").alias("spread"))
+    cut = scratch(cut.where("pieces > 1 or spread > 0").select(F.col("link").alias("c_link")), "cut")
+    linked = state.where("link is not null")
+    split = linked.join(cut, F.col("link") == F.col("c_link"), "left_semi").select(names)
+    whole = linked.join(cut, F.col("link") == F.col("c_link"), "left_anti").select(names)
+    goal = goals.select(F.col("link").alias("g_link"), "piece", "to", "begin")
+    whole = whole.join(goal, F.col("link") == F.col("g_link")).select(*names, F.col("to").alias("shard"))
+    numbered = salted_rank(split, ["link"], ["row"], "rank")
+    piece = F.floor(F.col("rank") / F.lit(piece_rows))
+    place = F.col("begin") + F.col("rank") - F.col("piece") * F.lit(piece_rows)
+    split = numbered.join(goal, (F.col("link") == F.col("g_link")) & (piece == F.col("piece"))).select(
+        *names, F.coalesce("to", shard_at(place)).alias("shard")
+    )
+    single = salted_rank(state.where("link is null").select(names), ["link"], ["row"], "rank")
+    single = single.select(*names, shard_at(F.col("rank") + F.lit(left_rows)).alias("shard"))
+    return scratch(whole.unionByName(split).unionByName(single), "shards")
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``link``."""
-    state = dealt(docs, shards, id_column, text_column)
-    state = propagated(state, shards, state.count() // shards)
-    return salted_rank(state, ["shard"], ["row"], "slot").select(
+    """Per row of ``docs``: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``, ``link``,
+    ``link_shards``.
+    """
+    state = propagated(dealt(docs, shards, id_column, text_column), shards)
+    spread = (
+        state.where("link is not null")
+        .groupBy("link", "shard")
+        .agg(F.lit(1).alias("one"))
+        .groupBy(F.col("link").alias("l_link"))
+        .agg(F.sum("one").alias("link_shards"))
+    )
+    # Most links lie in one shard; only the others are looked up.
+    split = broadcast_if_small(scratch(spread.where("link_shards > 1"), "split"))
+    ranked = salted_rank(state, ["shard"], ["row"], "slot").join(split, F.col("link") == F.col("l_link"), "left")
+    return ranked.select(
         F.col("doc_id").alias(id_column),
         "size",
         "text_crc32",
@@ -178,6 +210,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", te
         F.col("slot").cast("long"),
         F.lit(None).cast("int").alias("grown_shard"),
         "link",
+        F.when(F.col("link").isNotNull(), F.coalesce("link_shards", F.lit(1))).alias("link_shards"),
     )
 
 
