@@ -1,6 +1,8 @@
 """Helpers of this subpackage: scratch tables, text bytes, salted ranks and connected components."""
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,28 @@ def drop_scratch(df: DataFrame) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def releasing(run: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """``run``, releasing memory when its partition is done."""
+
+    def whole(batches: Batches) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 def lowered(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lowered; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass").translate(LOWER)

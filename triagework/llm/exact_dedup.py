@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from triagework.llm.common import LOWER, read_table, scratch, text_batches
+from triagework.llm.common import LOWER, read_table, releasing, scratch, text_batches
 
 #: Distinct text that a task keeps in memory, and rows that share a table in a map task.
 TABLE_BYTES = 64 << 20
@@ -243,13 +243,13 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kept_id = lambda c: F.when(F.col(c) != MISSING_ID, F.col(c))
     folded = scratch(
         docs.select(*_prepared(docs, id_column, text_column)).mapInArrow(
-            fold, f"{FOLDED_DDL}, __member long, __own long, __own_id long"
+            releasing(fold), f"{FOLDED_DDL}, __member long, __own long, __own_id long"
         ),
         "exact",
     )
     records = folded.where("__hash is not null").select(*FOLDED.names)
     groups = records.repartition("__hash").mapInArrow(
-        settle_groups, "__rep long, __keep long, __keep_row long, __n long, __sha string"
+        releasing(settle_groups), "__rep long, __keep long, __keep_row long, __n long, __sha string"
     )
     members = folded.where("__member is not null").select("__member", "__own", "__own_id")
     return members.join(groups, F.col("__member") == F.col("__rep")).select(
@@ -291,9 +291,9 @@ def drop_exact_copies(
                 yield records.select(["__id", "__text", *(["__carried"] if kind else [])])
 
     kept = (
-        chosen.mapInArrow(fold, FOLDED_DDL + more)
+        chosen.mapInArrow(releasing(fold), FOLDED_DDL + more)
         .repartition("__hash")
-        .mapInArrow(settle_groups, "__id long, __text binary" + more)
+        .mapInArrow(releasing(settle_groups), "__id long, __text binary" + more)
     )
     place = {f.name: f"__carried.c{i}" for i, f in enumerate(others)}
     id_value = F.when(F.col("__id") != MISSING_ID, F.col("__id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagework.llm.common import CHUNK_CHARS, crc_fold, in_chunks, read_table, small_batches
+from triagework.llm.common import CHUNK_CHARS, crc_fold, in_chunks, read_table, releasing, small_batches
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -147,7 +147,7 @@ def gram_counts(docs: DataFrame, text_column: str = "text", lang_column: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang", "fold", "bucket", "n"])
 
     known = in_folds(docs, folds, text_column, lang_column)
-    counted = known.mapInArrow(count, "lang string, fold int, bucket long, n long")
+    counted = known.mapInArrow(releasing(count), "lang string, fold int, bucket long, n long")
     return counted.groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -187,7 +187,7 @@ def lead_limits(docs: DataFrame, languages: list[str], models: list[Model]) -> n
         lang, step = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(step), pa.array(table[lang, step])], ["lang", "step", "n"])
 
-    counted = docs.mapInArrow(count, "lang long, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(releasing(count), "lang long, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), ALL_STEPS), np.int64)
     for lang, step, n in counted.collect():
         table[lang, step] = n
@@ -226,7 +226,7 @@ def predicted(docs: DataFrame, model: Model, text_column: str = "text", with_tex
             yield pa.RecordBatch.from_arrays(columns, names)
 
     more = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")]
-    return docs.mapInArrow(run, docs.select(*names[:-3], *more).schema)
+    return docs.mapInArrow(releasing(run), docs.select(*names[:-3], *more).schema)
 
 
 def keep_known(docs: DataFrame, train: Column, text_column: str = "text", lang_column: str = "lang") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from triagework.llm.byte_bpe import Runs, char_of_byte
-from triagework.llm.common import in_chunks, read_table, salted_rank, scratch, spread_index
+from triagework.llm.common import in_chunks, read_table, releasing, salted_rank, scratch, spread_index
 
 CAPACITY = 4096
 END_ID = 1
@@ -35,7 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Groups of large lengths, and the share of the capacity above which a length is large; the best of these is taken.
 SETTINGS = ((256, 1 / 8), (256, 1 / 2), (1024, 1 / 3), (1024, 1 / 2))
 #: Units, and pieces, remembered by a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 class WordTokens:
@@ -134,11 +134,13 @@ def tokenized_pieces(
                 columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids.astype(np.int32))))
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+        # The file stays loaded, what was looked up ends with the partition.
+        load(path).forget()
 
     kind = docs.schema[id_column].dataType.simpleString()
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+    return chosen.mapInArrow(releasing(run), schema).withColumnRenamed("id", id_column)
 
 
 def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
@@ -293,7 +295,7 @@ def packed(
     ranked = salted_rank(pieces, ["length"], order, "__rank")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.select(*pieces.columns, F.col("__rank").cast("long")).mapInArrow(
-        place, schema + ", sequence_id long, offset long"
+        releasing(place), schema + ", sequence_id long, offset long"
     )
 
 

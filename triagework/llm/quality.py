@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagework.llm.common import CHUNK_CHARS, in_chunks, read_table, scratch, small_batches
+from triagework.llm.common import CHUNK_CHARS, in_chunks, read_table, releasing, scratch, small_batches
 
 BUCKETS = 1 << 17
 LABEL_ROWS = 65_536
@@ -175,7 +175,7 @@ def log_ratios(
         F.col(text_column).cast("string").alias("text"), F.coalesce("__target", F.lit(False)).alias("target")
     )
     found = (
-        marked.mapInArrow(count, "bucket long, raw long, target long")
+        marked.mapInArrow(releasing(count), "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .toArrow()
@@ -227,7 +227,7 @@ def bad_words(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", tex
         F.col(text_column).cast("string").alias("text"), F.col("__target").alias("target")
     )
     counts = scratch(
-        marked.mapInArrow(count, "code long, good long, bad long")
+        marked.mapInArrow(releasing(count), "code long, good long, bad long")
         .groupBy("code")
         .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")),
         "label_words",
@@ -283,7 +283,7 @@ def weighed(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = docs.select(*names[:-1], F.lit(0.0).alias("log_weight")).schema
-    return docs.mapInArrow(weigh, schema).withColumn("sampling_key", F.col("log_weight") + gumbel(id_column))
+    return docs.mapInArrow(releasing(weigh), schema).withColumn("sampling_key", F.col("log_weight") + gumbel(id_column))
 
 
 def packed_key() -> Column:
@@ -341,7 +341,7 @@ def cuts(
 
     keys = weighed(target, ratios, id_column, text_column).select(id_column, "log_weight", text_column)
     kind = docs.schema[id_column].dataType.simpleString()
-    found = keys.mapInArrow(score, f"id {kind}, key double, score double")
+    found = keys.mapInArrow(releasing(score), f"id {kind}, key double, score double")
     share = F.lit(1 - keep_target)
     least = found.agg(F.percentile("key", share), F.percentile("score", share)).first()
     return tuple(float("-inf") if v is None else v for v in least)

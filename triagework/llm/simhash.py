@@ -29,6 +29,7 @@ from triagework.llm.common import (
     in_chunks,
     lowered,
     read_table,
+    releasing,
     scratch,
 )
 
@@ -82,7 +83,7 @@ def fingerprints(
 
     text = F.col(text_column).cast("string")
     chosen = docs.select(text.alias("text"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"))
-    return chosen.mapInArrow(run, "id long, text_hash long, fingerprint long")
+    return chosen.mapInArrow(releasing(run), "id long, text_hash long, fingerprint long")
 
 
 def flips(bits: int, most: int) -> list[int]:
