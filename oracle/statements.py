@@ -241,6 +241,7 @@ from arriving"""
   {range_text('low_hours', 'high_hours')} as Expected_Resolution, strftime(Arrived_At, {STAMP}) as Routed_At,
   {queue_key(department('Issue_Category'))} as queue_key from ({lookup('errors')})"""
     event_views = ["ticket_history", "ranges", "arriving"]
+    routed = with_views(text_views, "select * exclude (ticket_md5) from queued", triaged=triaged, queued=queued)
     return {
         "triage_batch": with_views(text_views, triaged),
         "batch_results_view": with_views(
@@ -249,9 +250,8 @@ from arriving"""
   routed_department, Ticket_Channel from triaged""",
             triaged=triaged,
         ),
-        "route_append": with_views(
-            text_views, "select * exclude (ticket_md5) from queued", triaged=triaged, queued=queued
-        ),
+        "route_append": routed,
+        "route_retried": routed,
         "queue_numbers": with_views(
             text_views,
             "select Routed_Department, Queue_No, Ticket_ID from numbered",

@@ -74,11 +74,13 @@ def load_classifier(
     return None if pipeline is None else priority.PriorityModel(pipeline)
 
 
-def batch(spark: SparkSession, past: DataFrame, tickets: DataFrame, root: str, output: str, kind: str) -> None:
+def batch(
+    spark: SparkSession, past: DataFrame, tickets: DataFrame, root: str, output: str, kind: str, name: str | None = None
+) -> None:
     model = load_classifier(spark, root, kind)
     if model is None:
         raise SystemExit(f"train the {kind} model first")
-    shown = run_batch(tickets, model, ranges.settled_ranges(past), f"{root}/queues", output)
+    shown = run_batch(tickets, model, ranges.settled_ranges(past), f"{root}/queues", output, name=name)
     for part in (shown.kpis, shown.priorities, shown.departments, shown.priority_by_department, shown.results):
         part.show(truncate=False)
 
@@ -102,6 +104,7 @@ def main(arguments: list[str] | None = None) -> None:
     batch_parser.add_argument("tickets")
     batch_parser.add_argument("output")
     batch_parser.add_argument("--model", choices=CLASSIFIERS, default="boosted")
+    batch_parser.add_argument("--name", help="queue the batch of this name only once, however often it is run")
     chosen = parser.parse_args(arguments)
     spark = build_session()
     if chosen.job == "queues":
@@ -116,7 +119,7 @@ def main(arguments: list[str] | None = None) -> None:
         train(spark, past, chosen.root, chosen.kind)
     else:
         arrived = read_ticket_csv(spark, chosen.tickets, line_breaks=chosen.line_breaks)
-        batch(spark, past, arrived, chosen.root, chosen.output, chosen.model)
+        batch(spark, past, arrived, chosen.root, chosen.output, chosen.model, chosen.name)
 
 
 if __name__ == "__main__":

@@ -88,6 +88,18 @@ def route_append(spark, folder):
     return shown(routed_queues(spark, folder)).drop("ticket_md5")
 
 
+@query
+def route_retried(spark, folder):
+    """The same two runs as batches with names, each run again, and compacted in between."""
+    batch, path = store(triaged_text(spark, folder), "triaged"), new_output_dir(spark, "queues")
+    by_mail = F.col("Ticket_Channel").eqNullSafe("Email")
+    for name, part, stamp in (("mail", by_mail, MORNING), ("others", ~by_mail, NOON), ("mail", by_mail, NOON)):
+        triage.route_batch(batch.where(part), path, F.lit(stamp).cast("timestamp"), ["ticket_key"], name)
+    queues.compact_batches(spark, path, "both")
+    triage.route_batch(batch.where(~by_mail), path, F.lit(NOON).cast("timestamp"), ["ticket_key"], "others")
+    return shown(queues.read_queues(spark, path)).drop("ticket_md5")
+
+
 def error_queues(spark, folder):
     """Queues of all events, where only errors have a known category: three departments stay empty."""
     arrived = standins.arriving_tickets(read_table(spark, folder, "events"))

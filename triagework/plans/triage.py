@@ -46,10 +46,12 @@ def queue_rows(batch: DataFrame, routed_at: Column, keys: list[str]) -> DataFram
     )
 
 
-def route_batch(batch: DataFrame, path: str, routed_at: Column | None = None, keys: list[str] | None = None) -> str:
-    """Append a triaged batch to the department queues, stamped with the time of routing."""
+def route_batch(
+    batch: DataFrame, path: str, routed_at: Column | None = None, keys: list[str] | None = None, name: str | None = None
+) -> str:
+    """Append a triaged batch to the department queues, stamped with the time of routing; a ``name`` only once."""
     stamp = F.current_timestamp() if routed_at is None else routed_at
-    return append_to_queues(queue_rows(batch, stamp, keys or []), path)
+    return append_to_queues(queue_rows(batch, stamp, keys or []), path, name)
 
 
 def batch_view(batch: DataFrame) -> DataFrame:
@@ -113,8 +115,9 @@ def run_batch(
     output: str,
     keys: list[str] | None = None,
     routed_at: Column | None = None,
+    name: str | None = None,
 ) -> BatchReport:
-    """Score, triage and route a batch, export it as CSV and report on it.
+    """Score, triage and route a batch, export it as CSV and report on it. A batch with a ``name`` is queued once.
 
     The triaged batch is written to ``output`` once; queues, export and report read that table, so random ids are the
     same everywhere.
@@ -123,6 +126,6 @@ def run_batch(
     scored = model.score(batch).drop(SCORES, "prediction")
     triaged = triage_batch(scored, ranges, "predicted_label", keys or []).drop("predicted_label")
     written = tickets.sparkSession.read.parquet(write_parquet(triaged, f"{output}/batch"))
-    route_batch(written, queues, routed_at, keys)
+    route_batch(written, queues, routed_at, keys, name)
     write_csv(written, f"{output}/predictions")
     return batch_report(written)

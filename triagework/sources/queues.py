@@ -1,15 +1,22 @@
 """Department queues: a Parquet table partitioned by department, appended to by batches and read whole.
 
-Every stream that routes tickets has a table of its own below it; reading unites them.
+Every stream that routes tickets has a table of its own below it. So have batches that come with a name: each is written
+whole under an attempt of its own and then committed by one new file, whose name is the batch's. Only one attempt can
+commit a batch, and readers see committed attempts only, so a batch that is run twice, or broken off and run again, is
+there once. Reading unites all three.
 """
 
 import hashlib
+import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.domain import QUEUE_COLUMNS, QUEUE_OF
+from triagework.session import broadcast_if_small
 from triagework.sources.tickets import child_paths, path_exists
 
 QUEUE_SCHEMA = (
@@ -19,15 +26,97 @@ QUEUE_SCHEMA = (
 )
 
 
-def append_to_queues(routed: DataFrame, path: str) -> str:
-    """Append routed tickets; each task writes its own files, so a hot department needs no shuffle."""
-    columns = [*QUEUE_COLUMNS, "ticket_md5", "department_key"]
-    routed.select(columns).write.mode("append").partitionBy("department_key").parquet(path)
+COLUMNS = [*QUEUE_COLUMNS, "ticket_md5", "department_key"]
+
+#: Folders below the queues; readers of the plain table pass over names that begin with an underscore.
+STREAMS = "_streams"
+BATCHES = "_batches"
+COMMITS = "_commits"
+
+
+def append_to_queues(routed: DataFrame, path: str, batch: str | None = None) -> str:
+    """Append routed tickets; each task writes its own files, so a hot department needs no shuffle.
+
+    A ``batch`` that is there already is not written again. Without a name appending twice is there twice.
+    """
+    if batch is None:
+        routed.select(COLUMNS).write.mode("append").partitionBy("department_key").parquet(path)
+        return path
+    spark, name = routed.sparkSession, batch_name(batch)
+    if not path_exists(spark, f"{path}/{COMMITS}/{name}"):
+        attempt = write_attempt(routed, path, name)
+        commit(spark, path, name, attempt, [])
     return path
 
 
-#: Folder of the streams' tables; readers of the batch table pass over names that begin with an underscore.
-STREAMS = "_streams"
+def batch_name(batch: str) -> str:
+    return f"b{hashlib.md5(batch.encode()).hexdigest()}"
+
+
+def write_attempt(routed: DataFrame, path: str, name: str) -> str:
+    attempt = uuid.uuid4().hex
+    routed.select(COLUMNS).write.partitionBy("department_key").parquet(f"{path}/{BATCHES}/batch={name}/attempt={attempt}")
+    return attempt
+
+
+def commit(spark: SparkSession, path: str, name: str, attempt: str, replaces: list[str]) -> bool:
+    """Commit an attempt unless the batch is committed; whether this call did it.
+
+    The file is written aside and renamed, which fails where the name is taken. It lists the batches whose rows it holds
+    in their place.
+    """
+    jvm = spark.sparkContext._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    told, goal = place(f"{path}/{COMMITS}/_{attempt}"), place(f"{path}/{COMMITS}/{name}")
+    files = goal.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(told, False)
+    out.write(bytearray(json.dumps({"batch": name, "attempt": attempt, "replaces": replaces}).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(goal.toUri(), files.getConf())
+    fails_if_taken = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(files.makeQualified(told), files.makeQualified(goal), fails_if_taken)
+    except Py4JJavaError as error:
+        files.delete(told, False)
+        if not files.exists(goal):
+            raise error
+        return False
+    return True
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """``batch`` and ``attempt`` of the committed batches that no later one replaces."""
+    schema = "batch string, attempt string, replaces array<string>"
+    if not path_exists(spark, f"{path}/{COMMITS}"):
+        return spark.createDataFrame([], schema).drop("replaces")
+    told = spark.read.schema(schema).json(f"{path}/{COMMITS}")
+    gone = told.select(F.explode("replaces").alias("batch"))
+    return told.join(gone, "batch", "left_anti").select("batch", "attempt")
+
+
+def committed(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame | None:
+    """Tickets of all committed batches, with ``batch`` and ``attempt``; None if there is no such table."""
+    if not path_exists(spark, f"{path}/{BATCHES}"):
+        return None
+    schema = f"{QUEUE_SCHEMA}, batch string, attempt string"
+    table = spark.read.schema(schema).option("ignoreCorruptFiles", skip_unreadable).parquet(f"{path}/{BATCHES}")
+    return table.join(broadcast_if_small(commits(spark, path)), ["batch", "attempt"], "left_semi")
+
+
+def compact_batches(spark: SparkSession, path: str, name: str, rows_per_file: int = 1_000_000) -> list[str]:
+    """Rewrite the committed batches as one called ``name``, in few files; the names of those it replaces.
+
+    Readers see either the old ones or the new one. Replaced batches stay committed, so running one of them again still
+    changes nothing.
+    """
+    replaced = [r["batch"] for r in commits(spark, path).collect()]
+    if len(replaced) < 2 or path_exists(spark, f"{path}/{COMMITS}/{batch_name(name)}"):
+        return []
+    tickets = committed(spark, path)
+    files = max(1, -(-tickets.count() // rows_per_file))
+    spread = tickets.repartition(files, F.xxhash64("Ticket_ID", "ticket_md5"))
+    attempt = write_attempt(spread, path, batch_name(name))
+    return replaced if commit(spark, path, batch_name(name), attempt, replaced) else []
 
 
 def stream_path(path: str, checkpoint: str) -> str:
@@ -36,7 +125,7 @@ def stream_path(path: str, checkpoint: str) -> str:
 
 
 def read_queues(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
-    """All queues as one table, from batches and streams; no table yet means no tickets.
+    """All queues as one table, from plain appends, named batches and streams; no table yet means no tickets.
 
     With ``skip_unreadable`` files that cannot be read count as empty instead of failing the job.
     """
@@ -45,7 +134,9 @@ def read_queues(spark: SparkSession, path: str, skip_unreadable: bool = False) -
     reader = spark.read.schema(QUEUE_SCHEMA).option("ignoreCorruptFiles", skip_unreadable)
     streams = f"{path}/{STREAMS}"
     tables = [path, *(child_paths(spark, streams) if path_exists(spark, streams) else [])]
-    return reduce(DataFrame.unionByName, [reader.parquet(table) for table in tables])
+    named = committed(spark, path, skip_unreadable)
+    parts = [reader.parquet(table) for table in tables] + ([] if named is None else [named.drop("batch", "attempt")])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def department_dimension(spark: SparkSession) -> DataFrame:
