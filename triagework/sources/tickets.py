@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from triagework.domain import HISTORY_SCHEMA, NULL_TOKENS, SERVING_DEFAULTS
 from triagework.functions.dates import parse_submission
 from triagework.functions.text import is_blank
+from triagework.sources.csv_records import read_quoted_csv
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
 
@@ -35,14 +36,22 @@ def history_path(spark: SparkSession, root: str, file_name: str = "customer_supp
 
 
 def read_ticket_csv(
-    spark: SparkSession, path: str, schema: T.StructType = HISTORY_SCHEMA, line_breaks: bool = False, **options
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = HISTORY_SCHEMA,
+    line_breaks: bool = False,
+    parallel: bool = True,
+    **options,
 ) -> DataFrame:
     """Tickets of a CSV file or folder, with the types of ``schema``; unknown columns stay text.
 
     Null tokens and values that do not fit the type become null. ``line_breaks`` allows line breaks inside quoted cells;
-    a file is then one split, while files without such cells are read in as many splits as their size asks for.
+    files are then read twice, unless ``parallel`` is off or there are ``options``: then a file is one split.
     """
-    raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": line_breaks, **options}).csv(path)
+    if line_breaks and parallel and not options:
+        raw = read_quoted_csv(spark, path)
+    else:
+        raw = spark.read.options(**{**CSV_OPTIONS, "multiLine": line_breaks, **options}).csv(path)
     types = {field.name: field.dataType for field in schema}
     return raw.select([_typed(F.col(f"`{name}`"), types.get(name, T.StringType())).alias(name) for name in raw.columns])
 
