@@ -183,6 +183,7 @@ def statistics() -> dict[str, str]:
     found = lookup("ticket_history")
     return {
         "resolution_ranges": with_views(["ticket_history", "ranges"], "select * from ranges"),
+        "ranges_appended": with_views(["ticket_history", "ranges"], "select * from ranges"),
         "resolution_lookup": with_views(
             ["ticket_history", "ranges"],
             f"""select ticket_key, Priority_Level, Issue_Category, range_level, low_hours, high_hours,

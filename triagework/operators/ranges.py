@@ -13,11 +13,14 @@ RANGE_INPUTS = ["Priority_Level", "Issue_Category", "Resolution_Time_Hours"]
 LEVELS = ["pair", "priority", "all"]
 
 
-def resolution_ranges(history: DataFrame) -> DataFrame:
-    """Interquartile range and known-hours count per (priority, category), per priority and over everything."""
+def resolution_ranges(history: DataFrame, weight: str | None = None) -> DataFrame:
+    """Interquartile range and known-hours count per (priority, category), per priority and over everything.
+
+    With ``weight`` a row of the history stands for that many tickets.
+    """
     require_columns(history, RANGE_INPUTS)
     keysets = [["Priority_Level", "Issue_Category"], ["Priority_Level"], []]
-    quartiles = exact_quantiles(history, "Resolution_Time_Hours", {"q25": 0.25, "q75": 0.75}, keysets)
+    quartiles = exact_quantiles(history, "Resolution_Time_Hours", {"q25": 0.25, "q75": 0.75}, keysets, weight)
     return quartiles.select(
         F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("keyset") + 1).alias("range_level"),
         "Priority_Level",

@@ -22,9 +22,13 @@ SORTED_ROWS = 200_000
 HASH_DIGITS = 4
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keysets: list[list[str]]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: dict[str, float], keysets: list[list[str]], weight: str | None = None
+) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` for each key set, from two scans and small shuffles.
 
+    With ``weight`` a row stands for that many equal ones.
+
     Returns ``keyset`` (position in ``keysets``), the key columns (null where a key set does not use them), ``n`` (known
     values) and one column per quantile. Null values are ignored, and so are rows with a null key of the key set.
 
@@ -34,7 +38,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     group = ["keyset", *keys]
     number = F.col(value).cast("double")
     values = (
-        df.select(*keys, number.alias("value"))
+        df.select(*keys, number.alias("value"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("times"))
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .withColumn("fine", _value_bucket(F.col("value")))
     )
@@ -43,7 +47,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     def bucketed(bits: int, name: str = "bucket") -> Column:
         return F.shiftright("fine", FINEST_BITS - bits).alias(name)
 
-    counts = values.groupBy(*keys, bucketed(bits)).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy(*keys, bucketed(bits)).agg(F.sum("times").alias("n"))
     counts = _sum_per_keyset(counts, keysets, keys, ["bucket"])
     in_order = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumns(
@@ -61,7 +65,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
         finer, small = min(FINEST_BITS, bits + REFINE_BITS), is_small(targets)
         hit = broadcast_if(small, targets.select("bucket").distinct())
         parts = values.select("*", bucketed(bits), bucketed(finer, "part")).join(hit, "bucket", "left_semi")
-        parts = parts.groupBy(*keys, "bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.groupBy(*keys, "bucket", "part").agg(F.sum("times").alias("n"))
         parts = _sum_per_keyset(parts, keysets, keys, ["bucket", "part"])
         in_bucket = Window.partitionBy(*group, "bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
         targets = settle(
@@ -75,7 +79,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
 
     small, targets = is_small(targets), targets.drop("n")
     hit = broadcast_if(small, targets.select("bucket").distinct())
-    near = values.select("*", bucketed(bits)).join(hit, "bucket", "left_semi").groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
+    near = values.select("*", bucketed(bits)).join(hit, "bucket", "left_semi").groupBy(*keys, "bucket", "value").agg(F.sum("times").alias("n"))
     near = _sum_per_keyset(near, keysets, keys, ["bucket", "value"])
     in_bucket = Window.partitionBy(*group, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = (

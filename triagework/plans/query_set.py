@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from triagework.domain import ENGLISH_STOP_WORDS, PRIORITIES, SERVING_DEFAULTS, TRAINING_DEFAULTS
 from triagework.functions import dates, numbers, text
 from triagework.models import features, priority, resolution, saved
-from triagework.operators import encode, evaluate, ranges, report, routing, splits, tfidf
+from triagework.operators import encode, evaluate, range_store, ranges, report, routing, splits, tfidf
 from triagework.plans import triage
 from triagework.plans.preprocess import preprocess
 from triagework.session import new_output_dir, store
@@ -284,6 +284,18 @@ def resolution_ranges(spark, folder):
     return ranges.resolution_ranges(standins.ticket_history(spark, folder))
 
 
+@query
+def ranges_appended(spark, folder):
+    """The ranges after the history was appended in three parts, one of them twice, and compacted in between."""
+    history, path = standins.ticket_history(spark, folder), new_output_dir(spark, "ranges")
+    third = F.pmod("ticket_key", F.lit(3))
+    for part in (0, 1, 0):
+        range_store.append_history(history.where(third == part), path, f"part {part}")
+    range_store.compact_history(spark, path, "first two")
+    range_store.append_history(history.where(third == 2), path, "part 2")
+    return range_store.stored_ranges(spark, path)
+
+
 @query
 def resolution_lookup(spark, folder):
     history = standins.ticket_history(spark, folder)

@@ -53,9 +53,15 @@ def batch_name(batch: str) -> str:
     return f"b{hashlib.md5(batch.encode()).hexdigest()}"
 
 
-def write_attempt(routed: DataFrame, path: str, name: str) -> str:
+def new_attempt(path: str, name: str) -> tuple[str, str]:
+    """Name and folder of a new attempt to write a batch."""
     attempt = uuid.uuid4().hex
-    routed.select(COLUMNS).write.partitionBy("department_key").parquet(f"{path}/{BATCHES}/batch={name}/attempt={attempt}")
+    return attempt, f"{path}/{BATCHES}/batch={name}/attempt={attempt}"
+
+
+def write_attempt(routed: DataFrame, path: str, name: str) -> str:
+    attempt, folder = new_attempt(path, name)
+    routed.select(COLUMNS).write.partitionBy("department_key").parquet(folder)
     return attempt
 
 
