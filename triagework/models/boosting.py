@@ -607,9 +607,16 @@ def boost(
     is_train = F.lit(True) if train is None else train
     use = is_train.cast("int") + 2 * (F.lit(False) if watch is None else watch).cast("int")
     base = path or new_output_dir(spark, "boosting")
-    layout = fit_layout(rows.where(is_train & label.isNotNull()), features, width, settings.bins)
+    if path is None:
+        delete_on_exit(spark, base)
     about = json.dumps({**asdict(settings), "width": width, "classes": classes}, sort_keys=True)
     check_about(spark, base, about)
+    # Approximate quantiles may differ between runs, so bins are kept with the state.
+    if not path_exists(spark, f"{base}/layout/_SUCCESS"):
+        layout = fit_layout(rows.where(is_train & label.isNotNull()), features, width, settings.bins)
+        kept = [(bytearray(packed(cuts=layout.cuts, cut_ends=layout.cut_ends)),)]
+        spark.createDataFrame(kept, "payload binary").coalesce(1).write.mode("overwrite").parquet(f"{base}/layout")
+    layout = Layout(**unpacked(bytes(spark.read.parquet(f"{base}/layout").first()["payload"])))
     if not path_exists(spark, f"{base}/start/_SUCCESS"):
         to_blocks(rows, layout, key, label, use, features, classes).write.mode("overwrite").parquet(f"{base}/start")
     now, at, trees, losses = "start", 0, [], []
@@ -652,6 +659,11 @@ def check_about(spark: SparkSession, base: str, about: str) -> None:
         spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(place)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
