@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -19,6 +23,15 @@ def test_every_statement_has_its_query():
     assert set(ORACLES) <= set(spark_entry.queries())
 
 
+def test_entry_without_a_library_that_the_operators_need():
+    code = (
+        "import sys, re, warnings; sys.modules['ahocorasick'] = None; warnings.simplefilter('ignore');"
+        "import __spark_entry__ as e; names = [*e.queries(), *e.oracle_sql()];"
+        "assert 'triage_batch' in names and not any(re.match(r'op\\d+_|pipeline', n) for n in names)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=Path(spark_entry.__file__).parent, check=True)
+
+
 def test_flagship_runs(spark):
     assert spark_entry.entry(spark).count() == 200
 
