@@ -199,3 +199,15 @@ def test_one_class_and_no_rows(rows):
         scored = SoftmaxTrees.of(found, labels, 3, "features", "scores").transform(rows.limit(5)).collect()
         assert not found.trees and len(scored) == 5
         assert all(r.scores == pytest.approx([1 / classes] * classes) for r in scored)
+
+
+def test_many_blocks_take_no_job_per_level(spark, rows, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 60)
+    context = spark.sparkContext
+    context.setJobGroup("levels", "boosting over many blocks")
+    try:
+        found = boost(rows, F.col("y"), 3, 9, BoostSettings(rounds=12, depth=3, step=0.3, min_hessian=1.0, bins=8), "k")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    # One job per level would be at least 12 times 3 more than the same few jobs before and after.
+    assert len(found.trees) == 12 and len(context.statusTracker().getJobIdsForGroup("levels")) < 36

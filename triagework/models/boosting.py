@@ -11,6 +11,10 @@ A value of 0 is absent: each split learns where absent values go. Rows are sampl
 features per tree by a hash of their number.
 
 Data that fit one block (``BLOCK_ROWS``, ``BLOCK_ENTRIES``) need no exchange: the same steps of many rounds run in one task.
+More data are dealt by feature to tasks of a barrier stage that grow ``CHUNK`` rounds side by side: each holds all entries
+of its features and the labels and scores of all rows (a few dozen bytes a row). The tasks tell each other their best
+splits and which rows those send to the other side, so nothing as large as the bins is exchanged. Where executors come and
+go, which barrier stages do not allow, a level is a Spark job as described above.
 
 After every ``CHUNK`` rounds scores and trees are written. Training stops while it runs: once the loss of the rows that
 are only watched has not fallen for ``patience`` rounds, no further round is started. Given a folder, a training whose
@@ -22,13 +26,14 @@ likely.
 
 import io
 import json
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -37,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagework.models.stages import with_label
+from triagework.models.together import Together, message_folder, task_slots
 from triagework.session import new_output_dir
 from triagework.sources.tickets import path_exists
 
@@ -44,6 +50,8 @@ BLOCK_ROWS = 16_384
 BLOCK_ENTRIES = 4_000_000
 CHUNK = 25
 FEATURE_RANGES = 16
+#: Parts of the features per task, so that tasks come to hold about equally many entries.
+PARTS_PER_TASK = 16
 PARALLEL_TREES = 4
 SCALE = float(1 << 20)
 LEAST_GAIN = 1e-6
@@ -194,18 +202,22 @@ class Round:
             usable &= drawn[block.entry_row]
             self.entries.append((block.entry_row[usable], block.entry_code[usable]))
 
+    def totals(self, c: int, level: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Places of the drawn rows among the nodes of the level, those that have one, and sums of whole nodes."""
+        first, width = (1 << level) - 1, 1 << level
+        node = self.nodes[c] - first
+        node[(node < 0) | ~self.drawn] = -1
+        at = np.flatnonzero(node >= 0)
+        return node, at, [np.bincount(node[at], v[at], width) for v in (self.pairs[c].real, self.pairs[c].imag)]
+
     def sums(self, c: int, level: int, whole: bool) -> tuple[np.ndarray, ...]:
         """Sums per (node, code) as keys, gradients and Hessians, and those of whole nodes of the level.
 
         If the block is the ``whole`` of the rows, features that are too rare in a node to split it are left out of it
         and all nodes below.
         """
-        first, width = (1 << level) - 1, 1 << level
-        node = self.nodes[c] - first
-        node[(node < 0) | ~self.drawn] = -1
-        pairs = self.pairs[c]
-        at = np.flatnonzero(node >= 0)
-        totals = [np.bincount(node[at], v[at], width) for v in (pairs.real, pairs.imag)]
+        width, pairs = 1 << level, self.pairs[c]
+        node, at, totals = self.totals(c, level)
         if whole:
             # A node whose Hessian is below twice the least one has no split.
             node[at] = np.where(totals[1] >= 2 * self.settings.min_hessian * SCALE, np.arange(width), -1)[node[at]]
@@ -235,6 +247,10 @@ class Round:
 
     def advance(self, c: int, tree: Tree, level: int) -> None:
         """Move every row to the child that the level's splits send it to."""
+        self.move(c, tree, self.lefts(c, tree, level))
+
+    def lefts(self, c: int, tree: Tree, level: int) -> np.ndarray:
+        """Whether the level's splits send a row to the left, going by the entries of the block."""
         node = self.nodes[c]
         left = tree.absent_left[node]
         first = (1 << level) - 1
@@ -244,6 +260,10 @@ class Round:
             rows = self.block.entry_row[entries]
             here = node[rows] == inner
             left[rows[here]] = self.block.entry_code[entries][here] <= tree.code[inner]
+        return left
+
+    def move(self, c: int, tree: Tree, left: np.ndarray) -> None:
+        node = self.nodes[c]
         self.nodes[c] = np.where(tree.feature[node] >= 0, 2 * node + np.where(left, 1, 2), node).astype(np.int32)
 
     def finish(self, trees: list[Tree]) -> None:
@@ -332,6 +352,14 @@ def set_level(
     return bool(splits)
 
 
+def offered(state: Round, c: int, level: int) -> tuple[list[tuple], list[np.ndarray]]:
+    """Best splits of a level by the block's own features, for a block that holds all rows, and sums of whole nodes."""
+    if level == state.settings.depth:
+        return [], state.totals(c, level)[2]
+    *sums, all_g, all_h = state.sums(c, level, True)
+    return best_splits(*sums, all_g, all_h, state.layout, state.settings), [all_g, all_h]
+
+
 def grow(block: Block, layout: Layout, settings: BoostSettings, number: int) -> list[Tree]:
     """The trees of a round on one block that holds all rows; the block's scores move on.
 
@@ -342,9 +370,8 @@ def grow(block: Block, layout: Layout, settings: BoostSettings, number: int) ->
     def grown(c: int) -> Tree:
         tree = Tree.empty(settings.depth)
         for level in range(settings.depth + 1):
-            keys, g, h, all_g, all_h = state.sums(c, level, True)
-            splits = [] if level == settings.depth else best_splits(keys, g, h, all_g, all_h, layout, settings)
-            if not set_level(tree, level, splits, all_g, all_h, settings):
+            splits, totals = offered(state, c, level)
+            if not set_level(tree, level, splits, *totals, settings):
                 break
             state.advance(c, tree, level)
         return tree
@@ -355,6 +382,49 @@ def grow(block: Block, layout: Layout, settings: BoostSettings, number: int) ->
     return trees
 
 
+def grow_together(
+    block: Block, layout: Layout, settings: BoostSettings, number: int, tell: Callable[[bytes], list[bytes]]
+) -> list[Tree]:
+    """The trees of a round on a block that holds all rows but some features only; ``tell`` hands round what others found.
+
+    All tasks come to the same trees.
+    """
+    state = Round(block, layout, settings, number)
+    trees = [Tree.empty(settings.depth) for _ in state.nodes]
+    going = range(len(trees))
+    for level in range(settings.depth + 1):
+        found = {c: offered(state, c, level) for c in going}
+        if level < settings.depth:
+            offers = [json.loads(t) for t in tell(json.dumps([found[c][0] for c in going]).encode())]
+            best = [best_offers([split for own in offers for split in own[i]]) for i in range(len(going))]
+        else:
+            best = [[] for _ in going]
+        going = [c for c, splits in zip(going, best, strict=True) if set_level(trees[c], level, splits, *found[c][1], settings)]
+        if not going:
+            break
+        # Rows go where absent values go unless the task that has the feature tells otherwise.
+        usual = np.stack([trees[c].absent_left[state.nodes[c]] for c in going])
+        other = np.stack([state.lefts(c, trees[c], level) for c in going]) ^ usual
+        told = [t for t in tell(zlib.compress(np.packbits(other).tobytes(), 1) if other.any() else b"") if t]
+        bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(t), np.uint8) for t in told]) if told else None
+        if bits is not None:
+            usual ^= np.unpackbits(bits, count=usual.size).astype(bool).reshape(usual.shape)
+        for c, left in zip(going, usual, strict=True):
+            state.move(c, trees[c], left)
+    state.finish(trees)
+    return trees
+
+
+def best_offers(splits: list[tuple]) -> list[tuple]:
+    """The best split of every node; equal gains go by the feature, then the code, then absent values to the right."""
+    found: dict[int, tuple] = {}
+    for node, gain, feature, code, absent in splits:
+        rank = (-gain, feature, code, absent)
+        if node not in found or rank < found[node][0]:
+            found[node] = rank, (node, gain, feature, code, absent)
+    return [split for _, split in sorted(found.values(), key=lambda x: x[1][0])]
+
+
 def stopped(losses: list[float], patience: int | None) -> bool:
     """Whether the lowest loss lies ``patience`` rounds back."""
     return patience is not None and bool(losses) and len(losses) - 1 - int(np.argmin(losses)) >= patience
@@ -405,6 +475,7 @@ def to_blocks(rows: DataFrame, layout: Layout, key: str, label: Column, use: Col
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         sizes = np.zeros(2, np.int64)
+        made_before = [0]
 
         def block() -> pa.RecordBatch:
             keys, labels, uses, lengths, features, values = (np.concatenate(p) for p in zip(*held, strict=True))
@@ -414,9 +485,9 @@ def to_blocks(rows: DataFrame, layout: Layout, key: str, label: Column, use: Col
             made = Block.from_rows(keys, labels, uses, row[some], codes, classes)
             held.clear()
             sizes[:] = 0
-            return pa.RecordBatch.from_pylist(
-                [{"kind": "block", "number": 0, "payload": made.payload(), "loss": None}], schema=STATE_ARROW
-            )
+            made_before[0] += 1
+            number = (TaskContext.get().partitionId() << 32) + made_before[0]
+            return state_rows([{"kind": "block", "number": number, "payload": made.payload()}])
 
         for batch in batches:
             plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
@@ -468,6 +539,95 @@ def rounds_in_task(
     return blocks.mapInArrow(run, STATE)
 
 
+def to_columns(blocks: DataFrame, layout: Layout, parts: int) -> DataFrame:
+    """Blocks without their entries (kind ``block``), and the entries by part of the features (kind ``column``)."""
+    cut_ends = layout.cut_ends
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feature_of = Layout(np.zeros(0), cut_ends).feature_of
+        for batch in batches:
+            for number, payload in zip(batch["number"].to_pylist(), batch["payload"], strict=True):
+                block = Block(**unpacked(payload.as_py()))
+                rows, codes = block.entry_row, block.entry_code
+                block.entry_row, block.entry_code = rows[:0], codes[:0]
+                yield pa.RecordBatch.from_pylist([{"part": -number, "kind": "block", "number": number, "payload": block.payload()}])
+                part = (feature_of[codes] % parts).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[p] : edges[p + 1]]
+                    payload = packed(rows=rows[own], codes=codes[own])
+                    yield pa.RecordBatch.from_pylist([{"part": p, "kind": "column", "number": number, "payload": payload}])
+
+    def join(table: pa.Table) -> pa.Table:
+        if table["kind"][0].as_py() == "block":
+            return table.select(["kind", "number", "payload"])
+        found = [unpacked(p.as_py()) for p in table["payload"]]
+        payload = packed(
+            blocks=table["number"].to_numpy(), lengths=np.array([len(f["rows"]) for f in found]),
+            rows=np.concatenate([f["rows"] for f in found]), codes=np.concatenate([f["codes"] for f in found]),
+        )
+        return pa.table({"kind": ["column"], "number": table["part"][:1].cast(pa.int64()), "payload": [payload]})
+
+    dealt = blocks.select("number", "payload").mapInArrow(deal, "part long, kind string, number long, payload binary")
+    return dealt.groupBy("part").applyInArrow(join, "kind string, number long, payload binary")
+
+
+def rounds_together(
+    blocks: DataFrame, columns: DataFrame, layout: Layout, settings: BoostSettings, first: int, last: int,
+    losses: list[float], tasks: int,
+) -> DataFrame:
+    """Rounds ``first`` to ``last`` by tasks side by side: the blocks' new state, the trees and the losses."""
+    cut_ends, folder = layout.cut_ends, message_folder(blocks.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout, others = Layout(np.zeros(0), cut_ends), Together(folder)
+        own, held = {}, []
+        for batch in batches:
+            for kind, number, payload in zip(*(batch[c] for c in ("kind", "number", "payload")), strict=True):
+                if kind.as_py() == "block":
+                    own[number.as_py()] = payload.as_py()
+                else:
+                    held.append(unpacked(payload.as_py()))
+        told = [unpacked(t) for t in others.tell(packed(**{str(n): np.frombuffer(p, np.uint8) for n, p in own.items()}))]
+        every = {int(n): Block(**unpacked(p.tobytes())) for t in told for n, p in t.items()}
+        numbers = np.array(sorted(every))
+        del told
+        starts = np.concatenate([[0], np.cumsum([len(every[n].keys) for n in numbers.tolist()])])
+        rows = [
+            f["rows"] + np.repeat(starts[np.searchsorted(numbers, f["blocks"])], f["lengths"]).astype(np.int32) for f in held
+        ]
+        codes = [f["codes"] for f in held]
+        held.clear()
+        parts = [np.concatenate([getattr(every[n], a) for n in numbers.tolist()]) for a in ("keys", "labels", "uses", "scores")]
+        every.clear()
+        none = [np.zeros(0, np.int32)]
+        block = Block.from_rows(*parts[:3], np.concatenate(rows or none), np.concatenate(codes or none), parts[3].shape[1])
+        block.scores = parts[3]
+        rows.clear()
+        codes.clear()
+        seen = list(losses)
+        for number in range(first, last):
+            trees = grow_together(block, layout, settings, number, others.tell)
+            total, watched = block.loss()
+            seen.append(total / watched if watched else 0.0)
+            if not others.own:
+                yield state_rows([
+                    {"kind": f"tree{c}", "number": number, "payload": packed(**vars(t)), "loss": seen[-1]}
+                    for c, t in enumerate(trees)
+                ])
+            if stopped(seen, settings.patience):
+                break
+        for n, payload in own.items():
+            at = np.searchsorted(numbers, n)
+            moved = Block(**unpacked(payload))
+            moved.scores = block.scores[starts[at] : starts[at + 1]]
+            yield state_rows([{"kind": "block", "number": n, "payload": moved.payload()}])
+
+    both = blocks.select("kind", "number", "payload").unionByName(columns.select("kind", "number", "payload"))
+    return both.repartition(tasks).mapInArrow(run, STATE, barrier=True)
+
+
 def replayed(block: Block, layout: Layout, settings: BoostSettings, finished: list[list[Tree]], first: int) -> None:
     """Move a block's scores on by finished rounds."""
     for number, trees in enumerate(finished, first):
@@ -522,16 +682,13 @@ def exchange_level(
         .applyInArrow(best, "c long, told string")
         .collect()
     )
-    splits: dict[int, dict[int, tuple]] = {c: {} for c in range(len(trees))}
+    splits: dict[int, list[tuple]] = {c: [] for c in range(len(trees))}
     totals = {}
     for row in found:
         told = json.loads(row["told"])
         totals[row["c"]] = np.array(told["g"]), np.array(told["h"])
-        for node, gain, feature, code, absent in told["splits"]:
-            rank = (-gain, feature, code, absent)
-            if node not in splits[row["c"]] or rank < splits[row["c"]][node][0]:
-                splits[row["c"]][node] = rank, (node, gain, feature, code, absent)
-    return {c: [s for _, s in sorted(found.values(), key=lambda x: x[1][0])] for c, found in splits.items()}, totals
+        splits[row["c"]] += told["splits"]
+    return {c: best_offers(offers) for c, offers in splits.items()}, totals
 
 
 def rounds_by_exchange(
@@ -609,7 +766,8 @@ def boost(
     base = path or new_output_dir(spark, "boosting")
     if path is None:
         delete_on_exit(spark, base)
-    about = json.dumps({**asdict(settings), "width": width, "classes": classes}, sort_keys=True)
+    tasks = task_slots(spark)
+    about = json.dumps({**asdict(settings), "width": width, "classes": classes, "together": tasks > 0}, sort_keys=True)
     check_about(spark, base, about)
     # Approximate quantiles may differ between runs, so bins are kept with the state.
     if not path_exists(spark, f"{base}/layout/_SUCCESS"):
@@ -632,6 +790,14 @@ def boost(
                 break
             if number == 1:
                 state = rounds_in_task(blocks.coalesce(1), layout, settings, at, last, losses)
+            elif tasks:
+                if not path_exists(spark, f"{base}/columns/_SUCCESS"):
+                    parts = min(layout.features, max(PARTS_PER_TASK * tasks, 4 * number))
+                    to_columns(blocks, layout, parts).write.mode("overwrite").parquet(f"{base}/columns")
+                dealt = spark.read.parquet(f"{base}/columns")
+                blocks = dealt.where("kind = 'block'") if not at else blocks
+                columns = dealt.where("kind = 'column'")
+                state = rounds_together(blocks, columns, layout, settings, at, last, losses, tasks)
             else:
                 spread = blocks.repartition(number)
                 state = rounds_by_exchange(spread, layout, settings, classes, at, last, losses)
