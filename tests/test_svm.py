@@ -75,3 +75,17 @@ def test_empty_vectors_and_no_rows(spark, rows):
     empty = spark.createDataFrame([(0, Vectors.sparse(7, [])), (1, Vectors.sparse(7, []))], ["y", "features"])
     found = fit_machines(empty, F.col("y"), [1.0, 1.0], 7)
     assert found == pytest.approx(dense_solve(np.zeros((2, 7)), np.array([0, 1]), [1.0, 1.0]), abs=1e-6)
+
+
+def test_many_blocks_take_no_job_per_pass(spark, rows, monkeypatch):
+    """Also with all entries in files."""
+    monkeypatch.setattr(svm, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(svm, "HELD_ENTRIES", 0)
+    context = spark.sparkContext
+    context.setJobGroup("passes", "machines over many blocks")
+    try:
+        found = fit_machines(rows, F.col("y"), COSTS, 7, tolerance=1e-9)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found == pytest.approx(dense_solve(*table(), COSTS), abs=1e-6)
+    assert len(context.statusTracker().getJobIdsForGroup("passes")) < 10

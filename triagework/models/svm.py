@@ -6,9 +6,12 @@ conjugate gradients. A step of either kind needs one pass: every block of rows a
 Hessian, of all classes, and blocks are added by range of weights. Line searches try all step lengths in one pass. What
 reaches the driver, and goes back to the tasks, are weights: classes times features.
 
-Data of a single block need no exchange: the same steps run in one task.
+Data of a single block need no exchange: the same steps run in one task. More data are dealt to the tasks of a barrier stage,
+which keep their rows (many entries in files of their own, mapped into memory), tell each other their sums and all come to
+the same weights. Where executors come and go, which barrier stages do not allow, every pass is a Spark job instead.
 """
 
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -24,11 +27,14 @@ from pyspark.sql import functions as F
 
 from triagework.models.boosting import packed, sparse_parts, unpacked
 from triagework.models.stages import with_label
+from triagework.models.together import Together, message_folder, task_slots
 from triagework.session import store
 
 BLOCK_ROWS = 16_384
 BLOCK_ENTRIES = 4_000_000
 WEIGHT_RANGES = 8
+#: Entries that a task keeps in memory; with more of them all lie in files.
+HELD_ENTRIES = 16_000_000
 #: Entries multiplied at once.
 ENTRIES_AT_ONCE = 500_000
 STEP_LENGTHS = 0.5 ** np.arange(20)
@@ -57,17 +63,35 @@ def group_sums(ends: np.ndarray, places: np.ndarray, values: np.ndarray, factors
     return out
 
 
+def mapped(array: np.ndarray) -> np.ndarray:
+    """The array in a nameless file of the task's own disk, mapped into memory."""
+    if not len(array):
+        return array
+    with tempfile.TemporaryFile() as file:
+        array.tofile(file)
+        file.flush()
+        return np.memmap(file, array.dtype, "r+", shape=array.shape)
+
+
 class Rows:
     """Sparse rows: labels, where each row ends, and features and values of all entries; also feature by feature."""
 
     def __init__(self, labels: np.ndarray, ends: np.ndarray, features: np.ndarray, values: np.ndarray) -> None:
         self.labels, self.ends, self.features, self.values = labels, ends, features, values
         self.by_feature: tuple[np.ndarray, ...] | None = None
+        self.keep: Callable[[np.ndarray], np.ndarray] = lambda array: array
         self.last: tuple[np.ndarray, np.ndarray] | None = None
 
     def payload(self) -> bytes:
         return packed(labels=self.labels, ends=self.ends, features=self.features, values=self.values)
 
+    def to_files(self) -> None:
+        """Keep the entries in files from now on."""
+        self.keep = mapped
+        self.features, self.values = mapped(self.features), mapped(self.values)
+        if self.by_feature is not None:
+            self.by_feature = self.by_feature[0], *map(mapped, self.by_feature[1:])
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         """Products of all rows with the columns of ``weights``, whose last row belongs to the constant feature."""
         return group_sums(self.ends, self.features, self.values, weights) + weights[-1]
@@ -84,7 +108,7 @@ class Rows:
             order = np.argsort(self.features, kind="stable")
             row = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(np.concatenate([[0], self.ends])))
             ends = np.cumsum(np.bincount(self.features, minlength=width))
-            self.by_feature = ends, row[order], self.values[order]
+            self.by_feature = ends, self.keep(row[order]), self.keep(self.values[order])
         return np.vstack([group_sums(*self.by_feature, factors), factors.sum(axis=0)])
 
 
@@ -176,32 +200,41 @@ def minimise(add: Add, shape: tuple[int, int], tolerance: float, iterations: int
     return weights, passes
 
 
-def to_rows(features: DataFrame, label: Column, column: str = "features") -> DataFrame:
-    """The rows as a stored table of blocks of bounded size; rows without a label are left out."""
+def labelled_rows(features: DataFrame, label: Column, column: str = "features") -> tuple[DataFrame, int]:
+    """Labels, places and values of the rows that have a label, and how many blocks they make."""
     places, values = sparse_parts(column)
     chosen = features.select(label.cast("int").alias("label"), places.alias("places"), values.alias("values"))
     chosen = chosen.where("label is not null")
     count, entries = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
-    parts = max(1, -(-count // BLOCK_ROWS), -(-entries // BLOCK_ENTRIES))
+    return chosen, max(-(-count // BLOCK_ROWS), -(-entries // BLOCK_ENTRIES))
 
-    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def block() -> pa.RecordBatch:
-            labels, lengths, features, values = (np.concatenate(p) for p in zip(*held, strict=True))
-            held.clear()
-            made = Rows(labels, np.cumsum(lengths), features.astype(np.int32), values)
-            return pa.RecordBatch.from_pydict({"payload": pa.array([made.payload()], pa.binary())})
-
-        for batch in batches:
-            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2)]
-            full = sum(len(h[2]) for h in held) + len(flat[0]) > 2 * BLOCK_ENTRIES
-            if held and parts > 1 and (full or sum(len(h[0]) for h in held) + len(lengths) > 2 * BLOCK_ROWS):
-                yield block()
-            held.append((batch.column(0).to_numpy(), lengths, *flat))
-        if held:
+
+def blocks_in(batches: Iterable[pa.RecordBatch], limited: bool) -> Iterator[Rows]:
+    """Blocks of labelled rows, of bounded size if ``limited``."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def block() -> Rows:
+        labels, lengths, features, values = (np.concatenate(p) for p in zip(*held, strict=True))
+        held.clear()
+        return Rows(labels, np.cumsum(lengths), features.astype(np.int32), values)
+
+    for batch in batches:
+        lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2)]
+        full = sum(len(h[2]) for h in held) + len(flat[0]) > 2 * BLOCK_ENTRIES
+        if held and limited and (full or sum(len(h[0]) for h in held) + len(lengths) > 2 * BLOCK_ROWS):
             yield block()
+        held.append((batch.column(0).to_numpy(), lengths, *flat))
+    if held:
+        yield block()
+
+
+def to_rows(chosen: DataFrame, parts: int) -> DataFrame:
+    """Labelled rows as a stored table of ``parts`` blocks or more, of bounded size."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in blocks_in(batches, parts > 1):
+            yield pa.RecordBatch.from_pydict({"payload": pa.array([made.payload()], pa.binary())})
 
     dealt = chosen.coalesce(1) if parts == 1 else chosen.repartition(parts)
     return store(dealt.mapInArrow(pack, "payload binary"), "svm-rows")
@@ -234,18 +267,55 @@ def added_by_range(blocks: DataFrame, problem: Problem, name: str, weights: np.n
     return np.concatenate([unpacked(bytes(r["payload"]))["sums"] for r in sorted(found, key=lambda r: r["part"])])
 
 
+def solved_together(
+    chosen: DataFrame, problem: Problem, shape: tuple[int, int], tolerance: float, iterations: int, tasks: int
+) -> DataFrame:
+    """The weights, as one stored row: tasks side by side keep the rows and add their sums up in the tasks' order."""
+    folder = message_folder(chosen.sparkSession)
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Rows] = []
+        for rows in blocks_in(batches, True):
+            held.append(rows)
+            if sum(len(r.values) for r in held) > HELD_ENTRIES:
+                for r in held:
+                    if r.keep is not mapped:
+                        r.to_files()
+        others = Together(folder)
+
+        def add(name: str, weights: np.ndarray) -> np.ndarray:
+            own = b""
+            if held:
+                total = getattr(problem, name)(held[0], weights)
+                for r in held[1:]:
+                    total += getattr(problem, name)(r, weights)
+                own = total.tobytes()
+            told = [np.frombuffer(t).reshape(-1, shape[1]) for t in others.tell(own) if t]
+            return sum(told[1:], told[0])
+
+        weights, _ = minimise(add, shape, tolerance, iterations)
+        if not others.own:
+            yield pa.RecordBatch.from_pydict({"payload": pa.array([packed(weights=weights)], pa.binary())})
+
+    return store(chosen.repartition(tasks).mapInArrow(solve, "payload binary", barrier=True), "svm-weights")
+
+
 def fit_machines(
     features: DataFrame, label: Column, own_costs: list[float], width: int, other_cost: float = 1.0,
     tolerance: float = 1e-4, iterations: int = 100,
 ) -> np.ndarray:
     """Weights per feature (the constant one last) and class. No rows give weights of 0."""
-    blocks = to_rows(features, label)
+    chosen, parts = labelled_rows(features, label)
     problem, shape = Problem(np.array(own_costs), other_cost, width), (width + 1, len(own_costs))
-    number = blocks.count()
-    if not number:
+    if not parts:
         return np.zeros(shape)
-    if number > 1:
-        spread = store(blocks.repartition(number), "svm-blocks")
+    tasks = task_slots(features.sparkSession)
+    if parts > 1 and tasks:
+        found = solved_together(chosen, problem, shape, tolerance, iterations, tasks)
+        return unpacked(bytes(found.first()["payload"]))["weights"]
+    blocks = to_rows(chosen, parts)
+    if parts > 1:
+        spread = store(blocks.repartition(blocks.count()), "svm-blocks")
         return minimise(lambda name, w: added_by_range(spread, problem, name, w), shape, tolerance, iterations)[0]
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
