@@ -71,3 +71,20 @@ def test_an_empty_batch(spark, tmp_path):
     append_to_queues(routed(spark, [1]).limit(0), path, "empty")
     append_to_queues(routed(spark, [1]), path, "empty")
     assert ids_in(spark, path) == []
+
+
+def test_compacted_files_hold_bounded_bytes_whatever_the_keys(spark, tmp_path):
+    """All tickets have one key; each has 10,000 bytes of text."""
+    path = str(tmp_path / "q")
+    same = F.lit("T0")
+    for name, ids in (("monday", range(30)), ("tuesday", range(30, 60))):
+        batch = routed(spark, ids).withColumns({
+            "Ticket_Description": F.concat(F.repeat(F.lit("x"), 10_000), F.col("Ticket_Subject")), "Ticket_ID": same,
+            "ticket_md5": F.md5(same),
+        })
+        append_to_queues(batch, path, name)
+    assert len(compact_batches(spark, path, "both", bytes_per_file=100_000)) == 2
+    written = spark.read.parquet(f"{path}/{queues.BATCHES}/batch={queues.batch_name('both')}")
+    counts = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sum(counts) == 60 and len(counts) >= 6 and max(counts) <= 15
+    assert read_queues(spark, path).select("Ticket_Subject").distinct().count() == 60

@@ -109,9 +109,13 @@ def committed(spark: SparkSession, path: str, skip_unreadable: bool = False) ->
     return table.join(broadcast_if_small(commits(spark, path)), ["batch", "attempt"], "left_semi")
 
 
-def compact_batches(spark: SparkSession, path: str, name: str, rows_per_file: int = 1_000_000) -> list[str]:
+def compact_batches(
+    spark: SparkSession, path: str, name: str, rows_per_file: int = 1_000_000, bytes_per_file: int = 256 << 20
+) -> list[str]:
     """Rewrite the committed batches as one called ``name``, in few files; the names of those it replaces.
 
+    No task gets many more rows, or bytes of text, than a file is to hold; rows are dealt in turn, whatever their keys.
+
     Readers see either the old ones or the new one. Replaced batches stay committed, so running one of them again still
     changes nothing.
     """
@@ -119,9 +123,11 @@ def compact_batches(spark: SparkSession, path: str, name: str, rows_per_file: in
     if len(replaced) < 2 or path_exists(spark, f"{path}/{COMMITS}/{batch_name(name)}"):
         return []
     tickets = committed(spark, path)
-    files = max(1, -(-tickets.count() // rows_per_file))
-    spread = tickets.repartition(files, F.xxhash64("Ticket_ID", "ticket_md5"))
-    attempt = write_attempt(spread, path, batch_name(name))
+    texts = [field.name for field in tickets.schema if field.dataType.simpleString() == "string"]
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts), F.lit(0))
+    rows, total = tickets.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    files = max(1, -(-rows // rows_per_file), -(-total // bytes_per_file))
+    attempt = write_attempt(tickets.repartition(files), path, batch_name(name))
     return replaced if commit(spark, path, batch_name(name), attempt, replaced) else []
 
 
