@@ -9,7 +9,9 @@ from tokenizers import Tokenizer
 
 from triagework.llm.common import scratch
 from triagework.llm.packing import (
+    MARK,
     SETTINGS,
+    WordTokens,
     best_filling,
     configurations,
     linear_groups,
@@ -128,3 +130,25 @@ def test_null_and_repeated_ids(spark):
     got = pack_documents(docs, PATH, capacity=6).collect()
     assert len(got) == 4
     assert len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
+def test_units_of_a_batch_are_cut_together():
+    words = WordTokens(PATH)
+    calls, cut = [], words.cut
+    words.cut = lambda text: calls.append(text) or cut(text)
+    texts = [f"wörd{i} plain{i}, Plain{i}!" for i in range(500)]
+    ids, counts = words.encode_batch(texts, 1)
+    assert len(calls) <= 1
+    library = Tokenizer.from_file(PATH)
+    for text, row in zip(texts, np.split(ids, counts.cumsum()[:-1]), strict=True):
+        assert row.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_any_ascii_and_of_the_mark_equal_the_library():
+    rng = random.Random(3)
+    chars = [*map(chr, range(128)), *" '''stm \n", MARK, "é"]
+    texts = ["".join(rng.choices(chars, k=rng.randint(0, 40))) for _ in range(3000)]
+    ids, counts = load(PATH).encode_batch(texts, 1)
+    library = Tokenizer.from_file(PATH)
+    for text, row in zip(texts, np.split(ids, counts.cumsum()[:-1]), strict=True):
+        assert row.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1]

@@ -16,85 +16,133 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from triagework.llm.byte_bpe import Runs, char_of_byte
+from triagework.llm.byte_bpe import char_of_byte
 from triagework.llm.common import in_chunks, read_table, releasing, salted_rank, scratch, spread_index
 
 CAPACITY = 4096
 END_ID = 1
 #: The pieces of a word tokenizers file, as written there.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII, and ASCII white space.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 ]+"
+ASCII_SPACE = r"[\t\n\v\f\r]+"
 #: Groups of large lengths, and the share of the capacity above which a length is large; the best of these is taken.
 SETTINGS = ((256, 1 / 8), (256, 1 / 2), (1024, 1 / 3), (1024, 1 / 2))
-#: Units, and pieces, remembered by a worker.
-REMEMBERED = 300_000
+#: Stands between units that are cut together; private use, so it is no letter and nothing normalises it.
+MARK = "\ue000"
+#: Characters that are encoded at once: the more, the fewer units are looked up again.
+CHUNK_CHARS = 8 << 20
+#: Pieces remembered by a worker.
+REMEMBERED = 900_000
 
 
 class WordTokens:
-    """Ids of a tokenizers file whose pieces never span a space; each unit between spaces is encoded once.
+    """Ids of a tokenizers file whose pieces never span a space; each unit between spaces is encoded once per batch.
 
-    A unit is normalised and cut into pieces as the file says, and the library's model encodes pieces not seen before.
+    The units of a batch are normalised and cut into pieces together, as the file says: Arrow's functions do it for ASCII,
+    the library's normaliser and ``regex`` for the rest, with a mark between units. The library's model encodes pieces not
+    seen before; pieces are runs of one pool, and run 0 is empty.
     """
 
-    def __init__(self, path: str, pattern: str = PATTERN) -> None:
+    def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.normal, self.model = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
-        self.cut = regex.compile(pattern).findall
+        self.cut = regex.compile(PATTERN).findall
         chars = char_of_byte()
         self.written = lambda piece: "".join([chars[b] for b in piece.encode()])
         self.forget()
 
     def forget(self) -> None:
-        self.known = Runs(self._learn)
-        self.pieces: dict[str, list[int]] = {}
-        self.runs = array("q", [0])
+        self.known: dict[str, int] = {"": 0, MARK: 0}
+        self.runs = array("q", [0, 0])
         self.pool = array("I")
 
-    def _learn(self, unit: str) -> int:
-        self.pool.extend(self._ids(unit))
-        self.runs.append(len(self.pool))
-        return len(self.runs) - 2
-
-    def _ids(self, unit: str) -> list[int]:
-        if "<" in unit and any(s in unit for s in self.special):
-            return self.tokenizer.encode(unit, add_special_tokens=False).ids
-        plain = unit.isascii()
-        out: list[int] = []
-        for piece in self.cut(unit.lower() if plain else self.normal(unit)):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = [t.id for t in self.model(piece if plain and piece.isalnum() else self.written(piece))]
-                if len(piece) < 64 and len(self.pieces) < REMEMBERED:
-                    self.pieces[piece] = ids
-            out += ids
-        return out
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of the runs of different pieces; new ones are learned, short ones remembered."""
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        places = np.flatnonzero(numbers < 0)
+        new = [pieces[i] for i in places.tolist()]
+        numbers[places] = np.arange(len(self.runs) - 1, len(self.runs) - 1 + len(new))
+        for number, piece in zip(numbers[places].tolist(), new, strict=True):
+            text = piece if piece.isascii() and piece.isprintable() else self.written(piece)
+            self.pool.extend([token.id for token in self.model(text)])
+            self.runs.append(len(self.pool))
+            if len(piece) < 64:
+                self.known[piece] = number
+        return numbers
+
+    def _ids_of(self, pieces: pa.Array, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units laid end to end and their number per unit, given the pieces and how many belong to each unit.
+
+        Without ``counts`` a mark ends each unit.
+        """
+        coded = pieces.dictionary_encode()
+        numbers = self._numbers(strings(coded.dictionary))[coded.indices.to_numpy()]
+        if counts is None:
+            counts = np.diff(np.flatnonzero(numbers == 0), prepend=-1)
+        runs = np.frombuffer(self.runs, np.int64)
+        starts, lengths = runs[numbers], runs[numbers + 1] - runs[numbers]
+        ids = np.frombuffer(self.pool, np.uint32)[spread_index(starts, lengths)]
+        return ids, np.add.reduceat(lengths, np.cumsum(counts) - counts)
+
+    def _plain(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lowered = pc.replace_substring_regex(pc.ascii_lower(units), ASCII_SPACE, " ")
+        cut = pc.split_pattern(pc.replace_substring_regex(lowered, ASCII_PATTERN, r"\0 "), " ")
+        return self._ids_of(cut.flatten(), pc.list_value_length(cut).to_numpy())
+
+    def _others(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        joined = f" {MARK} ".join([*strings(units), ""])
+        return self._ids_of(pa.array(self.cut(self.normal(joined)), pa.string()))
+
+    def _apart(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(unit, add_special_tokens=False).ids for unit in strings(units)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
 
     def encode_batch(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's followed by ``end_id``, and how many belong to each text."""
         if len(self.runs) > REMEMBERED:
             self.forget()
-        texts = [t or "" for t in texts]
-        units = " ".join(texts).split(" ")
-        inside = np.cumsum([t.count(" ") + 1 for t in texts])
-        found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        self.pool.append(end_id)
-        self.runs.append(len(self.pool))
-        flat = np.insert(found, inside, len(self.runs) - 2)
-        runs = np.frombuffer(self.runs, np.int64)
-        starts, lengths = runs[flat], runs[flat + 1] - runs[flat]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[inside + np.arange(1, len(texts) + 1)]
-        return np.frombuffer(self.pool, np.uint32)[spread_index(starts, lengths)], np.diff(ends, prepend=0)
+        split = pc.split_pattern(pc.fill_null(pa.array(texts, pa.string()), ""), " ")
+        inside = np.cumsum(pc.list_value_length(split).to_numpy())
+        coded = split.flatten().dictionary_encode()
+        units = coded.dictionary
+        # Special tokens are found before anything is normalised, and a unit may hold the mark itself.
+        apart = np.zeros(len(units), bool)
+        for text in (*self.special, MARK):
+            apart |= pc.match_substring(units, text).to_numpy(zero_copy_only=False)
+        plain = pc.string_is_ascii(units).to_numpy(zero_copy_only=False) & ~apart
+        starts, lengths = np.zeros(len(units) + 1, np.int64), np.ones(len(units) + 1, np.int64)
+        pool, size = [np.array([end_id], np.uint32)], 1  # the last unit is the end
+        starts[-1] = 0
+        for chosen, encode in ((plain, self._plain), (~plain & ~apart, self._others), (apart, self._apart)):
+            if chosen.any():
+                ids, counts = encode(units.filter(pa.array(chosen)))
+                starts[:-1][chosen], lengths[:-1][chosen] = size + np.cumsum(counts) - counts, counts
+                pool.append(ids)
+                size += len(ids)
+        flat = np.insert(coded.indices.to_numpy(), inside, len(units))
+        ends = np.concatenate([[0], np.cumsum(lengths[flat])])[inside + np.arange(1, len(texts) + 1)]
+        return np.concatenate(pool)[spread_index(starts[flat], lengths[flat])], np.diff(ends, prepend=0)
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """Texts without spaces as a list."""
+    every = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(every, " ")[0].as_py().split(" ") if len(texts) else []
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,7 +162,7 @@ def tokenized_pieces(
     """A row per piece of at most ``capacity`` tokens: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in in_chunks(batches, 1):
+        for rows, texts in in_chunks(batches, 1, CHUNK_CHARS):
             ids, counts = load(path).encode_batch(texts, end_id)
             pieces = -(-counts // capacity)
             place = spread_index(np.zeros(len(counts), np.int64), pieces)
