@@ -69,3 +69,26 @@ def test_empty_vocabulary(spark):
     vocabulary = tfidf.fit_vocabulary(df, "t", tfidf.TermSettings(5))
     assert vocabulary.terms == []
     assert tfidf.tfidf_long(df, "t", vocabulary, ["k"]).columns == ["k", "term", "weight"]
+
+
+@pytest.mark.parametrize("max_terms", [1, 2, 3, 5, 8, 13, 40, 500])
+@pytest.mark.parametrize("min_documents", [1, 2])
+def test_top_terms_equal_a_count_of_all_terms(spark, monkeypatch, max_terms, min_documents):
+    rng = np.random.default_rng(max_terms)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 12) if x < 60) for _ in range(40)] + [None, "", "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    settings = tfidf.TermSettings(max_terms, min_documents)
+    every = [tuple(r) for r in tfidf.term_counts(df, "t", settings).collect()]
+    kept = sorted((r for r in every if r[2] >= min_documents), key=lambda r: (-r[1], r[0]))[:max_terms]
+    for tied in (1, 4, 1000):
+        monkeypatch.setattr(tfidf, "TIED", tied)
+        assert [tuple(r)[:3] for r in tfidf.top_terms(df, "t", settings).orderBy("term").collect()] == sorted(kept)
+
+
+def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
+    texts = ["red red blue", "red blue", "blue red"] + [f"rare{i} other{i}" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    monkeypatch.setattr(tfidf, "term_counts", None)  # the count of all terms is not needed here
+    found = tfidf.kept_counts(df, "t", tfidf.TermSettings(2)).collect()
+    assert {r["term"] for r in found} <= {"red", "blue", "red blue", "blue red", "red red"}
+    assert {r["term"]: (r["term_count"], r["doc_count"]) for r in found if r["term_count"] > 3} == {"red": (4, 3)}
