@@ -211,3 +211,70 @@ def test_many_blocks_take_no_job_per_level(spark, rows, monkeypatch):
         context.setLocalProperty("spark.jobGroup.id", None)
     # One job per level would be at least 12 times 3 more than the same few jobs before and after.
     assert len(found.trees) == 12 and len(context.statusTracker().getJobIdsForGroup("levels")) < 36
+
+
+def test_only_the_smaller_child_is_added_up(monkeypatch):
+    """The other child's sums follow from the parent's; trees stay those of adding up every node."""
+    table, labels = small_rows(400, 12)
+    settings = BoostSettings(rounds=3, depth=4, step=0.3, row_share=0.8, feature_share=0.8, min_hessian=1.0)
+    layout = layout_of(table)
+    block, again = (block_of(table, labels, layout, 3) for _ in range(2))
+    shares, added = [], boosting.WholeRound.added
+
+    def counted(self, c, node, at, wanted, width):
+        found = np.bincount(node[at], minlength=width)
+        for n in wanted:
+            shares.append((found[n], found[n ^ 1]))
+        return added(self, c, node, at, wanted, width)
+
+    monkeypatch.setattr(boosting.WholeRound, "added", counted)
+    monkeypatch.setattr(boosting, "ENTRIES_AT_ONCE", 50)
+    monkeypatch.setattr(boosting, "SUMS_AT_ONCE", 4)
+    trees = [grow(block, layout, settings, number) for number in range(3)]
+    assert len(shares) > 10 and all(own <= other for own, other in shares)
+    plain = []
+    for number in range(3):
+        state = boosting.Round(again, layout, settings, number)
+        grown = []
+        for c in range(3):
+            tree = boosting.Tree.empty(settings.depth)
+            for level in range(settings.depth + 1):
+                *sums, all_g, all_h = state.sums(c, level)
+                splits = boosting.best_splits(*sums, all_g, all_h, layout, settings) if level < settings.depth else []
+                if not boosting.set_level(tree, level, splits, all_g, all_h, settings):
+                    break
+                state.advance(c, tree, level)
+            grown.append(tree)
+        state.finish(grown)
+        plain.append(grown)
+    for found, expected in zip(trees, plain, strict=True):
+        for a, b in zip(found, expected, strict=True):
+            assert all((getattr(a, n) == getattr(b, n)).all() for n in vars(a))
+    assert (block.scores == again.scores).all()
+
+
+def test_nodes_split_by_one_feature_share_a_pass():
+    """The rows of a level go to the left as node by node, and each feature's entries are read once."""
+    table, labels = small_rows(300, 5)
+    layout = layout_of(table)
+    block = block_of(table, labels, layout, 3)
+    state = boosting.Round(block, layout, SETTINGS, 0, False)
+    tree = boosting.Tree.empty(3)
+    state.nodes[0] = np.arange(300, dtype=np.int32) % 4 + 3
+    tree.feature[3:7], tree.code[3:7], tree.absent_left[3:7] = [2, 2, 4, -1], layout.offsets[[2, 2, 4, 0]] + 1, [True, False, True, False]
+    reads = []
+
+    class Read(np.ndarray):
+        def __getitem__(self, at):
+            reads.append(at)
+            return np.asarray(self)[at]
+
+    codes = np.full(table.shape, -1)
+    codes[block.entry_row, layout.feature_of[block.entry_code]] = block.entry_code
+    block.entry_row = block.entry_row.view(Read)
+    left = state.lefts(0, tree, 2)
+    assert len(reads) == 2
+    for row, node in enumerate(state.nodes[0]):
+        if node < 6:
+            code = codes[row, tree.feature[node]]
+            assert left[row] == (tree.absent_left[node] if code < 0 else code <= tree.code[node])

@@ -55,6 +55,9 @@ PARTS_PER_TASK = 16
 PARALLEL_TREES = 4
 SCALE = float(1 << 20)
 LEAST_GAIN = 1e-6
+#: Entries added up, and sums compared, at once.
+ENTRIES_AT_ONCE = 1 << 17
+SUMS_AT_ONCE = 1 << 15
 
 STATE = "kind string, number long, payload binary, loss double"
 
@@ -87,7 +90,7 @@ class Layout:
     def __post_init__(self) -> None:
         bins = np.diff(self.cut_ends) + 1
         self.offsets = np.concatenate([[0], np.cumsum(bins)])
-        self.feature_of = np.repeat(np.arange(len(bins)), bins)
+        self.feature_of = np.repeat(np.arange(len(bins), dtype=np.int32), bins)
 
     @property
     def features(self) -> int:
@@ -208,19 +211,13 @@ class Round:
         node = self.nodes[c] - first
         node[(node < 0) | ~self.drawn] = -1
         at = np.flatnonzero(node >= 0)
-        return node, at, [np.bincount(node[at], v[at], width) for v in (self.pairs[c].real, self.pairs[c].imag)]
+        own, pairs = node.take(at), self.pairs[c].take(at)
+        return node, at, [np.bincount(own, v, width) for v in (pairs.real, pairs.imag)]
 
-    def sums(self, c: int, level: int, whole: bool) -> tuple[np.ndarray, ...]:
-        """Sums per (node, code) as keys, gradients and Hessians, and those of whole nodes of the level.
-
-        If the block is the ``whole`` of the rows, features that are too rare in a node to split it are left out of it
-        and all nodes below.
-        """
-        width, pairs = 1 << level, self.pairs[c]
+    def sums(self, c: int, level: int) -> tuple[np.ndarray, ...]:
+        """Sums per (node, code) as keys, gradients and Hessians, and those of whole nodes of the level."""
+        pairs = self.pairs[c]
         node, at, totals = self.totals(c, level)
-        if whole:
-            # A node whose Hessian is below twice the least one has no split.
-            node[at] = np.where(totals[1] >= 2 * self.settings.min_hessian * SCALE, np.arange(width), -1)[node[at]]
         rows, codes = self.entries[c]
         own = node[rows].astype(np.int16)
         # Entries lie by (node, code) of the level above; dealing them to the children keeps their codes in order.
@@ -228,22 +225,13 @@ class Round:
             order = np.argsort(own, kind="stable")
             order = order[np.searchsorted(own[order], 0) :]
             rows, codes, own = rows[order], codes[order], own[order]
+        self.entries[c] = rows, codes
         if not len(rows):
-            self.entries[c] = rows, codes
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), *totals
         keys = own.astype(np.int64) * self.layout.codes + codes
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         added = np.add.reduceat(pairs[rows], edges)
-        sums = keys[edges], added.real, added.imag
-        if whole:
-            feature = self.layout.feature_of[codes[edges]] + own[edges].astype(np.int64) * self.layout.features
-            starts = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1]]))
-            common = np.add.reduceat(sums[2], starts) >= self.settings.min_hessian * SCALE
-            kept = np.repeat(common, np.diff(np.append(starts, len(edges))))
-            entries = np.repeat(kept, np.diff(np.append(edges, len(rows))))
-            rows, codes, sums = rows[entries], codes[entries], tuple(v[kept] for v in sums)
-        self.entries[c] = rows, codes
-        return *sums, *totals
+        return keys[edges], added.real, added.imag, *totals
 
     def advance(self, c: int, tree: Tree, level: int) -> None:
         """Move every row to the child that the level's splits send it to."""
@@ -252,23 +240,169 @@ class Round:
     def lefts(self, c: int, tree: Tree, level: int) -> np.ndarray:
         """Whether the level's splits send a row to the left, going by the entries of the block."""
         node = self.nodes[c]
-        left = tree.absent_left[node]
+        left = tree.absent_left.take(node)
         first = (1 << level) - 1
-        for inner in first + np.flatnonzero(tree.feature[first : 2 * first + 1] >= 0):
-            feature = tree.feature[inner]
+        inner = first + np.flatnonzero(tree.feature[first : 2 * first + 1] >= 0)
+        # Nodes that are split by the same feature share one pass over its entries.
+        for feature in np.unique(tree.feature[inner]).tolist():
             entries = slice(self.starts[feature], self.starts[feature + 1])
             rows = self.block.entry_row[entries]
-            here = node[rows] == inner
-            left[rows[here]] = self.block.entry_code[entries][here] <= tree.code[inner]
+            own = np.zeros(len(tree.feature), bool)
+            own[inner] = tree.feature[inner] == feature
+            here = np.flatnonzero(own.take(node.take(rows)))
+            rows = rows.take(here)
+            left[rows] = self.block.entry_code[entries].take(here) <= tree.code.take(node.take(rows))
         return left
 
     def move(self, c: int, tree: Tree, left: np.ndarray) -> None:
         node = self.nodes[c]
-        self.nodes[c] = np.where(tree.feature[node] >= 0, 2 * node + np.where(left, 1, 2), node).astype(np.int32)
+        self.nodes[c] = np.where((tree.feature >= 0).take(node), 2 * node + 2 - left, node)
 
     def finish(self, trees: list[Tree]) -> None:
         for c, tree in enumerate(trees):
-            self.block.scores[:, c] += tree.value[self.nodes[c]]
+            self.block.scores[:, c] += tree.value.take(self.nodes[c])
+
+
+@dataclass
+class NodeSums:
+    """Sums of the nodes of a level per (node, code), by node, then code, and where each node that has some begins."""
+
+    codes: np.ndarray
+    gradients: np.ndarray
+    hessians: np.ndarray
+    nodes: list[int]
+    starts: list[int]
+
+    @staticmethod
+    def of(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> "NodeSums":
+        parts = [part for part in parts if len(part[1])]
+        starts = np.cumsum([0, *[len(codes) for _, codes, *_ in parts]]).tolist()
+        arrays = [np.concatenate([part[i] for part in parts]) if parts else np.zeros(0, np.int32) for i in (1, 2, 3)]
+        return NodeSums(*arrays, [node for node, *_ in parts], starts)
+
+    def part(self, node: int) -> tuple[np.ndarray, ...]:
+        at = self.nodes.index(node) if node in self.nodes else None
+        inside = slice(0, 0) if at is None else slice(self.starts[at], self.starts[at + 1])
+        return self.codes[inside], self.gradients[inside], self.hessians[inside]
+
+
+class WholeRound(Round):
+    """A round on a block that holds all rows, maybe of some features only.
+
+    Of two children only the one with fewer rows is added up: the other's sums are the parent's without them, which is
+    exact, as sums are whole numbers. Features that are too rare in a node to split it are left out of it and all nodes
+    below.
+    """
+
+    def __init__(self, block: Block, layout: Layout, settings: BoostSettings, number: int) -> None:
+        super().__init__(block, layout, settings, number, False)
+        self.pairs[:, ~self.drawn] = 0
+        self.chosen = [drawn_features(layout, settings, number, c) for c in range(len(self.nodes))]
+        self.held: list[NodeSums | None] = [None] * len(self.nodes)
+        codes = block.entry_code
+        self.edges = np.flatnonzero(np.concatenate([np.ones(min(len(codes), 1), bool), codes[1:] != codes[:-1], [True]]))
+        self.present = codes.take(self.edges[:-1])
+        self.present_feature = layout.feature_of.take(self.present)
+
+    def level_sums(self, c: int, level: int, tree: Tree) -> tuple[NodeSums, np.ndarray, np.ndarray]:
+        """Sums of the nodes of a level that may be split, and those of whole nodes."""
+        node, at, totals = self.totals(c, level)
+        # A node whose Hessian is below twice the least one has no split.
+        splittable = totals[1] >= 2 * self.settings.min_hessian * SCALE
+        if not level:
+            found = [(0, *self.root(c))] if splittable[0] and len(at) else []
+        else:
+            found = self.children(c, level, tree, node, at, splittable)
+        self.held[c] = self.common(NodeSums.of(found))
+        return self.held[c], *totals
+
+    def root(self, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, edges, parts, first = self.block.entry_row, self.edges, [np.zeros(0, complex)], 0
+        while first < len(edges) - 1:
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + ENTRIES_AT_ONCE, side="right")) - 1)
+            values = self.pairs[c].take(rows[edges[first] : edges[last]])
+            parts.append(np.add.reduceat(values, edges[first:last] - edges[first]))
+            first = last
+        sums = np.concatenate(parts)
+        kept = np.flatnonzero((sums.imag > 0) & self.chosen[c].take(self.present_feature))
+        sums = sums.take(kept)
+        return self.present.take(kept), sums.real.copy(), sums.imag.copy()
+
+    def children(
+        self, c: int, level: int, tree: Tree, node: np.ndarray, at: np.ndarray, splittable: np.ndarray
+    ) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        above = (1 << (level - 1)) - 1
+        counts = np.bincount(node[at], minlength=1 << level)
+        parents = [n for n in self.held[c].nodes if tree.feature[above + n] >= 0 and splittable[2 * n : 2 * n + 2].any()]
+        fewer = [2 * n + int(counts[2 * n + 1] < counts[2 * n]) for n in parents]
+        added = self.added(c, node, at, fewer, 1 << level)
+        place = np.zeros(self.layout.codes, np.int32)
+        found = []
+        for parent, child, (codes, gradients, hessians) in zip(parents, fewer, added, strict=True):
+            all_codes, all_gradients, all_hessians = self.held[c].part(parent)
+            place[all_codes] = np.arange(len(all_codes), dtype=np.int32)
+            to = np.minimum(place.take(codes), len(all_codes) - 1)
+            # Of features that were left out above, nothing is known.
+            known = all_codes.take(to) == codes
+            if not known.all():
+                kept = np.flatnonzero(known)
+                to, codes, gradients, hessians = (a.take(kept) for a in (to, codes, gradients, hessians))
+            both = {child: (codes, gradients, hessians)}
+            if splittable[child ^ 1]:
+                rest_gradients, rest_hessians = all_gradients.copy(), all_hessians.copy()
+                rest_gradients[to] -= gradients
+                rest_hessians[to] -= hessians
+                some = np.flatnonzero(rest_hessians > 0)
+                both[child ^ 1] = all_codes.take(some), rest_gradients.take(some), rest_hessians.take(some)
+            found += [(n, *both[n]) for n in sorted(both) if splittable[n]]
+        return found
+
+    def added(
+        self, c: int, node: np.ndarray, at: np.ndarray, wanted: list[int], width: int
+    ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Codes, gradients and Hessians of each of some nodes, added up from the rows' entries."""
+        number = np.zeros(width, np.int16)
+        number[wanted] = np.arange(1, len(wanted) + 1)
+        slot = np.zeros(len(node), np.int16)
+        slot[at] = number[node[at]]
+        some, entry_row = slot > 0, self.block.entry_row
+        hits = [
+            first + np.flatnonzero(some.take(entry_row[first : first + ENTRIES_AT_ONCE]))
+            for first in range(0, len(entry_row), ENTRIES_AT_ONCE)
+        ]
+        hits = np.concatenate([*hits, np.zeros(0, np.int64)])
+        rows, codes = entry_row.take(hits), self.block.entry_code.take(hits)
+        own = slot.take(rows)
+        if len(wanted) > 1:
+            # Entries lie by code, and stay so inside a node.
+            order = np.argsort(own, kind="stable")
+            rows, codes, own = rows.take(order), codes.take(order), own.take(order)
+        if not len(rows):
+            return [(codes, np.zeros(0), np.zeros(0))] * len(wanted)
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (own[1:] != own[:-1])]))
+        sums = np.add.reduceat(self.pairs[c].take(rows), starts)
+        codes, own = codes.take(starts), own.take(starts)
+        edges = np.searchsorted(own, np.arange(1, len(wanted) + 2))
+        return [(codes[a:b], sums[a:b].real, sums[a:b].imag) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def common(self, found: NodeSums) -> NodeSums:
+        """Without the features that are too rare in a node to split it."""
+        least = self.settings.min_hessian * SCALE
+        if not len(found.codes) or least <= 0:
+            return found
+        feature = self.layout.feature_of.take(found.codes)
+        new = np.concatenate([[True], feature[1:] != feature[:-1]])
+        new[found.starts[:-1]] = True
+        starts = np.flatnonzero(new)
+        enough = np.add.reduceat(found.hessians, starts) >= least
+        if enough.all():
+            return found
+        kept = np.repeat(enough, np.diff(np.append(starts, len(feature))))
+        at = np.flatnonzero(kept)
+        arrays = [a.take(at) for a in (found.codes, found.gradients, found.hessians)]
+        counts = np.add.reduceat(kept, found.starts[:-1], dtype=np.int64)
+        some = np.flatnonzero(counts)
+        return NodeSums(*arrays, [found.nodes[i] for i in some], [0, *np.cumsum(counts[some]).tolist()])
 
 
 def drawn_features(layout: Layout, settings: BoostSettings, number: int, c: int) -> np.ndarray:
@@ -284,61 +418,86 @@ def best_splits(
     keys: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, all_gradient: np.ndarray, all_hessian: np.ndarray,
     layout: Layout, settings: BoostSettings,
 ) -> list[tuple]:
-    """Per node that can be split: node, gain, feature, code, whether absent goes left, left and whole sums.
+    """The best split of every node that can be split, from sums per (node, code) in the order of these keys."""
+    node = keys // layout.codes
+    edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()] if len(keys) else []
+    nodes = node[edges].tolist()
+    found = NodeSums((keys - node * layout.codes).astype(np.int32), gradient, hessian, nodes, [*edges, len(keys)])
+    return splits_of(found, all_gradient, all_hessian, layout, settings)
+
+
+def splits_of(
+    sums: NodeSums, all_gradient: np.ndarray, all_hessian: np.ndarray, layout: Layout, settings: BoostSettings
+) -> list[tuple]:
+    """Per node that can be split: node, gain, feature, code, and whether absent goes left.
 
     Equal gains go by the feature, then the code, then absent values to the right.
     """
-    if not len(keys):
-        return []
-    node, code = keys // layout.codes, keys % layout.codes
-    feature = layout.feature_of[code]
-    new = np.concatenate([[True], (node[1:] != node[:-1]) | (feature[1:] != feature[:-1])])
-    starts = np.flatnonzero(new)
-    segment = np.cumsum(new) - 1
-
-    def running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = np.cumsum(values)
-        before = (total - values)[starts]
-        return total - before[segment], np.add.reduceat(values, starts)
-
-    left_g, present_g = running(gradient)
-    left_h, present_h = running(hessian)
-    own = node[starts]
-    absent_g, absent_h = all_gradient[own] - present_g, all_hessian[own] - present_h
-    first_of_node = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    segments_of_node = segment[first_of_node]
-    nodes = node[first_of_node]
-
-    def gains(g: np.ndarray, h: np.ndarray, at: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per node the highest gain of a left side with these sums, and the first place that has it."""
-        whole_g, whole_h = all_gradient[at], all_hessian[at]
-        other_g, other_h = (whole_g - g) / SCALE, (whole_h - h) / SCALE
-        g, h = g / SCALE, h / SCALE
-        gain = g * g / (h + settings.l2) + other_g * other_g / (other_h + settings.l2)
-        gain[(h < settings.min_hessian) | (other_h < settings.min_hessian)] = -np.inf
-        top = np.maximum.reduceat(gain, edges)
-        hits = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(edges, len(gain)))))
-        return top, hits[np.searchsorted(hits, edges)]
-
-    # Splits behind each bin with absent values on the right, or on the left; and absent values against all others.
-    right, right_at = gains(left_g, left_h, node, first_of_node)
-    left, left_at = gains(left_g + absent_g[segment], left_h + absent_h[segment], node, first_of_node)
-    alone, alone_at = gains(absent_g, absent_h, own, segments_of_node)
     out = []
-    for i, n in enumerate(nodes.tolist()):
-        a, b, c = right_at[i], left_at[i], starts[alone_at[i]]
-        gain, at_feature, at_code, absent_left = min(
-            (-right[i], feature[a], code[a], False),
-            (-left[i], feature[b], code[b], True),
-            (-alone[i], feature[c], layout.offsets[feature[c]] - 1, True),
-        )
-        whole_g, whole_h = all_gradient[n] / SCALE, all_hessian[n] / SCALE
-        gain = -float(gain) - whole_g * whole_g / (whole_h + settings.l2)
+    for n, a, b in zip(sums.nodes, sums.starts[:-1], sums.starts[1:], strict=True):
+        whole_g, whole_h = all_gradient[n], all_hessian[n]
+        inside = sums.codes[a:b], sums.gradients[a:b], sums.hessians[a:b]
+        loss, feature, code, absent_left = best_split(*inside, whole_g, whole_h, layout, settings)
+        gain = -loss / SCALE - (whole_g / SCALE) * (whole_g / SCALE) / (whole_h / SCALE + settings.l2)
         if gain > LEAST_GAIN:
-            out.append((n, gain, int(at_feature), int(at_code), absent_left))
+            out.append((n, float(gain), feature, code, absent_left))
     return out
 
 
+def best_split(
+    codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, whole_g: float, whole_h: float, layout: Layout,
+    settings: BoostSettings,
+) -> tuple[float, int, int, bool]:
+    """Of a node: minus its highest gain times ``SCALE``, feature, code, and whether absent goes left.
+
+    Whole features are looked at, so many at once that their sums stay near the processor.
+    """
+    least, l2 = settings.min_hessian * SCALE, settings.l2 * SCALE
+    feature = layout.feature_of.take(codes)
+    starts = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1], [True]]))
+    best = (np.inf, 0, 0, False)
+
+    def highest(g: np.ndarray, h: np.ndarray) -> tuple[float, int]:
+        """Highest gain of a left side with these sums, and the first place that has it."""
+        other_g, other_h = whole_g - g, whole_h - h
+        bad = (h < least) | (other_h < least)
+        gain = g * g
+        gain /= h + l2
+        other_g *= other_g
+        other_h += l2
+        other_g /= other_h
+        gain += other_g
+        gain[bad] = -np.inf
+        at = int(gain.argmax())
+        return -float(gain[at]), at
+
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + SUMS_AT_ONCE, side="right")) - 1)
+        a, b = starts[first], starts[last]
+        ends, lengths = starts[first + 1 : last + 1] - a - 1, np.diff(starts[first : last + 1])
+        left_g, left_h = np.cumsum(gradient[a:b]), np.cumsum(hessian[a:b])
+        before_g, before_h = (np.concatenate([[0.0], total[ends[:-1]]]) for total in (left_g, left_h))
+        absent_g, absent_h = whole_g - (left_g[ends] - before_g), whole_h - (left_h[ends] - before_h)
+        left_g -= np.repeat(before_g, lengths)
+        left_h -= np.repeat(before_h, lengths)
+        # Splits behind each bin with absent values on the right, or on the left; and absent values against all others.
+        right, right_at = highest(left_g, left_h)
+        left_g += np.repeat(absent_g, lengths)
+        left_h += np.repeat(absent_h, lengths)
+        left, left_at = highest(left_g, left_h)
+        alone, alone_at = highest(absent_g, absent_h)
+        at = int(feature[a + ends[alone_at]])
+        best = min(
+            best,
+            (right, int(feature[a + right_at]), int(codes[a + right_at]), False),
+            (left, int(feature[a + left_at]), int(codes[a + left_at]), True),
+            (alone, at, int(layout.offsets[at]) - 1, True),
+        )
+        first = last
+    return best
+
+
 def set_level(
     tree: Tree, level: int, splits: list[tuple], all_gradient: np.ndarray, all_hessian: np.ndarray, settings: BoostSettings
 ) -> bool:
@@ -352,12 +511,12 @@ def set_level(
     return bool(splits)
 
 
-def offered(state: Round, c: int, level: int) -> tuple[list[tuple], list[np.ndarray]]:
+def offered(state: WholeRound, c: int, level: int, tree: Tree) -> tuple[list[tuple], list[np.ndarray]]:
     """Best splits of a level by the block's own features, for a block that holds all rows, and sums of whole nodes."""
     if level == state.settings.depth:
         return [], state.totals(c, level)[2]
-    *sums, all_g, all_h = state.sums(c, level, True)
-    return best_splits(*sums, all_g, all_h, state.layout, state.settings), [all_g, all_h]
+    sums, all_g, all_h = state.level_sums(c, level, tree)
+    return splits_of(sums, all_g, all_h, state.layout, state.settings), [all_g, all_h]
 
 
 def grow(block: Block, layout: Layout, settings: BoostSettings, number: int) -> list[Tree]:
@@ -365,12 +524,12 @@ def grow(block: Block, layout: Layout, settings: BoostSettings, number: int) ->
 
     The classes' trees are grown side by side: no other task runs then.
     """
-    state = Round(block, layout, settings, number)
+    state = WholeRound(block, layout, settings, number)
 
     def grown(c: int) -> Tree:
         tree = Tree.empty(settings.depth)
         for level in range(settings.depth + 1):
-            splits, totals = offered(state, c, level)
+            splits, totals = offered(state, c, level, tree)
             if not set_level(tree, level, splits, *totals, settings):
                 break
             state.advance(c, tree, level)
@@ -389,11 +548,11 @@ def grow_together(
 
     All tasks come to the same trees.
     """
-    state = Round(block, layout, settings, number)
+    state = WholeRound(block, layout, settings, number)
     trees = [Tree.empty(settings.depth) for _ in state.nodes]
     going = range(len(trees))
     for level in range(settings.depth + 1):
-        found = {c: offered(state, c, level) for c in going}
+        found = {c: offered(state, c, level, trees[c]) for c in going}
         if level < settings.depth:
             offers = [json.loads(t) for t in tell(json.dumps([found[c][0] for c in going]).encode())]
             best = [best_offers([split for own in offers for split in own[i]]) for i in range(len(going))]
@@ -403,7 +562,7 @@ def grow_together(
         if not going:
             break
         # Rows go where absent values go unless the task that has the feature tells otherwise.
-        usual = np.stack([trees[c].absent_left[state.nodes[c]] for c in going])
+        usual = np.stack([trees[c].absent_left.take(state.nodes[c]) for c in going])
         other = np.stack([state.lefts(c, trees[c], level) for c in going]) ^ usual
         told = [t for t in tell(zlib.compress(np.packbits(other).tobytes(), 1) if other.any() else b"") if t]
         bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(t), np.uint8) for t in told]) if told else None
@@ -654,7 +813,7 @@ def exchange_level(
             for c, tree in enumerate(trees):
                 for above in range(level):
                     state.advance(c, tree, above)
-                keys, g, h, all_g, all_h = state.sums(c, level, False)
+                keys, g, h, all_g, all_h = state.sums(c, level)
                 part = np.searchsorted(edges, keys % layout.codes, side="right") - 1
                 yield pa.RecordBatch.from_pylist([
                     {"part": p, "c": c, "payload": packed(keys=keys[own], g=g[own], h=h[own], all_g=all_g, all_h=all_h)}

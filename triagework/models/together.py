@@ -72,7 +72,7 @@ class Together:
                     return told.read()
             except FileNotFoundError:
                 time.sleep(pause)
-                pause = min(2 * pause, 0.01)
+                pause = min(2 * pause, 0.002)
 
     def tell(self, payload: bytes) -> list[bytes]:
         """The payloads of all tasks, in the order of the tasks."""
