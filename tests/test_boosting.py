@@ -278,3 +278,13 @@ def test_nodes_split_by_one_feature_share_a_pass():
         if node < 6:
             code = codes[row, tree.feature[node]]
             assert left[row] == (tree.absent_left[node] if code < 0 else code <= tree.code[node])
+
+
+def test_quick_rounds_run_more_at_once(rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(boosting, "CHUNK", 1)
+    settings = BoostSettings(rounds=7, depth=3, step=0.3, min_hessian=1.0, bins=8)
+    found = boost(rows, F.col("y"), 3, 9, settings, "k", path=str(tmp_path / "state"))
+    assert sorted(p.name for p in (tmp_path / "state").glob("rounds-*")) == ["rounds-000000", "rounds-000001", "rounds-000003"]
+    monkeypatch.setattr(boosting, "QUICK_SECONDS", 0)
+    slow = boost(rows, F.col("y"), 3, 9, settings, "k", path=str(tmp_path / "slow"))
+    assert len(list((tmp_path / "slow").glob("rounds-*"))) == 7 and trees_of(slow) == trees_of(found)

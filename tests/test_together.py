@@ -23,3 +23,24 @@ def test_all_tasks_hear_all_messages_in_order(spark, reachable):
 
 def test_slots(spark):
     assert task_slots(spark) == 4
+
+
+def test_tasks_meet_twice_before_they_tell_each_other(spark):
+    """Each message of the barrier takes a second."""
+    folder = message_folder(spark)
+
+    def run(batches):
+        calls = []
+        context = together.BarrierTaskContext
+        gather, wait = context.allGather, context.barrier
+        context.allGather = lambda self, message="": calls.append(1) or gather(self, message)
+        context.barrier = lambda self: calls.append(1) or wait(self)
+        try:
+            others = Together(folder)
+            list(batches)
+            others.tell(b"x")
+        finally:
+            context.allGather, context.barrier = gather, wait
+        yield pa.RecordBatch.from_pydict({"calls": [len(calls)]})
+
+    assert [r.calls for r in spark.range(0, 2, 1, 2).mapInArrow(run, "calls long", barrier=True).collect()] == [2, 2]

@@ -16,9 +16,9 @@ of its features and the labels and scores of all rows (a few dozen bytes a row).
 splits and which rows those send to the other side, so nothing as large as the bins is exchanged. Where executors come and
 go, which barrier stages do not allow, a level is a Spark job as described above.
 
-After every ``CHUNK`` rounds scores and trees are written. Training stops while it runs: once the loss of the rows that
-are only watched has not fallen for ``patience`` rounds, no further round is started. Given a folder, a training whose
-session was lost goes on after its last complete chunk.
+After every ``CHUNK`` rounds, or up to four times as many quick ones, scores and trees are written. Training stops while
+it runs: once the loss of the rows that are only watched has not fallen for ``patience`` rounds, no further round is
+started. Given a folder, a training whose session was lost goes on after its last complete chunk.
 
 Rows without a label are left out. No rows, or one class only, give a model without trees, whose classes are equally
 likely.
@@ -26,6 +26,7 @@ likely.
 
 import io
 import json
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -49,6 +50,9 @@ from triagework.sources.tickets import path_exists
 BLOCK_ROWS = 16_384
 BLOCK_ENTRIES = 4_000_000
 CHUNK = 25
+#: A chunk that ran in less time is followed by one of twice the rounds, up to so many times the first one's.
+QUICK_SECONDS = 30
+MOST_CHUNKS = 4
 FEATURE_RANGES = 16
 #: Parts of the features per task, so that tasks come to hold about equally many entries.
 PARTS_PER_TASK = 16
@@ -431,34 +435,54 @@ def splits_of(
 ) -> list[tuple]:
     """Per node that can be split: node, gain, feature, code, and whether absent goes left.
 
-    Equal gains go by the feature, then the code, then absent values to the right.
+    Equal gains go by the feature, then the code, then absent values to the right. Whole features are looked at, so many at
+    once that their sums stay near the processor.
     """
+    if not len(sums.codes):
+        return []
+    feature = layout.feature_of.take(sums.codes)
+    new = np.concatenate([[True], feature[1:] != feature[:-1], [True]])
+    new[sums.starts] = True
+    starts = np.flatnonzero(new)
+    own = np.repeat(sums.nodes, np.diff(np.searchsorted(starts, sums.starts)))
+    best: dict[int, tuple] = {}
+    first = 0
+    while first < len(starts) - 1:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + SUMS_AT_ONCE, side="right")) - 1)
+        inside, segments = slice(starts[first], starts[last]), slice(first, last)
+        found = best_of_run(
+            sums.codes[inside], feature[inside], sums.gradients[inside], sums.hessians[inside], starts[first : last + 1] - starts[first],
+            own[segments], all_gradient, all_hessian, layout, settings,
+        )
+        for node, split in found:
+            if node not in best or split < best[node]:
+                best[node] = split
+        first = last
     out = []
-    for n, a, b in zip(sums.nodes, sums.starts[:-1], sums.starts[1:], strict=True):
-        whole_g, whole_h = all_gradient[n], all_hessian[n]
-        inside = sums.codes[a:b], sums.gradients[a:b], sums.hessians[a:b]
-        loss, feature, code, absent_left = best_split(*inside, whole_g, whole_h, layout, settings)
-        gain = -loss / SCALE - (whole_g / SCALE) * (whole_g / SCALE) / (whole_h / SCALE + settings.l2)
+    for n, (loss, at, code, absent_left) in best.items():
+        whole_g, whole_h = all_gradient[n] / SCALE, all_hessian[n] / SCALE
+        gain = -loss / SCALE - whole_g * whole_g / (whole_h + settings.l2)
         if gain > LEAST_GAIN:
-            out.append((n, float(gain), feature, code, absent_left))
+            out.append((n, float(gain), at, code, absent_left))
     return out
 
 
-def best_split(
-    codes: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, whole_g: float, whole_h: float, layout: Layout,
-    settings: BoostSettings,
-) -> tuple[float, int, int, bool]:
-    """Of a node: minus its highest gain times ``SCALE``, feature, code, and whether absent goes left.
+def best_of_run(
+    codes: np.ndarray, feature: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, starts: np.ndarray, own: np.ndarray,
+    all_gradient: np.ndarray, all_hessian: np.ndarray, layout: Layout, settings: BoostSettings,
+) -> list[tuple[int, tuple]]:
+    """Per node of a run of features, which begin at ``starts`` and belong to the nodes ``own``, the best split.
 
-    Whole features are looked at, so many at once that their sums stay near the processor.
+    It is told as minus its gain times ``SCALE``, feature, code, and whether absent goes left.
     """
     least, l2 = settings.min_hessian * SCALE, settings.l2 * SCALE
-    feature = layout.feature_of.take(codes)
-    starts = np.flatnonzero(np.concatenate([[True], feature[1:] != feature[:-1], [True]]))
-    best = (np.inf, 0, 0, False)
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    nodes = own[edges].tolist()
+    ends, lengths = starts[1:] - 1, np.diff(starts)
+    whole_g, whole_h = all_gradient.take(own), all_hessian.take(own)
 
-    def highest(g: np.ndarray, h: np.ndarray) -> tuple[float, int]:
-        """Highest gain of a left side with these sums, and the first place that has it."""
+    def highest(g: np.ndarray, h: np.ndarray, whole_g: np.ndarray, whole_h: np.ndarray, edges: np.ndarray) -> tuple[list, list]:
+        """Per node minus the highest gain of a left side with these sums, and the first place that has it."""
         other_g, other_h = whole_g - g, whole_h - h
         bad = (h < least) | (other_h < least)
         gain = g * g
@@ -468,34 +492,35 @@ def best_split(
         other_g /= other_h
         gain += other_g
         gain[bad] = -np.inf
-        at = int(gain.argmax())
-        return -float(gain[at]), at
-
-    first = 0
-    while first < len(starts) - 1:
-        last = max(first + 1, int(np.searchsorted(starts, starts[first] + SUMS_AT_ONCE, side="right")) - 1)
-        a, b = starts[first], starts[last]
-        ends, lengths = starts[first + 1 : last + 1] - a - 1, np.diff(starts[first : last + 1])
-        left_g, left_h = np.cumsum(gradient[a:b]), np.cumsum(hessian[a:b])
-        before_g, before_h = (np.concatenate([[0.0], total[ends[:-1]]]) for total in (left_g, left_h))
-        absent_g, absent_h = whole_g - (left_g[ends] - before_g), whole_h - (left_h[ends] - before_h)
-        left_g -= np.repeat(before_g, lengths)
-        left_h -= np.repeat(before_h, lengths)
-        # Splits behind each bin with absent values on the right, or on the left; and absent values against all others.
-        right, right_at = highest(left_g, left_h)
-        left_g += np.repeat(absent_g, lengths)
-        left_h += np.repeat(absent_h, lengths)
-        left, left_at = highest(left_g, left_h)
-        alone, alone_at = highest(absent_g, absent_h)
-        at = int(feature[a + ends[alone_at]])
-        best = min(
-            best,
-            (right, int(feature[a + right_at]), int(codes[a + right_at]), False),
-            (left, int(feature[a + left_at]), int(codes[a + left_at]), True),
-            (alone, at, int(layout.offsets[at]) - 1, True),
-        )
-        first = last
-    return best
+        if len(edges) == 1:
+            at = int(gain.argmax())
+            return [-float(gain[at])], [at]
+        top = np.maximum.reduceat(gain, edges)
+        hits = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(edges, len(gain)))))
+        return (-top).tolist(), hits[np.searchsorted(hits, edges)].tolist()
+
+    left_g, left_h = np.cumsum(gradient), np.cumsum(hessian)
+    before_g, before_h = (np.concatenate([[0.0], total[ends[:-1]]]) for total in (left_g, left_h))
+    absent_g, absent_h = whole_g - (left_g[ends] - before_g), whole_h - (left_h[ends] - before_h)
+    left_g -= np.repeat(before_g, lengths)
+    left_h -= np.repeat(before_h, lengths)
+    if len(nodes) == 1:
+        every_g, every_h = whole_g[0], whole_h[0]
+    else:
+        every_g, every_h = np.repeat(whole_g, lengths), np.repeat(whole_h, lengths)
+    # Splits behind each bin with absent values on the right, or on the left; and absent values against all others.
+    right, right_at = highest(left_g, left_h, every_g, every_h, starts[edges])
+    left_g += np.repeat(absent_g, lengths)
+    left_h += np.repeat(absent_h, lengths)
+    left, left_at = highest(left_g, left_h, every_g, every_h, starts[edges])
+    alone, alone_at = highest(absent_g, absent_h, whole_g, whole_h, edges)
+    alone_feature = feature[starts[alone_at]]
+    options = (
+        zip(right, feature[right_at].tolist(), codes[right_at].tolist(), [False] * len(nodes), strict=True),
+        zip(left, feature[left_at].tolist(), codes[left_at].tolist(), [True] * len(nodes), strict=True),
+        zip(alone, alone_feature.tolist(), (layout.offsets[alone_feature] - 1).tolist(), [True] * len(nodes), strict=True),
+    )
+    return list(zip(nodes, map(min, *options), strict=True))
 
 
 def set_level(
@@ -936,7 +961,7 @@ def boost(
     layout = Layout(**unpacked(bytes(spark.read.parquet(f"{base}/layout").first()["payload"])))
     if not path_exists(spark, f"{base}/start/_SUCCESS"):
         to_blocks(rows, layout, key, label, use, features, classes).write.mode("overwrite").parquet(f"{base}/start")
-    now, at, trees, losses = "start", 0, [], []
+    now, at, trees, losses, chunk = "start", 0, [], [], CHUNK
     while True:
         following = f"rounds-{at:06d}"
         done = at >= settings.rounds or stopped(losses, settings.patience) or classes < 2
@@ -944,7 +969,7 @@ def boost(
             break
         if not path_exists(spark, f"{base}/{following}/_SUCCESS"):
             blocks = spark.read.schema(STATE).parquet(f"{base}/{now}").where("kind = 'block'")
-            number, last = blocks.count(), min(at + CHUNK, settings.rounds)
+            number, last, began = blocks.count(), min(at + chunk, settings.rounds), time.monotonic()
             if not number:
                 break
             if number == 1:
@@ -961,6 +986,9 @@ def boost(
                 spread = blocks.repartition(number)
                 state = rounds_by_exchange(spread, layout, settings, classes, at, last, losses)
             state.write.mode("overwrite").parquet(f"{base}/{following}")
+            # Starting the tasks takes seconds, so quick rounds run more at once.
+            if time.monotonic() - began < QUICK_SECONDS:
+                chunk = min(2 * chunk, MOST_CHUNKS * CHUNK)
         added = spark.read.schema(STATE).parquet(f"{base}/{following}").where("kind like 'tree%'").collect()
         by_place = {(r["number"], int(r["kind"][4:])): r for r in added}
         for number in sorted({n for n, _ in by_place}):

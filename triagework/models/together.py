@@ -43,15 +43,19 @@ class Together:
         self.context = BarrierTaskContext.get()
         self.own, self.tasks, self.step = self.context.partitionId(), len(self.context.getTaskInfos()), 0
         where = urlparse(folder)
-        # Each run of the stage has a folder of its own.
-        attempt = self.context.allGather(uuid.uuid4().hex)[0]
-        self.folder = os.path.join(where.path, attempt) if where.scheme in ("", "file") else ""
-        seen = False
-        if self.folder:
+        # Each run of the stage has a folder of its own. A message of the barrier takes a second, so there are two only.
+        own = uuid.uuid4().hex
+        probes = where.path if where.scheme in ("", "file") else ""
+        if probes:
+            os.makedirs(probes, exist_ok=True)
+            with open(os.path.join(probes, own), "wb"):
+                pass
+        names = self.context.allGather(own)
+        self.folder = os.path.join(probes, names[0] + "-run") if probes else ""
+        seen = bool(probes) and all(os.path.exists(os.path.join(probes, name)) for name in names)
+        if seen:
             os.makedirs(self.folder, exist_ok=True)
             self.write(b"")
-            self.context.barrier()
-            seen = all(os.path.exists(self.place(task)) for task in range(self.tasks))
         self.by_file = all(told == "yes" for told in self.context.allGather("yes" if seen else "no"))
 
     def place(self, task: int, step: int | None = None) -> str:
