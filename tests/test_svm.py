@@ -89,3 +89,25 @@ def test_many_blocks_take_no_job_per_pass(spark, rows, monkeypatch):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert found == pytest.approx(dense_solve(*table(), COSTS), abs=1e-6)
     assert len(context.statusTracker().getJobIdsForGroup("passes")) < 10
+
+
+def test_classes_that_are_there_are_not_multiplied_again(monkeypatch):
+    """Zero columns are skipped, and a class whose direction is close enough is a zero column from then on."""
+    x, y = table()
+    row, feature = np.nonzero(x)
+    rows = svm.Rows(y.astype(np.int32), np.cumsum((x != 0).sum(axis=1)), feature.astype(np.int32), x[row, feature])
+    problem, seen = svm.Problem(np.array(COSTS), 1.0, 7), []
+
+    def add(name, both):
+        if name == "curved":
+            seen.append(np.split(both, 2, axis=1)[1].any(axis=0))
+        return getattr(problem, name)(rows, both)
+
+    found, passes = svm.minimise(add, (8, 3), 1e-9, 100)
+    assert found == pytest.approx(dense_solve(x, y, COSTS), abs=1e-6) and passes < 200
+    assert any(moving.any() and not moving.all() for moving in seen)
+    monkeypatch.setattr(svm, "ENTRIES_AT_ONCE", 16)
+    factors = np.random.default_rng(2).normal(size=(7, 3)) * [1, 0, 1]
+    ends = np.array([0, 3, 3, *rows.ends[5:].tolist()])
+    plain = [(x[row, feature][a:b, None] * factors[feature[a:b]]).sum(axis=0) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert svm.group_sums(ends, rows.features, rows.values, factors) == pytest.approx(np.array(plain))

@@ -36,7 +36,7 @@ WEIGHT_RANGES = 8
 #: Entries that a task keeps in memory; with more of them all lie in files.
 HELD_ENTRIES = 16_000_000
 #: Entries multiplied at once.
-ENTRIES_AT_ONCE = 500_000
+ENTRIES_AT_ONCE = 1 << 16
 STEP_LENGTHS = 0.5 ** np.arange(20)
 
 
@@ -51,15 +51,21 @@ def runs(ends: np.ndarray) -> Iterator[tuple[slice, slice]]:
 
 
 def group_sums(ends: np.ndarray, places: np.ndarray, values: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Per group of entries, the sum of the entries' values times the rows of ``factors`` at their places."""
+    """Per group of entries, the sum of the entries' values times the rows of ``factors`` at their places.
+
+    Columns are added up one by one; those of zeros only cost nothing.
+    """
     out = np.zeros((len(ends), factors.shape[1]))
-    for groups, entries in runs(ends):
+    columns = [(c, np.ascontiguousarray(factors[:, c])) for c in np.flatnonzero(factors.any(axis=0)).tolist()]
+    for groups, entries in runs(ends) if columns else ():
         stops = ends[groups] - entries.start
         starts = np.concatenate([[0], stops[:-1]])
-        some = stops > starts
-        if some.any():
-            products = factors[places[entries]] * values[entries, None]
-            out[np.flatnonzero(some) + groups.start] = np.add.reduceat(products, starts[some], axis=0)
+        some = np.flatnonzero(stops > starts)
+        if len(some):
+            own, starts, to = values[entries], starts.take(some), some + groups.start
+            at = places[entries]
+            for c, column in columns:
+                out[to, c] = np.add.reduceat(column.take(at) * own, starts)
     return out
 
 
@@ -178,8 +184,10 @@ def minimise(add: Add, shape: tuple[int, int], tolerance: float, iterations: int
             going = np.sqrt(square) > goal
             if not (going & open_).any():
                 break
-            curved = search + total("curved", weights, search)
-            step = np.where(going, square / np.maximum((search * curved).sum(axis=0), 1e-300), 0)
+            # Classes that are there already are not multiplied again.
+            moving = np.where(going & open_, search, 0)
+            curved = moving + total("curved", weights, moving)
+            step = np.where(going & open_, square / np.maximum((moving * curved).sum(axis=0), 1e-300), 0)
             direction += step * search
             rest -= step * curved
             after = (rest**2).sum(axis=0)
